@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillrank.llm.ngram_join import ORACLE_JOIN, ngram_join
 from quillrank.llm.ring_sharding import shard_documents
 from quillrank.llm.source_mix import ORACLE_MIX, mix_sources
 from quillrank.llm.tables import read
 from quillrank.llm.url_filter import filter_urls, labelled_urls
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(read(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"))
 
@@ -27,8 +32,8 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_mix_sources": op4_mix_sources, "op7_url_filter": op7_url_filter, "op8_ring_shards": op8_ring_shards}
+    return {"op3_ngram_join": op3_ngram_join, "op4_mix_sources": op4_mix_sources, "op7_url_filter": op7_url_filter, "op8_ring_shards": op8_ring_shards}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": ORACLE_MIX.format(docs="documents")}
+    return {"op3_ngram_join": ORACLE_JOIN.format(docs="documents", n=4, percent=85), "op4_mix_sources": ORACLE_MIX.format(docs="documents")}
