@@ -8,12 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.llm.ngram_join import ORACLE_JOIN, ngram_join
+from quillrank.llm.quality_qda import fold, score_quality
+from quillrank.llm.quality_trees import quality_rules
 from quillrank.llm.ring_sharding import shard_documents
 from quillrank.llm.source_mix import ORACLE_MIX, mix_sources
 from quillrank.llm.tables import read
 from quillrank.llm.url_filter import filter_urls, labelled_urls
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality_rules(read(spark, sf_dir, "documents"), labels)
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1).select("doc_id", F.col("quality").alias("label"))
+    scored = score_quality(read(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -32,7 +45,8 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_ngram_join": op3_ngram_join, "op4_mix_sources": op4_mix_sources, "op7_url_filter": op7_url_filter, "op8_ring_shards": op8_ring_shards}
+    found = (op1_quality_rules, op2_quality_classifier, op3_ngram_join, op4_mix_sources, op7_url_filter, op8_ring_shards)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
