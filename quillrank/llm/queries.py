@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.llm.ngram_join import ORACLE_JOIN, ngram_join
+from quillrank.llm.packing import pack_documents
 from quillrank.llm.quality_qda import fold, score_quality
 from quillrank.llm.quality_trees import quality_rules
 from quillrank.llm.ring_sharding import shard_documents
@@ -35,6 +36,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(read(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), labelled_urls(spark))
 
@@ -45,7 +51,7 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_quality_classifier, op3_ngram_join, op4_mix_sources, op7_url_filter, op8_ring_shards)
+    found = (op1_quality_rules, op2_quality_classifier, op3_ngram_join, op4_mix_sources, op6_packing, op7_url_filter, op8_ring_shards)
     return {f.__name__: f for f in found}
 
 
