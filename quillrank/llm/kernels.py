@@ -92,8 +92,8 @@ class Words:
         return np.repeat(np.arange(len(self.of_doc) - 1), np.diff(self.of_doc))
 
 
-def words(block: Block) -> Words:
-    solid = ~SPACE[block.data]
+def words(block: Block, space: np.ndarray = SPACE) -> Words:
+    solid = ~space[block.data]
     n = len(solid)
     begin, stop = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]

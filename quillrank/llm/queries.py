@@ -14,6 +14,7 @@ from quillrank.llm.quality_trees import quality_rules
 from quillrank.llm.ring_sharding import shard_documents
 from quillrank.llm.source_mix import ORACLE_MIX, mix_sources
 from quillrank.llm.tables import read
+from quillrank.llm.toxicity_knn import score_toxicity
 from quillrank.llm.url_filter import filter_urls, labelled_urls
 
 
@@ -50,8 +51,14 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0).select("doc_id", F.col("toxic").alias("label"))
+    scored = score_toxicity(read(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_quality_classifier, op3_ngram_join, op4_mix_sources, op6_packing, op7_url_filter, op8_ring_shards)
+    found = (op1_quality_rules, op2_quality_classifier, op3_ngram_join, op4_mix_sources, op6_packing, op7_url_filter, op8_ring_shards, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
