@@ -61,12 +61,14 @@ def _class_of(value: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _order(docs: DataFrame, n: int) -> np.ndarray:
-    """The sketch: about how many documents have the shingles of each counter."""
+    """The sketch: about how often the shingles of each counter occur. Texts shorter than a shingle aren't counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ORDER_WIDTH, np.int64)
         for batch in batches:
-            for _, _, value in _sets(batch, n):
+            for block in K.blocks(batch.column("text")):
+                found = K.words(block)
+                value = K.hash_windows(K.hash_words(block, found, lower=True), n)[K.windows_inside(found.of_doc, n, len(found.start))]
                 total += np.bincount((value & K.U(ORDER_WIDTH - 1)).astype(np.int64), minlength=ORDER_WIDTH)
         yield pieces(np.minimum(total, 65535).astype(np.uint16))
 
@@ -83,7 +85,7 @@ def _pivots(order: np.ndarray) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """For each row: doc_id, n_shingles, class names a and b, central (count of the middle of its prefix) and the prefix."""
+    """For each row: doc_id, n_shingles, class names a and b, the prefix, and central: minus how many shingles of the prefix are much rarer than its commonest."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
@@ -98,16 +100,15 @@ def _classes(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
                 keep = size - -(-percent * size // 100) + 1
                 keep[size == 0] = 0
                 first = K.runs(size) < np.repeat(keep, size)
-                middle = np.zeros(docs_here, np.int64)
-                some = size > 0
-                middle[some] = common[ranked][ends[:-1][some] + keep[some] // 2]
+                most = _sums(np.maximum, common, ends)
+                central = -_sums(np.add, (first & (4 * common[ranked] < np.repeat(most, size))).astype(np.int64), ends)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(block.first, docs_here),
                         pa.array(size.astype(np.int64)),
                         pa.array(a.view(np.int64)),
                         pa.array(b.view(np.int64)),
-                        pa.array(middle),
+                        pa.array(central),
                         K.lists(value[ranked][first].view(np.int64), doc[first], docs_here),
                     ],
                     names=["doc_id", "n_shingles", "a", "b", "central", "prefix"],
@@ -116,18 +117,18 @@ def _classes(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(prefixes, "doc_id long, n_shingles long, a long, b long, central long, prefix array<long>")
 
 
-def _spot(a: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    """The bit of the filter for the document that stands for a class."""
-    return (K.mix(a.view(K.U) ^ K.mix(doc_id.view(K.U))) & K.U(FILTER_BITS - 1)).astype(np.int64)
+def _spot(doc_id: np.ndarray) -> np.ndarray:
+    """The bit of the filter for a document that stands for its class."""
+    return (K.mix(doc_id.view(K.U)) & K.U(FILTER_BITS - 1)).astype(np.int64)
 
 
 def _filter_of(pairs: DataFrame, kinds: DataFrame) -> np.ndarray:
-    wanted = pairs.select(F.col("l").alias("a")).union(pairs.select("r")).distinct().join(kinds, "a").select("a", "first_id")
+    wanted = pairs.select(F.col("l").alias("a")).union(pairs.select("r")).distinct().join(kinds, "a").select("first_id")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
-            bits[_spot(batch.column(0).to_numpy(), batch.column(1).to_numpy())] = True
+            bits[_spot(batch.column(0).to_numpy())] = True
         yield pieces(np.packbits(bits))
 
     return merged(wanted.where("first_id is not null").mapInArrow(mark, SKETCH), FILTER_BITS // 8, np.uint8, np.uint8, np.bitwise_or)
@@ -139,16 +140,12 @@ def _segments(docs: DataFrame, order, pivots: np.ndarray, bits, n: int) -> DataF
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, passes = order.value, bits.value
         for batch in batches:
-            ids = batch.column("doc_id")
-            known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            ids = batch.column("doc_id").fill_null(0).to_numpy()
+            spot = _spot(ids)
+            batch = batch.filter(pa.array((passes[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1).cast(pa.bool_()))
             for block, doc, value in _sets(batch, n):
-                docs_here = block.last - block.first
-                ends = np.searchsorted(doc, np.arange(docs_here + 1))
+                ends = np.searchsorted(doc, np.arange(block.last - block.first + 1))
                 a, _ = _class_of(value, ends)
-                spot = _spot(a, ids[block.first : block.last])
-                wanted = known[block.first : block.last] & (np.diff(ends) > 0) & ((passes[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1).astype(bool)
-                chosen = wanted[doc]
-                doc, value = doc[chosen], value[chosen]
                 if not len(doc):
                     continue
                 fragment = np.searchsorted(pivots, counts[(value & K.U(ORDER_WIDTH - 1)).astype(np.int64)], "left")
@@ -178,8 +175,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, kinds: DataFrame, order, pivots
     return shared.where(F.col("shared") * 100 >= (F.col("l_size") + F.col("r_size") - F.col("shared")) * percent).select("l", "r")
 
 
-def _fits(small: str, large: str, percent: int):
-    return F.least(small, large) * 100 >= F.greatest(small, large) * percent
+def _pairs(left: DataFrame, right: DataFrame, apart, percent: int) -> DataFrame:
+    """Distinct pairs (l, r, l_size, r_size) that meet at a shingle and can be similar enough.
+
+    If the shingle is the first that two sets share, what comes before it is
+    lost to their overlap; a pair that fails so at its first one fails at all.
+    """
+    x_size, y_size = F.col("x.n_shingles"), F.col("y.n_shingles")
+    most = F.least(x_size - F.col("x.place"), y_size - F.col("y.place"))
+    can = most * 100 >= (x_size + y_size - most) * percent
+    met = left.alias("x").join(right.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & apart & can)
+    swapped = F.col("x.a") > F.col("y.a")
+    ends = [F.when(swapped, F.col(f"{q}.{c}")).otherwise(F.col(f"{p}.{c}")).alias(name) for p, q, c, name in (("x", "y", "a", "l"), ("y", "x", "a", "r"), ("x", "y", "n_shingles", "l_size"), ("y", "x", "n_shingles", "r_size"))]
+    return met.select(*ends).distinct()
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -200,24 +208,21 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     classes = sets.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("prefix").alias("prefix"), F.first("central").alias("central"))
     kinds = stash(sets.where("n_shingles > 0").groupBy("a", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("central").alias("central")), "join-classes")
-    postings = classes.select("a", F.explode("prefix").alias("shingle"))
+    postings = classes.select("a", F.posexplode("prefix").alias("place", "shingle"))
     repeated = postings.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
     met = stash(postings.join(repeated, "shingle").join(kinds.select("a", "n_shingles", "central"), "a"), "join-postings")
 
     # Each list against its most central class.
-    hubs = met.groupBy("shingle").agg(F.max(F.struct("central", "a", "n_shingles")).alias("hub"))
-    stars = met.join(hubs, "shingle").where("a <> hub.a").select(F.least("a", "hub.a").alias("l"), F.greatest("a", "hub.a").alias("r"), F.when(F.col("a") < F.col("hub.a"), F.col("n_shingles")).otherwise(F.col("hub.n_shingles")).alias("l_size"), F.when(F.col("a") < F.col("hub.a"), F.col("hub.n_shingles")).otherwise(F.col("n_shingles")).alias("r_size"))
-    stars = stash(stars.where(_fits("l_size", "r_size", percent)).distinct(), "join-stars")
+    hubs = met.groupBy("shingle").agg(F.max(F.struct("central", "a", "n_shingles", "place")).alias("hub")).select("shingle", "hub.*")
+    stars = stash(_pairs(met, hubs, F.col("x.a") != F.col("y.a"), percent), "join-stars")
     links = stash(_verified(stars, docs, kinds, order, pivots, n, percent), "join-links")
     parts = stash(components(links), "join-parts")
 
     # What is left: pairs of different components that still meet in a list.
     marked = met.join(parts.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
     mixed = marked.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
-    open_lists = stash(marked.join(mixed, "shingle").select("shingle", "a", "n_shingles", "label"), "join-open")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    cross = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.a") < F.col("y.a")) & (F.col("x.label") != F.col("y.label")) & _fits("x.n_shingles", "y.n_shingles", percent))
-    cross = cross.select(F.col("x.a").alias("l"), F.col("y.a").alias("r"), F.col("x.n_shingles").alias("l_size"), F.col("y.n_shingles").alias("r_size")).distinct()
+    open_lists = stash(marked.join(mixed, "shingle").select("shingle", "a", "n_shingles", "place", "label"), "join-open")
+    cross = _pairs(open_lists, open_lists, (F.col("x.a") < F.col("y.a")) & (F.col("x.label") != F.col("y.label")), percent)
     cross = stash(cross.join(stars.select("l", "r"), ["l", "r"], "left_anti"), "join-cross")
     more = stash(_verified(cross, docs, kinds, order, pivots, n, percent), "join-links")
     parts = stash(components(links.union(more)), "join-parts")
