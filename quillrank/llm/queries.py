@@ -13,6 +13,7 @@ from quillrank.llm.quality_qda import fold, score_quality
 from quillrank.llm.quality_trees import quality_rules
 from quillrank.llm.ring_sharding import shard_documents
 from quillrank.llm.source_mix import ORACLE_MIX, mix_sources
+from quillrank.llm.span_dedup import dedup_spans
 from quillrank.llm.tables import read
 from quillrank.llm.toxicity_knn import score_toxicity
 from quillrank.llm.url_filter import filter_urls, labelled_urls
@@ -37,6 +38,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"))
 
 
+def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(read(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -58,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_quality_classifier, op3_ngram_join, op4_mix_sources, op6_packing, op7_url_filter, op8_ring_shards, op10_toxicity)
+    found = (op1_quality_rules, op2_quality_classifier, op3_ngram_join, op4_mix_sources, op5_span_dedup, op6_packing, op7_url_filter, op8_ring_shards, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
