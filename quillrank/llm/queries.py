@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillrank.llm.edit_embedding import fingerprint_documents
 from quillrank.llm.ngram_join import ORACLE_JOIN, ngram_join
 from quillrank.llm.packing import pack_documents
 from quillrank.llm.quality_qda import fold, score_quality
@@ -56,6 +57,10 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0).select("doc_id", F.col("toxic").alias("label"))
     scored = score_toxicity(read(spark, sf_dir, "documents"), labels)
@@ -63,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_quality_classifier, op3_ngram_join, op4_mix_sources, op5_span_dedup, op6_packing, op7_url_filter, op8_ring_shards, op10_toxicity)
+    found = (op1_quality_rules, op2_quality_classifier, op3_ngram_join, op4_mix_sources, op5_span_dedup, op6_packing, op7_url_filter, op8_ring_shards, op9_edit_fingerprints, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
