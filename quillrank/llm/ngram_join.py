@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.llm import kernels as K
@@ -234,6 +234,18 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return some.union(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component, the one of the smallest doc_id, with all their columns.
+
+    Rows that share a doc_id are one document: the one whose text comes first
+    stays. Rows with a null doc_id, which have no name to be kept by, stay.
+    """
+    firsts = ngram_join(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    named = docs.join(firsts, F.col("doc_id").cast("long") == F.col("_first"))
+    ranked = named.withColumn("_rank", F.row_number().over(Window.partitionBy("_first").orderBy("text")))
+    return ranked.where("_rank = 1").select(*docs.columns).union(docs.where("doc_id is null"))
+
+
 ORACLE_JOIN = """
 WITH RECURSIVE word_lists AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {docs}

@@ -37,6 +37,8 @@ SMOOTHING = 0.1
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[65:91] = SEPARATORS[97:123] = SEPARATORS[128:] = False
 FILTER = 1 << 20
+#: Rows that are scored at once.
+PORTION = 1000
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -111,30 +113,33 @@ def vocabulary(rows: pa.Table) -> np.ndarray:
     return np.sort(kept[best[ratio[best] >= LEAST_RATIO][:MOST_TERMS]])
 
 
-def marked_terms(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
-    """doc_id, n_words and the counts of vocabulary terms (two lists) for every document."""
+def _marked(texts: pa.Array, vocab: np.ndarray) -> Iterator[tuple[K.Block, np.ndarray, pa.ListArray, pa.ListArray]]:
+    """Of each block: the number of words of its documents, and their vocabulary terms and how often they occur."""
     may = np.zeros(FILTER, bool)
     may[(vocab & K.U(FILTER - 1)).astype(np.int64)] = True
+    for block in K.blocks(texts):
+        name, doc, n_words = terms(block)
+        hit = np.flatnonzero(may[(name & K.U(FILTER - 1)).astype(np.int64)])
+        name, doc = name[hit], doc[hit]
+        if len(name):
+            at = np.minimum(np.searchsorted(vocab, name), len(vocab) - 1)
+            same = vocab[at] == name
+            at, doc = at[same], doc[same]
+        else:
+            at = doc = np.zeros(0, np.int64)
+        cell, times = np.unique(doc * max(1, len(vocab)) + at, return_counts=True)
+        doc, at = cell // max(1, len(vocab)), cell % max(1, len(vocab))
+        n = block.last - block.first
+        yield block, n_words.astype(np.int64), K.lists(at.astype(np.int32), doc, n), K.lists(times.astype(np.int32), doc, n)
+
+
+def marked_terms(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
+    """doc_id, n_words and the vocabulary terms and their counts (two lists) for every document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in K.blocks(batch.column("text")):
-                name, doc, n_words = terms(block)
-                hit = np.flatnonzero(may[(name & K.U(FILTER - 1)).astype(np.int64)])
-                name, doc = name[hit], doc[hit]
-                if len(vocab):
-                    at = np.minimum(np.searchsorted(vocab, name), len(vocab) - 1)
-                    same = vocab[at] == name
-                    at, doc = at[same], doc[same]
-                else:
-                    at, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                cell, times = np.unique(doc * max(1, len(vocab)) + at, return_counts=True)
-                doc, at = cell // max(1, len(vocab)), cell % max(1, len(vocab))
-                n = block.last - block.first
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(block.first, n), pa.array(n_words.astype(np.int64)), K.lists(at.astype(np.int32), doc, n), K.lists(times.astype(np.int32), doc, n)],
-                    names=["doc_id", "n_words", "terms", "times"],
-                )
+            for block, n_words, marked, times in _marked(batch.column("text"), vocab):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.last - block.first), pa.array(n_words), marked, times], names=["doc_id", "n_words", "terms", "times"])
 
     return docs.mapInArrow(count, "doc_id long, n_words long, terms array<int>, times array<int>")
 
@@ -204,21 +209,21 @@ def build_index(x: np.ndarray, doc_id: np.ndarray, label: np.ndarray, idf: np.nd
     return Index(block_terms, weights, bounds, (ones + SMOOTHING * prior) / (ones + zeros + SMOOTHING), doc_id[new], (ones > zeros).astype(np.int32), idf)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Score every row of ``docs`` (doc_id, text), as ``labels`` (doc_id, label: 1 is toxic) mark it.
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
 
-    Returns doc_id, score (calibrated, 0 to 1) and evidence, the nearest
-    examples (doc_id, toxic, cosine). Null and empty texts are scored as texts
-    without marked words; rows with a null doc_id are scored; repeated rows
-    score alike; without labels of both kinds every score is 0 and has no
-    evidence; an empty table gives no rows; other columns are ignored.
+
+def fit_examples(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, DataFrame, Index] | None:
+    """The vocabulary, the marked terms of all documents and the index; None where one of the labels is missing.
+
+    Document frequencies are counted over all of ``docs``.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    known = _known(labels)
     totals = dict(known.groupBy("label").count().collect())
     if len(totals) < 2:
-        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(None).cast("array<struct<doc_id:bigint,toxic:int,cosine:double>>").alias("evidence"))
+        return None
     chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect() for k, most in ((0, MOST_CLEAN), (1, MOST_TOXIC))]
     sample = spark.createDataFrame([tuple(r) for part in chosen for r in part], "doc_id long, label int").distinct()
     # The sample is bounded by MOST_CLEAN + MOST_TOXIC rows.
@@ -231,29 +236,71 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     idf = np.log(1 + n_docs / np.concatenate([np.maximum(df, 1), [max(n_docs, 1)]]))
     rows = marked.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "n_words", "terms", "times").toArrow().combine_chunks()
     if not len(rows):
-        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(None).cast("array<struct<doc_id:bigint,toxic:int,cosine:double>>").alias("evidence"))
-    one = lambda t, c: t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c)
-    x = vectors(rows.column("n_words").to_numpy(), one(rows, "terms"), one(rows, "times"), idf)
+        return None
+    one = lambda c: rows.column(c).combine_chunks() if isinstance(rows.column(c), pa.ChunkedArray) else rows.column(c)
+    x = vectors(rows.column("n_words").to_numpy(), one("terms"), one("times"), idf)
     label = rows.column("label").to_numpy()
     weight = tuple(totals[k] / max(1, int((label == k).sum())) for k in (0, 1))
-    index = spark.sparkContext.broadcast(build_index(x, rows.column("doc_id").to_numpy(), label, idf, weight))
+    return vocab, marked, build_index(x, rows.column("doc_id").to_numpy(), label, idf, weight)
+
+
+def _judged(model: Index, n_words: np.ndarray, marked: pa.ListArray, times: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, entries and cosines of each row; equal vectors are looked up once."""
+    q = vectors(n_words, marked, times, model.idf)
+    if not len(q):
+        return np.zeros(0), np.zeros((0, 0), np.int64), np.zeros((0, 0))
+    different, inverse = np.unique(q, axis=0, return_inverse=True)
+    score, entry, cosine = model.score(different)
+    inverse = inverse.ravel()
+    return score[inverse], entry[inverse], cosine[inverse]
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Score every row of ``docs`` (doc_id, text), as ``labels`` (doc_id, label: 1 is toxic) mark it.
+
+    Returns doc_id, score (calibrated, 0 to 1) and evidence, the nearest
+    examples (doc_id, toxic, cosine). Null and empty texts are scored as texts
+    without marked words; rows with a null doc_id are scored; repeated rows
+    score alike; without labels of both kinds every score is 0 and has no
+    evidence; an empty table gives no rows; other columns are ignored.
+    """
+    found = fit_examples(docs, labels)
+    if found is None:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(None).cast("array<struct<doc_id:bigint,toxic:int,cosine:double>>").alias("evidence"))
+    _, marked, index = found
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Index = index.value
+        model: Index = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in whole.slice(at, 1000).columns], schema=whole.schema)
-                q = vectors(batch.column("n_words").to_numpy(), _fresh(batch.column("terms")), _fresh(batch.column("times")), model.idf)
-                different, first, inverse = np.unique(q, axis=0, return_index=True, return_inverse=True) if len(q) else (q, None, np.zeros(0, int))
-                score, entry, cosine = model.score(different)
-                found = entry[inverse][:, :EVIDENCE]
-                size = found.shape[1]
-                near = pa.StructArray.from_arrays([pa.array(model.example[found].ravel()), pa.array(model.toxic[found].ravel()), pa.array(np.minimum(cosine[inverse][:, :EVIDENCE], 1.0).ravel())], names=["doc_id", "toxic", "cosine"])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score[inverse.ravel()]), pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1, dtype=np.int32) * size), near)], names=["doc_id", "score", "evidence"])
+            for at in range(0, whole.num_rows, PORTION):
+                batch = whole.slice(at, PORTION)
+                score, entry, cosine = _judged(model, batch.column("n_words").to_numpy(), _fresh(batch.column("terms")), _fresh(batch.column("times")))
+                entry, cosine = entry[:, :EVIDENCE], np.minimum(cosine[:, :EVIDENCE], 1.0)
+                near = pa.StructArray.from_arrays([pa.array(model.example[entry].ravel()), pa.array(model.toxic[entry].ravel()), pa.array(cosine.ravel())], names=["doc_id", "toxic", "cosine"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.ListArray.from_arrays(pa.array(np.arange(len(score) + 1, dtype=np.int32) * entry.shape[1]), near)], names=["doc_id", "score", "evidence"])
 
     return marked.mapInArrow(judge, "doc_id long, score double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``limit``, with all their columns. Texts are judged where they lie and not shuffled."""
+    found = fit_examples(docs, labels)
+    if found is None:
+        return docs
+    vocab, _, index = found
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, n_words, marked, times in _marked(batch.column("text"), vocab):
+                rows = batch.slice(block.first, block.last - block.first)
+                clean = [_judged(shared.value, n_words[i : i + PORTION], _fresh(marked.slice(i, PORTION)), _fresh(times.slice(i, PORTION)))[0] < limit for i in range(0, len(n_words), PORTION)]
+                yield rows.filter(pa.array(np.concatenate(clean)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def _fresh(lists: pa.ListArray) -> pa.ListArray:
     """The same lists, with offsets from 0."""
     return pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy() - lists.offsets[0].as_py()), lists.flatten())
