@@ -8,7 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Most bytes of an Arrow batch between Spark and Python, so that long texts don't add up in a worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -28,6 +37,7 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     recomputation; the written size also lets the planner choose joins by fact.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

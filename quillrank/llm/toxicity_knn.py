@@ -69,8 +69,8 @@ def terms(block: K.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(names), np.concatenate(docs), n_words
 
 
-def term_sets(docs: DataFrame) -> DataFrame:
-    """label, terms (distinct) and each one's share of the words, of labelled documents (label, text)."""
+def term_sets(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """terms (distinct; of ``only``, if given) and each one's share of the words, of documents (text)."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,31 +84,37 @@ def term_sets(docs: DataFrame) -> DataFrame:
                 name, doc = name[new], doc[new]
                 n = block.last - block.first
                 shares = (times / n_words[doc]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(block.first, n), K.lists(name.view(np.int64), doc, n), K.lists(shares, doc, n)], names=["label", "terms", "shares"])
+                if only is not None:
+                    wanted = np.isin(name, only)
+                    name, doc, shares = name[wanted], doc[wanted], shares[wanted]
+                yield pa.RecordBatch.from_arrays([K.lists(name.view(np.int64), doc, n), K.lists(shares, doc, n)], names=["terms", "shares"])
 
-    return docs.mapInArrow(collect, "label int, terms array<long>, shares array<float>")
+    return docs.select("text").mapInArrow(collect, "terms array<long>, shares array<float>")
 
 
-def vocabulary(rows: pa.Table) -> np.ndarray:
-    """The names, in order, of the terms that go with label 1, by the examples' term sets."""
-    label = rows.column("label").to_numpy()
-    sets = rows.column("terms").combine_chunks()
-    names, shares = sets.flatten().to_numpy().view(K.U), rows.column("shares").combine_chunks().flatten().to_numpy()
-    toxic = np.repeat(label == 1, np.diff(sets.offsets.to_numpy()))
-    n_toxic, n_clean = max(1, int((label == 1).sum())), max(1, int((label == 0).sum()))
-    kept, with_toxic = np.unique(names[toxic], return_counts=True)
+def vocabulary(examples: DataFrame) -> np.ndarray:
+    """The names, in order, of the terms that go with label 1, by examples (label, text)."""
+
+    def flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
+        columns = [rows.column(c).combine_chunks().flatten().to_numpy() for c in ("terms", "shares")]
+        return columns[0].view(K.U), columns[1], max(1, len(rows))
+
+    names, shares, n_toxic = flat(term_sets(examples.where("label = 1")).toArrow())
+    kept, with_toxic = np.unique(names, return_counts=True)
     kept = kept[with_toxic >= max(LEAST_DOCS, LEAST_SHARE * n_toxic)]
     if not len(kept):
         return kept
 
-    def mean_share(own: np.ndarray, n: int) -> np.ndarray:
-        at = np.minimum(np.searchsorted(kept, names[own]), len(kept) - 1)
-        same = kept[at] == names[own]
-        return np.bincount(at[same], shares[own][same], len(kept)) / n
+    def mean_share(names: np.ndarray, shares: np.ndarray, n: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(kept, names), len(kept) - 1)
+        same = kept[at] == names
+        return np.bincount(at[same], shares[same], len(kept)) / n
 
-    in_toxic = mean_share(toxic, n_toxic)
+    in_toxic = mean_share(names, shares, n_toxic)
+    clean_names, clean_shares, n_clean = flat(term_sets(examples.where("label = 0"), kept).toArrow())
+    in_clean = mean_share(clean_names, clean_shares, n_clean)
     # A term that no clean example has counts as one word in a few thousand of one of them.
-    ratio = in_toxic / (mean_share(~toxic, n_clean) + 3e-4 / n_clean)
+    ratio = in_toxic / (in_clean + 3e-4 / n_clean)
     best = np.lexsort((kept, -in_toxic * np.log(ratio)))
     return np.sort(kept[best[ratio[best] >= LEAST_RATIO][:MOST_TERMS]])
 
@@ -227,7 +233,7 @@ def fit_examples(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, DataFr
     chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect() for k, most in ((0, MOST_CLEAN), (1, MOST_TOXIC))]
     sample = spark.createDataFrame([tuple(r) for part in chosen for r in part], "doc_id long, label int").distinct()
     # The sample is bounded by MOST_CLEAN + MOST_TOXIC rows.
-    vocab = vocabulary(term_sets(docs.join(F.broadcast(sample), "doc_id").select("label", "text")).toArrow())
+    vocab = vocabulary(docs.join(F.broadcast(sample), "doc_id"))
     marked = stash(marked_terms(docs, vocab), "toxicity-terms")
     n_docs = marked.count()
     df = np.zeros(len(vocab))
