@@ -30,10 +30,9 @@ def last_segment(url: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """How many components agree from the start on: how many of the beginnings of ``a`` are beginnings of ``b``."""
-    shorter = F.least(F.size(a), F.size(b))
-    agree = F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda n: F.slice(a, 1, n) == F.slice(b, 1, n))
-    return F.when(shorter < 1, F.lit(0)).otherwise(F.size(agree))
+    """How many components agree from the start on: the place of the first pair that differs tells."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differs == 0, F.size(a)).otherwise(differs - 1).cast("int")
 
 
 def common_suffix(a: Column, b: Column) -> Column:

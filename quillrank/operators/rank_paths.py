@@ -35,7 +35,9 @@ def path_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """f, g and their similarity in each technique, for distinct locations that share a component."""
     f = left.select(F.col("location").alias("f")).distinct().withColumn("a", components(F.col("f")))
     g = right.select(F.col("location").alias("g")).distinct().withColumn("b", components(F.col("g")))
-    shared = f.select("f", F.explode(F.array_distinct("a")).alias("part")).join(g.select("g", F.explode(F.array_distinct("b")).alias("part")), "part").select("f", "g").distinct()
+    met = f.select("f", F.explode(F.array_distinct("a")).alias("part")).join(g.select("g", F.explode(F.array_distinct("b")).alias("part")), "part").select("f", "g")
+    # Pairs are few bytes but much work each, so their number of partitions is set and not left to be coalesced by size.
+    shared = met.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f", "g").distinct()
     split = shared.withColumn("a", components(F.col("f"))).withColumn("b", components(F.col("g")))
     return split.select("f", "g", *[similarity(t, F.col("a"), F.col("b")).alias(t) for t in TECHNIQUES])
 

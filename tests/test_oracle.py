@@ -8,13 +8,14 @@ from conftest import DATA
 from quillrank import queries as Q
 
 NAMES = sorted(Q.queries())
+SQL = Q.oracle_sql() | Q.SMALL_SQL
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n in Q.oracle_sql()])
+@pytest.mark.parametrize("name", [n for n in NAMES if n in SQL])
 def test_same_as_sql(name, same_as_duck):
-    same_as_duck(Q.queries()[name], Q.oracle_sql()[name])
+    same_as_duck(Q.queries()[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n not in Q.oracle_sql()])
+@pytest.mark.parametrize("name", [n for n in NAMES if n not in SQL])
 def test_runs(name, spark):
     assert Q.queries()[name](spark, DATA).count() > 0
