@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ RUN_WORDS, ALONE_WORDS = 12, 40
 OWN_WORDS = 3
 STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
-LAST_ID = 2**63 - 1
+#: Rows without a doc_id take places from here on.
+NO_ID = 2**62
 
 
 @dataclass
@@ -135,7 +137,7 @@ def _without(batches: Iterator[pa.RecordBatch], column: str, kept: list[str]) ->
             continue
         text = pa.array(texts, pa.binary()).cast(pa.string())
         if batch.column(column).null_count:
-            text = pa.compute.if_else(batch.column(column).is_null(), pa.scalar(None, pa.string()), text)
+            text = pc.if_else(batch.column(column).is_null(), pa.scalar(None, pa.string()), text)
         columns = [text if c == column else batch.column(c) for c in kept]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(n_sentences).astype(np.int64)), pa.array(np.concatenate(n_removed).astype(np.int64))], names=[*kept, "n_sentences", "n_removed"])
 
@@ -151,12 +153,10 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     rows. Runs are told apart by 64-bit hashes. Columns called n_sentences or
     n_removed are replaced.
     """
-    import pyarrow.compute  # noqa: F401
-
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).bitwiseOR(F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(NO_ID - 1))))
     spans = _spans(docs.select(order.alias("doc_id"), F.col("text").cast("string").alias("text")))
     first = spans.groupBy("run").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("run", "first_id")
-    repeats = spans.join(first, "run").where("doc_id > first_id").groupBy("doc_id").agg(F.collect_list("run").alias("_repeats")).withColumnRenamed("doc_id", "_order")
+    repeats = spans.join(first, "run").where("doc_id > first_id").groupBy("doc_id").agg(F.collect_set("run").alias("_repeats")).withColumnRenamed("doc_id", "_order")
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     marked = docs.select(*kept).withColumn("text", F.col("text").cast("string")).withColumn("_order", order).join(repeats, "_order", "left").select(*kept, "_repeats")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema if f.name != "_repeats") + ", n_sentences long, n_removed long"
