@@ -240,10 +240,16 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Rows that share a doc_id are one document: the one whose text comes first
     stays. Rows with a null doc_id, which have no name to be kept by, stay.
     """
-    firsts = ngram_join(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    named = docs.join(firsts, F.col("doc_id").cast("long") == F.col("_first"))
-    ranked = named.withColumn("_rank", F.row_number().over(Window.partitionBy("_first").orderBy("text")))
-    return ranked.where("_rank = 1").select(*docs.columns).union(docs.where("doc_id is null"))
+    key = F.col("doc_id").cast("long")
+    firsts = stash(ngram_join(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct(), "join-firsts")
+    # Ids are a small part of the rows; hashed on, texts are shuffled once and not sorted.
+    kept = docs.withColumn("_first", key).join(firsts.withColumnRenamed("doc_id", "_first").hint("shuffle_hash"), "_first", "left_semi")
+    repeated = stash(docs.groupBy(key.alias("_first")).agg(F.count("*").alias("n")).where("n > 1 and _first is not null").select("_first"), "join-repeated")
+    if not repeated.isEmpty():
+        again = Window.partitionBy("_first").orderBy("text")
+        one = kept.join(repeated, "_first", "left_semi").withColumn("_rank", F.row_number().over(again)).where("_rank = 1").drop("_rank")
+        kept = kept.join(repeated, "_first", "left_anti").unionByName(one)
+    return kept.select(*docs.columns).union(docs.where(key.isNull()))
 
 
 ORACLE_JOIN = """
