@@ -15,7 +15,8 @@ from quillrank.llm.tables import stash
 BUCKETS = 1 << 12
 SIZES = (3, 4, 5)
 STEPS = 300
-RATE = 0.5
+#: A step converges while it is under 8 over the kernel's largest eigenvalue, which for some 160 labelled URLs is about 260.
+RATE = 0.02
 RIDGE = 0.02
 
 #: (action, host and path). The longest that fits a URL decides.
