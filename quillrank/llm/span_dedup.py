@@ -1,8 +1,8 @@
 """Substring dedup on sliding spans of sentences.
 
-Every run of two consecutive sentences is hashed (and a very long sentence for
-itself); runs are joined over all documents, and sentences that a non-first
-repeat covers go. Of equal runs the first in order of doc_id and position stays.
+From every sentence on, the shortest run of two or more consecutive sentences
+that has enough words is hashed (and a very long sentence for itself); runs are
+joined over all documents, and sentences that a non-first repeat covers go. Of equal runs the first in order of doc_id and position stays.
 """
 
 from __future__ import annotations
@@ -69,10 +69,18 @@ def sentences(block: K.Block) -> Sentences:
 
 def runs(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first sentence and number of sentences of every run that counts, in order of document and position."""
-    pair = np.flatnonzero((s.doc[1:] == s.doc[:-1]) & (s.words[1:] + s.words[:-1] >= RUN_WORDS)) if len(s.doc) else np.zeros(0, np.int64)
+    n = len(s.doc)
+    done = np.concatenate([[0], np.cumsum(s.words)])
+    end = np.maximum(np.searchsorted(done, done[:-1] + RUN_WORDS, "left"), np.arange(n) + 2)
+    at = np.flatnonzero(end <= s.of_doc[s.doc + 1])
+    size = end[at] - at
+    name = np.zeros(len(at), K.U)
+    for k in range(int(size.max()) if len(size) else 0):
+        more = np.flatnonzero(size > k)
+        name[more] = name[more] * K.BASE + s.name[at[more] + k]
     alone = np.flatnonzero(s.words >= ALONE_WORDS)
-    name = np.concatenate([K.mix(s.name[pair] * K.BASE + s.name[pair + 1]), K.mix(s.name[alone] ^ K.U(5))])
-    at, size = np.concatenate([pair, alone]), np.concatenate([np.full(len(pair), 2), np.full(len(alone), 1)])
+    name = np.concatenate([K.mix(name ^ size.astype(K.U)), K.mix(s.name[alone] ^ K.U(1))])
+    at, size = np.concatenate([at, alone]), np.concatenate([size, np.ones(len(alone), np.int64)])
     order = np.argsort(at, kind="stable")
     return name[order], at[order], size[order]
 
@@ -117,10 +125,10 @@ def _without(batches: Iterator[pa.RecordBatch], column: str, kept: list[str]) ->
             mark_doc = np.repeat(np.arange(n_docs), np.diff(mark_ends[block.first : block.last + 1]))
             tag = lambda d, x: K.mix(x ^ K.mix(d.astype(K.U)))
             repeats = np.isin(tag(doc, name), tag(mark_doc, mark_names[own])) | _later(doc, name)
-            gone = np.zeros(len(s.doc) + 1, bool)
-            gone[at[repeats]] = True
-            gone[at[repeats & (size == 2)] + 1] = True
-            gone = gone[:-1]
+            covers = np.zeros(len(s.doc) + 1, np.int64)
+            np.add.at(covers, at[repeats], 1)
+            np.add.at(covers, at[repeats] + size[repeats], -1)
+            gone = np.cumsum(covers)[:-1] > 0
             removed = np.bincount(s.doc[gone], minlength=n_docs)
             raw = block.data.tobytes()
             bounds = block.at.tolist()
