@@ -28,9 +28,9 @@ STRIDE = 512
 #: Windows of a power of two of tokens, from here on, need no padding.
 LEAST_POWER = 256
 #: Tokens that are cut at once; the last window of each portion stays open for the next.
-PORTION = 1 << 20
+PORTION = 1 << 18
 #: Words whose ids a task remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
 MARK = np.zeros(256, bool)
