@@ -10,9 +10,10 @@ import duckdb
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+from small_data import DATA  # noqa: E402
 
 
 @pytest.fixture(scope="session")
