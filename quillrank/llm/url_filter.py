@@ -75,8 +75,12 @@ def rule_for(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column,
 def grams(host: Column, path: Column) -> Column:
     """Distinct hash buckets of the character n-grams of the host and of the path, in which numbers count as one character."""
     text = F.concat(F.lit("^"), host, F.lit(" "), F.regexp_replace(path, "[0-9]+", "0"), F.lit("$"))
-    each = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i, n=n: F.pmod(F.xxhash64(F.lit(n), F.substring(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int")) for n in SIZES]
-    return F.array_distinct(F.concat(*each))
+
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(n), F.substring(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
+
+    return F.array_distinct(F.concat(*map(of_size, SIZES)))
 
 
 def fit(labelled: DataFrame) -> tuple[list[float], float]:

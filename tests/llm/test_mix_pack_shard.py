@@ -189,12 +189,23 @@ def test_odd_urls_and_the_model(spark):
     rows = filter_urls(pages, labelled_urls(spark)).collect()
     assert len(rows) == len(urls)
     check_urls(rows, dict(enumerate(urls)))
+    # Names of neither label's table.
     new = ["https://big-casino-slots.example.net/en/5", "https://cheap-pills-online.example.net/x", "https://schoollibrary.example.net/en/5", "https://historymuseum.example.net/x"]
     verdicts = {r.page_id: r.verdict for r in filter_urls(spark.createDataFrame(list(enumerate(new)), "page_id long, url string"), labelled_urls(spark)).collect()}
     assert verdicts == {0: "block", 1: "block", 2: "allow", 3: "allow"}
     assert filter_urls(pages.limit(0), labelled_urls(spark)).count() == 0
 
 
+def test_held_out_urls(spark):
+    """Every fifth name is kept from the fit, with all its URLs."""
+    rows = [tuple(r) for r in labelled_urls(spark).collect()]
+    held = [r for k, r in enumerate(rows) if k // 2 % 5 == 2]
+    known = spark.createDataFrame([r for r in rows if r not in held], "url string, label int")
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(held)], "page_id long, url string")
+    right = [(r.score >= 0.5) == (held[r.page_id][1] == 1) for r in filter_urls(pages, known, rules=()).collect()]
+    assert np.mean(right) >= 0.75
+
+
 def edited(rows):
     out = []
     for i, (d, t) in enumerate(rows):
