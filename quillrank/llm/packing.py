@@ -29,8 +29,10 @@ STRIDE = 512
 LEAST_POWER = 256
 #: Tokens that are cut at once; the last window of each portion stays open for the next.
 PORTION = 1 << 18
+#: Bytes of text whose words are looked up at once.
+LOOKUP_BYTES = 1 << 21
 #: Words whose ids a task remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
 MARK = np.zeros(256, bool)
@@ -298,7 +300,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
         sequence = (context.partitionId() if context else 0) << 33
         tokens, stream = word_tokens(path), Stream()
         for batch in batches:
-            for block in K.blocks(batch.column("text")):
+            for block in K.blocks(batch.column("text"), LOOKUP_BYTES):
                 stream.add(*tokenized(block, tokens, end_id), batch.column("doc_id").slice(block.first, block.last - block.first))
                 if stream.n >= PORTION:
                     out, n = stream.cut(sequence, False, length)
