@@ -21,7 +21,7 @@ edits AS (SELECT root_path, commit_seq, l_linenumber AS b, CASE l_returnflag WHE
   CAST(l_quantity % 5 + 1 AS INT) AS older, CAST(l_suppkey % 5 + 1 AS INT) AS newer FROM lines JOIN commits USING (root_path, o_orderkey, ts)),
 targets AS (SELECT id AS target_id FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts DESC, id DESC) AS rk FROM pr) WHERE rk = 1),
 files AS (SELECT DISTINCT target_id, root_path FROM targets JOIN lines ON o_orderkey = target_id),
-placed AS (SELECT target_id, f.root_path, commit_seq AS place, n_commits FROM files f JOIN commits c ON c.root_path = f.root_path AND o_orderkey = target_id
+placed_files AS (SELECT target_id, f.root_path, commit_seq AS place, n_commits FROM files f JOIN commits c ON c.root_path = f.root_path AND o_orderkey = target_id
   JOIN (SELECT root_path, max(commit_seq) + 1 AS n_commits FROM commits GROUP BY root_path) n ON n.root_path = f.root_path WHERE n_commits > 1 AND commit_seq < n_commits - 1)"""
 
 
@@ -48,9 +48,9 @@ def _line_points(spark: SparkSession, folder: str) -> DataFrame:
     "line_affected",
     _log(
         """SELECT DISTINCT target_id, root_path, CAST(line AS INT) AS line FROM (
-  SELECT target_id, root_path, unnest(range(b + 1, b + 1 + older)) AS line FROM placed JOIN edits USING (root_path) WHERE commit_seq = place AND type = 'DELETE'
-  UNION ALL SELECT target_id, root_path, unnest(range(b + 1, b + 1 + newer)) FROM placed JOIN edits USING (root_path) WHERE commit_seq = place AND type = 'REPLACE'
-  UNION ALL SELECT target_id, root_path, b FROM placed JOIN edits USING (root_path) WHERE commit_seq = place AND type = 'INSERT')"""
+  SELECT target_id, root_path, unnest(range(b + 1, b + 1 + older)) AS line FROM placed_files JOIN edits USING (root_path) WHERE commit_seq = place AND type = 'DELETE'
+  UNION ALL SELECT target_id, root_path, unnest(range(b + 1, b + 1 + newer)) FROM placed_files JOIN edits USING (root_path) WHERE commit_seq = place AND type = 'REPLACE'
+  UNION ALL SELECT target_id, root_path, b FROM placed_files JOIN edits USING (root_path) WHERE commit_seq = place AND type = 'INSERT')"""
     ),
 )
 def line_affected(spark: SparkSession, folder: str) -> DataFrame:
