@@ -5,7 +5,9 @@ whether the reader moves on or reads the character once more. What is read is a
 string in which near texts (by edit distance) differ in few places (by Hamming
 distance). Fingerprints sample it at fixed places, as many in each octave, so
 texts of any length compare place by place. Banding over samples finds
-candidates, and comparing fingerprints verifies them.
+candidates, and comparing fingerprints verifies them. Bands grow with the
+logarithm of the number of rows, so strangers seldom share one; where a bucket
+is full all the same, it is split on further samples.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.llm import kernels as K
@@ -33,8 +36,12 @@ ABSENT = 255
 STEPS = 1024
 BLOCK_BYTES = 1 << 23
 PARTS_PER_PARTITION = 4
-#: Bands, and samples in each.
-BANDS, BAND_SAMPLES, LIKENESS = 16, 4, 0.8
+#: Documents are near from this likeness on; of pairs that are just so near, banding may miss this share.
+LIKENESS, MISSED = 0.8, 0.005
+#: Samples of a band beyond those at which one stranger shares it.
+SPARE_SAMPLES = 2
+#: Members of a bucket of which all pairs are compared; a fuller one is split so many ways on so many further samples, at most so often.
+FULL, SPLITS, SPLIT_SAMPLES, DEPTH = 64, 6, 4, 6
 
 
 def _stays() -> np.ndarray:
@@ -207,9 +214,16 @@ NAMES = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order, and each part ends with a sentinel, the document after its last one."""
-    carried = None
+    """Rows come in order, and each part ends with a sentinel, the document after its last one. Classes of a part (sentinel -1) come before its rows."""
+    carried, classes = None, {}
     for batch in batches:
+        named = batch.filter(pa.compute.equal(batch.column("sentinel"), -1))
+        if named.num_rows:
+            ids, nodes, names = (named.column(c).to_pylist() for c in ("doc_id", "node", "class_id"))
+            classes |= zip(zip(ids, nodes, strict=True), names, strict=True)
+            batch = batch.filter(pa.compute.not_equal(batch.column("sentinel"), -1))
+            if not batch.num_rows:
+                continue
         table = pa.Table.from_batches([batch] if carried is None else [carried, batch]).combine_chunks()
         carried = table.slice(table.num_rows - 1).to_batches()[0]
         part, sentinel = table.column("part").to_numpy(), table.column("sentinel").to_numpy()
@@ -218,7 +232,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = block.last - block.first - 1
             chosen = pa.array(use[block.first : block.last - 1])
             columns = _fingerprints(block, rows)
-            yield pa.RecordBatch.from_arrays([table.column("doc_id").slice(block.first, rows).combine_chunks(), *columns], names=["doc_id", *NAMES]).filter(chosen)
+            ids = table.column("doc_id").slice(block.first, rows).combine_chunks()
+            keys = zip(ids.to_pylist(), columns[NAMES.index("fingerprint")].to_pylist(), strict=True)
+            class_id = pa.array([classes.get((d, node_of(f)), d) if classes else d for d, f in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, *columns, class_id], names=["doc_id", *NAMES, "class_id"]).filter(chosen)
 
 
 def _overlapping(texts: pa.ChunkedArray, limit: int) -> Iterator[K.Block]:
@@ -252,16 +269,20 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprint every row of ``docs`` (doc_id, text), and the same text with its end replaced by the start of the next document.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited and near_next. The last n_chars // 4 code points give way to as
+    near_edited, near_next and class_id (see ``near_classes``). The last n_chars // 4 code points give way to as
     many (or all) first ones of the next document in order of doc_id; after the
     last comes the first. Null ids come before all others; rows with one doc_id
     are in order of their texts. Null text is empty; two empty texts are alike
     (1.0). An empty table gives no rows; other columns are ignored.
 
     Rows are dealt by ranges of doc_id and the first row of each range is also
-    sent to the range before it, so texts are shuffled once.
+    sent to the range before it, so texts are shuffled once; classes other than
+    a row's own id go along.
     """
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    prints = stash(docs.mapInArrow(_own_prints, PRINTS), "edit-prints")
+    named = prints.select("doc_id", "node").join(_class_names(prints, LIKENESS), "node").where("class_id is not null and not doc_id <=> class_id").distinct()
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     parts = PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     quantiles = F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts)
@@ -274,51 +295,181 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     part_before = F.array(*[F.lit(before.get(p, 0)) for p in range(len(bounds) + 1)])
     here = F.struct(F.col("part"), F.lit(0).alias("sentinel"))
     there = F.struct(F.get(part_before, F.col("part")).alias("part"), F.lit(1).alias("sentinel"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), order.alias("id"), part.alias("part"))
+    rows = docs.select("doc_id", "text", order.alias("id"), part.alias("part"))
     dealt = rows.select("doc_id", "text", "id", F.explode(F.when(F.col("id") == F.get(head_of, F.col("part")), F.array(here, there)).otherwise(F.array(here))).alias("to"))
-    dealt = dealt.select("doc_id", "text", "id", "to.part", "to.sentinel").repartition("part").sortWithinPartitions("part", "sentinel", "id", "text")
-    return dealt.select("doc_id", "text", "part", "sentinel").mapInArrow(_neighbours, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = dealt.select("doc_id", "text", "id", "to.part", "to.sentinel", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("class_id"))
+    classes = named.select("doc_id", F.lit(None).cast("string").alias("text"), order.alias("id"), part.alias("part"), F.lit(-1).alias("sentinel"), "node", "class_id")
+    dealt = dealt.unionByName(classes).repartition("part").sortWithinPartitions("part", "sentinel", "id", "text")
+    return dealt.select("doc_id", "text", "part", "sentinel", "node", "class_id").mapInArrow(_neighbours, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long")
+
+
+PRINTS = "doc_id long, node long, print binary"
+
+
+def node_of(fingerprint: str) -> int:
+    """A fingerprint's 64-bit name."""
+    return int.from_bytes(hashlib.blake2b(fingerprint.encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def _packed(fingerprint: str) -> bytes:
+    """Its samples, two in a byte, after a byte that is 1 if the last one stands alone."""
+    body = fingerprint.partition(":")[2]
+    odd = len(body) & 1
+    return bytes([odd]) + bytes.fromhex(body + "0" * odd)
+
+
+def _unpacked(prints: list[bytes]) -> np.ndarray:
+    """Rows of nibbles, ABSENT beyond the end."""
+    out = np.full((len(prints), max([SAMPLES, *(2 * len(p) for p in prints)])), ABSENT, np.uint8)
+    for row, p in zip(out, prints, strict=True):
+        pairs = np.frombuffer(p, np.uint8)[1:]
+        n = 2 * len(pairs) - p[0]
+        row[:n] = np.stack([pairs >> 4, pairs & 15], axis=1).ravel()[:n]
+    return out
+
+
+def _prints(doc_id: pa.Array, fingerprints: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(map(node_of, fingerprints), pa.int64()), pa.array(map(_packed, fingerprints), pa.binary())], names=["doc_id", "node", "print"])
+
+
+def _own_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in K.blocks(batch.column("text"), BLOCK_BYTES):
+            kinds, at, _ = _kinds(block)
+            n = np.diff(at)
+            own = np.full((len(n), SAMPLES * octaves_of(4 * int(n.max()) + LONGEST)), ABSENT, np.uint8)
+            ends, _ = walk(kinds, at, np.zeros(len(n), np.int64), np.full(len(n), -1), own)
+            yield _prints(batch.column("doc_id").slice(block.first, len(n)), _written(_nibbles(own), ends))
+
+
+def _picks(first: int, bands: int, samples: int, usable: int) -> np.ndarray:
+    """For bands first .. first + bands - 1: which of the usable samples each looks at.
+
+    Each band has the samples in a random order by weight and takes the first
+    ones, so two texts agree on a pick about as often as in their likeness.
+    """
+    name = (K.U(first) + np.arange(bands, dtype=K.U))[:, None] << K.U(32) | np.arange(usable, dtype=K.U)[None, :]
+    even = ((K.mix(K.mix(name ^ K.U(0xBA4D))) >> K.U(11)).astype(np.float64) + 1) / 2.0**53
+    return np.argsort(-np.log(even) / weights(usable), axis=1, kind="stable")[:, :samples]
+
+
+def _bands(first: int, bands: int, samples: int):
+    """A function from prints to their bands' hashes, one row each."""
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(prints: list[bytes]) -> np.ndarray:
+        nibbles = _unpacked(prints)
+        usable = (nibbles != ABSENT).sum(axis=1)
+        out = np.empty((len(prints), bands), K.U)
+        for n in np.unique(usable).tolist():
+            if n not in known:
+                known[n] = _picks(first, bands, samples, n)
+            rows, at = np.flatnonzero(usable == n), known[n]
+            total = np.broadcast_to(K.mix(np.arange(first, first + bands, dtype=K.U)), (len(rows), bands)).copy()
+            for k in range(at.shape[1]):
+                total = K.mix(total * K.BASE + (at[:, k].astype(K.U) * K.U(16))[None, :] + nibbles[rows[:, None], at[None, :, k]])
+            out[rows] = total
+        return out
+
+    return of
+
+
+def band_shape(n: int, least: float) -> tuple[int, int]:
+    """Samples of a band and number of bands for n rows."""
+    samples = max(4, math.ceil(math.log(max(n, 2)) / -math.log(CHANCE)) + SPARE_SAMPLES)
+    agree = (CHANCE + (1 - CHANCE) * least) ** samples
+    return samples, max(16, math.ceil(math.log(MISSED) / math.log(1 - agree))) if agree < 1 else 16
+
+
+def _shared(bands: DataFrame) -> DataFrame:
+    """The distinct rows (band, node) of bands that several nodes have."""
+    own = Window.partitionBy("band")
+    wide = bands.withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own))
+    return wide.where("low < high").select("band", "node").distinct()
+
+
+def _near(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """The pairs (l, r) whose likeness is ``least`` or more."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEPS):
+                batch = whole.slice(at, STEPS)
+                both = _unpacked(batch.column("a").to_pylist() + batch.column("b").to_pylist())
+                yield batch.select(["l", "r"]).filter(pa.array(likeness(both[: batch.num_rows], both[batch.num_rows :]) >= least))
+
+    left, right = (prints.select(F.col("node").alias(end), F.col("print").alias(name)) for end, name in (("l", "a"), ("r", "b")))
+    return pairs.select("l", "r").distinct().join(left, "l").join(right, "r").select("l", "r", "a", "b").mapInArrow(verify, "l long, r long")
+
+
+def _class_names(prints: DataFrame, least: float) -> DataFrame:
+    """node and class_id, the smallest doc_id of what verified links lead to, for stashed rows (doc_id, node, print)."""
+    samples, bands = band_shape(prints.count(), least)
+
+    def first_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, seen = _bands(0, bands, samples), set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEPS):
+                batch = whole.slice(at, STEPS)
+                nodes = batch.column("node").to_pylist()
+                new = [i for i, x in enumerate(nodes) if not (x in seen or seen.add(x))]
+                batch = batch.take(pa.array(new, pa.int64()))
+                keys = of(batch.column("print").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), bands))], names=["band", "node"])
+
+    def split(depth: int):
+        def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = _bands(1_000_000 * depth, SPLITS, SPLIT_SAMPLES)
+            for whole in batches:
+                for at in range(0, whole.num_rows, STEPS):
+                    batch = whole.slice(at, STEPS)
+                    keys = K.mix(of(batch.column("print").to_pylist()) ^ batch.column("band").to_numpy().view(K.U)[:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), SPLITS))], names=["band", "node"])
+
+        return further
+
+    met = stash(_shared(prints.select("node", "print").mapInArrow(first_bands, "band long, node long")), "edit-bands")
+    wanted = met.select("node").distinct()
+    firsts = stash(prints.select("node", "print").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("print").alias("print")), "edit-firsts")
+    links, parts = None, None
+    for depth in range(1, DEPTH + 1):
+        # Each bucket against its hub.
+        hubs = met.groupBy("band").agg(F.min("node").alias("l"))
+        stars = stash(_near(met.join(hubs, "band").where("node <> l").select("l", F.col("node").alias("r")), firsts, least), "edit-links")
+        links = stars if links is None else links.union(stars)
+        parts = stash(components(links), "edit-parts")
+        # Members of different components that are still together.
+        marked = met.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n")
+        left = stash(marked.join(mixed, "band").select("band", "node", "label", "n"), "edit-open")
+        few = left if depth == DEPTH else left.where(F.col("n") <= FULL)
+        x, y = few.alias("x"), few.alias("y")
+        cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
+        links = links.union(stash(_near(cross.select(F.col("x.node").alias("l"), F.col("y.node").alias("r")), firsts, least), "edit-links"))
+        full = left.where(F.col("n") > FULL)
+        if depth == DEPTH or full.isEmpty():
+            break
+        met = stash(_shared(full.join(firsts, "node").select("node", "print", "band").mapInArrow(split(depth), "band long, node long")), "edit-bands")
+    parts = stash(components(links), "edit-parts")
+    smallest = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    named = smallest.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    names = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
+    return named.join(names, "label").select("node", "class_id")
 
 
 def near_classes(fingerprints: DataFrame, least: float = LIKENESS) -> DataFrame:
     """doc_id and class_id, the smallest doc_id of the documents that verified links lead to, for rows (doc_id, fingerprint).
 
-    Documents meet in a band when a few samples agree; each bucket is compared
-    with its smallest doc_id only, so its size does no harm. Equal fingerprints
-    are one class. Null ids are classes of their own.
+    Documents meet in a band when a few samples agree, more for more rows.
+    Each bucket is compared with one member, the hub, and then members of
+    different components with each other; a full bucket is split on further
+    samples first. Equal fingerprints are one class. A row with a null id joins
+    its class but never names it.
     """
-    rows = fingerprints.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "fingerprint")
-    firsts = stash(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "edit-classes")
 
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("fingerprint").to_pylist(), strict=True):
-                end, _, body = text.partition(":")
-                full = octaves_of(int(end, 16))
-                for level in {full, max(1, full - 1)}:
-                    usable = min(SAMPLES * level, len(body))
-                    if not usable:
-                        continue
-                    for b in range(BANDS):
-                        picks = K.mix(np.arange(BAND_SAMPLES, dtype=K.U) + K.U(100 * b + 10_000 * level)) % K.U(SAMPLES * level)
-                        if level < full or (picks < usable).all():
-                            keys.append(f"{level}/{b}/" + "".join(body[p] for p in picks.tolist()))
-                            nodes.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.string())], names=["node", "band"])
-
-    met = stash(firsts.mapInArrow(bands, "node long, band string"), "edit-bands")
-    hubs = met.groupBy("band").agg(F.min("node").alias("hub"))
-    pairs = met.join(hubs, "band").where("node <> hub").select("node", "hub").distinct()
-    pairs = pairs.join(firsts.withColumnRenamed("fingerprint", "a"), "node").join(firsts.select(F.col("node").alias("hub"), F.col("fingerprint").alias("b")), "hub")
+            yield _prints(batch.column("doc_id"), batch.column("fingerprint").to_pylist())
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = parsed(batch.column("a").to_pylist() + batch.column("b").to_pylist())
-            yield batch.select(["node", "hub"]).filter(pa.array(likeness(both[: batch.num_rows], both[batch.num_rows :]) >= least))
-
-    links = pairs.select("node", "hub", "a", "b").mapInArrow(verify, "node long, hub long")
-    labels = components(links)
-    named = firsts.join(labels, "node", "left").select("fingerprint", F.coalesce("label", "node").alias("class_id"))
-    alone = fingerprints.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
-    return rows.join(named, "fingerprint").select("doc_id", "class_id").union(alone)
+    prints = stash(fingerprints.select(F.col("doc_id").cast("long").alias("doc_id"), "fingerprint").mapInArrow(pack, PRINTS), "edit-prints")
+    return prints.select("doc_id", "node").join(_class_names(prints, least), "node").select("doc_id", "class_id")
