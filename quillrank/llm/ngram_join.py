@@ -118,12 +118,12 @@ def _classes(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
 
 
 def _spot(doc_id: np.ndarray) -> np.ndarray:
-    """The bit of the filter for a document that stands for its class."""
+    """The bit of the filter for a document that stands for its class, or for the name of a class without a doc_id."""
     return (K.mix(doc_id.view(K.U)) & K.U(FILTER_BITS - 1)).astype(np.int64)
 
 
 def _filter_of(pairs: DataFrame, kinds: DataFrame) -> np.ndarray:
-    wanted = pairs.select(F.col("l").alias("a")).union(pairs.select("r")).distinct().join(kinds, "a").select("first_id")
+    wanted = pairs.select(F.col("l").alias("a")).union(pairs.select("r")).distinct().join(kinds, "a").select(F.coalesce("first_id", "a"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, bool)
@@ -131,21 +131,27 @@ def _filter_of(pairs: DataFrame, kinds: DataFrame) -> np.ndarray:
             bits[_spot(batch.column(0).to_numpy())] = True
         yield pieces(np.packbits(bits))
 
-    return merged(wanted.where("first_id is not null").mapInArrow(mark, SKETCH), FILTER_BITS // 8, np.uint8, np.uint8, np.bitwise_or)
+    return merged(wanted.mapInArrow(mark, SKETCH), FILTER_BITS // 8, np.uint8, np.uint8, np.bitwise_or)
 
 
 def _segments(docs: DataFrame, order, pivots: np.ndarray, bits, n: int) -> DataFrame:
     """a, fragment, segment for the documents that the filter lets through: their sets, cut along the global order."""
 
+    def through(spot: np.ndarray, passes: np.ndarray) -> np.ndarray:
+        return ((passes[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1).astype(bool)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, passes = order.value, bits.value
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy()
-            spot = _spot(ids)
-            batch = batch.filter(pa.array((passes[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1).cast(pa.bool_()))
+            # Rows without an id are known by their class only, once their sets are made.
+            nameless = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            chosen = nameless | through(_spot(batch.column("doc_id").fill_null(0).to_numpy()), passes)
+            nameless, batch = nameless[chosen], batch.filter(pa.array(chosen))
             for block, doc, value in _sets(batch, n):
                 ends = np.searchsorted(doc, np.arange(block.last - block.first + 1))
                 a, _ = _class_of(value, ends)
+                wanted = (~nameless[block.first : block.last] | through(_spot(a), passes))[doc]
+                doc, value = doc[wanted], value[wanted]
                 if not len(doc):
                     continue
                 fragment = np.searchsorted(pivots, counts[(value & K.U(ORDER_WIDTH - 1)).astype(np.int64)], "left")
