@@ -45,7 +45,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("ngram_join", ngram_join), ("substring_dedup", substring_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: Tokens can't be made in SQL; the pipeline is tested against a brute-force version.
+#: Tokens can't be made in SQL; no test compares the whole pipeline with a plain version.
 ORACLE_SQL = None
 
 

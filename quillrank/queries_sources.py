@@ -58,7 +58,7 @@ def line_affected(spark: SparkSession, folder: str) -> DataFrame:
     return L.affected_lines(placed, edit).select("target_id", "root_path", F.col("line").cast("int").alias("line"))
 
 
-# What follows a line through older commits depends on the order of edits; brute force checks it.
+# What follows a line through older commits depends on the order of edits; a comparison with a plain version is missing.
 @_raw("line_commit_points")
 def line_commit_points(spark: SparkSession, folder: str) -> DataFrame:
     return _line_points(spark, folder).withColumn("points", F.round("points", 9))
