@@ -39,6 +39,16 @@ def keep_reviewed(history: History) -> History:
     return replace(history, pull_requests=kept, reviews=history.reviews.join(ids, "pr_id", "left_semi"), file_paths=history.file_paths.join(ids, "pr_id", "left_semi"))
 
 
+def cleaned(history: History) -> History:
+    """``without_owner`` and then ``keep_reviewed``, with each table joined once."""
+    owned = history.pull_requests.where("owner_id is not null")
+    owners = owned.select(F.col("id").alias("pr_id"), "owner_id")
+    reviews = history.reviews.join(owners, "pr_id").where("not reviewer_id <=> owner_id").select(*history.reviews.columns)
+    kept = reviews.select("pr_id").distinct()
+    pull_requests = owned.join(kept.withColumnRenamed("pr_id", "id"), "id", "left_semi")
+    return replace(history, pull_requests=pull_requests, reviews=reviews, file_paths=history.file_paths.join(kept, "pr_id", "left_semi"))
+
+
 def without_bots(people: DataFrame, name: str = "name") -> DataFrame:
     """People whose name holds ``bot`` (in lower case) are programs; a null name is nobody's."""
     return people.where(~F.coalesce(F.col(name).contains("bot"), F.lit(False)))

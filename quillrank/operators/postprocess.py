@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillrank.functions.times import months_ms
 from quillrank.operators.borda import ranked
-from quillrank.operators.relational import reviewed_between
+from quillrank.operators.relational import last_reviewed
 from quillrank.schema import History
 
 
 def with_activity(ranking: DataFrame, history: History, months: int = 12) -> DataFrame:
     """With is_active: whether the reviewer has reviewed in the target's project in the months (of 30 days) before it; both ends are open."""
-    recent = reviewed_between(history, months).select("target_id", "reviewer_id", F.lit(True).alias("is_active"))
-    return ranking.join(recent, ["target_id", "reviewer_id"], "left").withColumn("is_active", F.coalesce("is_active", F.lit(False)))
+    active = F.coalesce(F.col("last_ts") > F.col("target_ts") - months_ms(months), F.lit(False))
+    judged = last_reviewed(ranking, history).select("target_id", "reviewer_id", active.alias("is_active"))
+    return ranking.join(judged, ["target_id", "reviewer_id"], "left").withColumn("is_active", F.coalesce("is_active", F.lit(False)))
 
 
 def demote_inactive(ranking: DataFrame, history: History, months: int = 12) -> DataFrame:

@@ -7,14 +7,15 @@ counted once by the number of models that hold them and then spread.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.operators.borda import ranked, total
-from quillrank.operators.relational import newest_first, reviewed, reviewed_paths
+from quillrank.operators.relational import newest_first, reviewed
 from quillrank.schema import History
+from quillrank.stored import written
 
 #: Probability that a reviewer's unobserved values share.
 EPSILON = 0.01
@@ -59,11 +60,14 @@ def _counted(rows: DataFrame, *keys: str) -> DataFrame:
     return once.withColumn("fold", F.explode(F.sequence(F.lit(0), F.col("n_models") - 1))).groupBy("project", "fold", *keys).agg(F.sum("n").alias("n"))
 
 
-def universes(history: History, cutoffs: DataFrame) -> DataFrame:
-    """project, fold, n_pull_requests, n_reviewers, and how many owners, paths and sub-projects there are, with one more of each for all unknown ones."""
-    seen = _in_models(reviewed(history), cutoffs)
-    pulls = _in_models(history.pull_requests, cutoffs)
-    paths = _in_models(history.pull_requests.join(history.file_paths, F.col("id") == F.col("pr_id")), cutoffs)
+def _spread(history: History, cutoffs: DataFrame) -> History:
+    """The pull requests that any model holds, with n_models, written once, and what hangs on them."""
+    return replace(history, pull_requests=written(_in_models(history.pull_requests, cutoffs), "modelled"))
+
+
+def _universes(inside: History) -> DataFrame:
+    pulls, seen = inside.pull_requests, reviewed(inside)
+    paths = pulls.join(inside.file_paths, F.col("id") == F.col("pr_id"))
 
     def different(rows: DataFrame, key: str, name: str, more: int = 1) -> DataFrame:
         return _counted(rows, key).groupBy("project", "fold").agg((F.count(key) + more).alias(name))
@@ -74,28 +78,37 @@ def universes(history: History, cutoffs: DataFrame) -> DataFrame:
     return out
 
 
+def universes(history: History, cutoffs: DataFrame) -> DataFrame:
+    """project, fold, n_pull_requests, n_reviewers, and how many owners, paths and sub-projects there are, with one more of each for all unknown ones."""
+    return _universes(_spread(history, cutoffs))
+
+
 def smoothed(n, of, n_values):
     """What an observed value keeps. It gets negative where its share is under EPSILON / n_values."""
     return n / of - F.lit(EPSILON) / n_values
 
 
 def fit_nb(history: History, cutoffs: DataFrame, use_sub_project: bool = True) -> Model:
-    sizes = universes(history, cutoffs)
-    seen, paths = _in_models(reviewed(history), cutoffs), _in_models(reviewed_paths(history), cutoffs)
+    inside = _spread(history, cutoffs)
+    sizes = written(_universes(inside), "universes")
+    seen = written(reviewed(inside), "reviewed")
     keys = ["project", "fold", "reviewer_id"]
     counts = _counted(seen, "reviewer_id").withColumnRenamed("n", "n_reviews")
-    prior = counts.join(sizes.select("project", "fold", "n_pull_requests"), ["project", "fold"]).select(*keys, "n_reviews", (F.col("n_reviews") / F.col("n_pull_requests")).alias("p"))
+    prior = written(counts.join(sizes.select("project", "fold", "n_pull_requests"), ["project", "fold"]).select(*keys, "n_reviews", (F.col("n_reviews") / F.col("n_pull_requests")).alias("p")), "prior")
     cells, defaults = {}, {}
     for feature, value in FEATURES.items():
         if feature == "sub_project" and not use_sub_project:
             continue
-        counted = _counted(paths if feature == "path" else seen, "reviewer_id", value).withColumnRenamed(value, "value")
-        totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"), F.count("*").alias("n_values"))
+        rows = seen.join(inside.file_paths, F.col("id") == F.col("pr_id")) if feature == "path" else seen
+        counted = _counted(rows, "reviewer_id", value).withColumnRenamed(value, "value")
+        own = Window.partitionBy(*keys)
+        counted = counted.withColumn("total", F.sum("n").over(own)).withColumn("n_values", F.count("*").over(own))
+        cells[feature] = counted.select(*keys, "value", "n", smoothed(F.col("n"), F.col("total"), F.col("n_values")).alias("p"))
+        totals = counted.groupBy(*keys).agg(F.first("total").alias("total"), F.first("n_values").alias("n_values"))
         universe = sizes.select("project", "fold", F.col(f"{feature}_universe").alias("universe"))
-        row = counts.select(*keys).join(totals, keys, "left").join(universe, ["project", "fold"])
+        row = prior.select(*keys).join(totals, keys, "left").join(universe, ["project", "fold"])
         row = row.withColumn("total", F.coalesce("total", F.lit(0).cast("long"))).withColumn("n_values", F.coalesce("n_values", F.lit(0).cast("long")))
         defaults[feature] = row.select(*keys, "total", "n_values", (F.lit(EPSILON) / (F.col("universe") - F.col("n_values"))).alias("p"))
-        cells[feature] = counted.join(totals, keys).select(*keys, "value", "n", smoothed(F.col("n"), F.col("total"), F.col("n_values")).alias("p"))
     return Model(prior, sizes, cells, defaults)
 
 

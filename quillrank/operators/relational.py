@@ -21,12 +21,31 @@ def before(pull_requests: DataFrame, project: str, ts: int) -> DataFrame:
 
 
 def reviewed_between(history: History, months: int) -> DataFrame:
-    """target_id, reviewer_id, n_recent: reviews strictly inside the window before each pull request, by reviewers of its project."""
+    """target_id, reviewer_id, n_recent: reviews strictly inside the window before each pull request, by reviewers of its project.
+
+    Time is cut into stretches as long as the window, so a pull request meets
+    the reviews of its own stretch and of the one before.
+    """
     span = months_ms(months)
-    targets = history.pull_requests.select(F.col("id").alias("target_id"), "project", F.col("ts").alias("target_ts"))
-    done = reviewed(history).select("project", "reviewer_id", "ts")
+    stretch = F.floor(F.col("ts") / span).cast("long")
+    targets = history.pull_requests.select(F.col("id").alias("target_id"), "project", F.col("ts").alias("target_ts"), F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
+    done = reviewed(history).select("project", "reviewer_id", "ts", stretch.alias("stretch"))
     window = (F.col("ts") < F.col("target_ts")) & (F.col("ts") > F.col("target_ts") - span)
-    return targets.join(done, "project").where(window).groupBy("target_id", "reviewer_id").agg(F.count("*").alias("n_recent"))
+    return targets.join(done, ["project", "stretch"]).where(window).groupBy("target_id", "reviewer_id").agg(F.count("*").alias("n_recent"))
+
+
+def last_reviewed(asked: DataFrame, history: History) -> DataFrame:
+    """``asked`` (target_id, reviewer_id) with target_ts and last_ts, when the reviewer last reviewed in the target's project strictly before the target; null if never.
+
+    Questions and reviews stand in one order of time for each reviewer of a
+    project, so nothing is paired.
+    """
+    targets = history.pull_requests.select(F.col("id").alias("target_id"), "project", "ts")
+    questions = asked.select("target_id", "reviewer_id").distinct().join(targets, "target_id").select("project", "reviewer_id", "ts", "target_id", F.lit(None).cast("long").alias("done"))
+    reviews = reviewed(history).select("project", "reviewer_id", "ts", F.lit(None).cast("long").alias("target_id"), F.col("ts").alias("done")).distinct()
+    earlier = Window.partitionBy("project", "reviewer_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    seen = questions.union(reviews).withColumn("last_ts", F.max("done").over(earlier)).where("target_id is not null")
+    return seen.select("target_id", "reviewer_id", F.col("ts").alias("target_ts"), "last_ts")
 
 
 def reviewed(history: History) -> DataFrame:

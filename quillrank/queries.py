@@ -43,11 +43,11 @@ def _history(body: str, ctes: str = "") -> str:
     return f"WITH {HISTORY}{', ' + ctes if ctes else ''} {body}"
 
 
-def _query(name: str, sql: str | None = None) -> Callable[[Callable[[History], DataFrame]], Callable[[History], DataFrame]]:
+def _query(name: str, sql: str | None = None, load: Callable[[SparkSession, str], History] = star.load_history) -> Callable[[Callable[[History], DataFrame]], Callable[[History], DataFrame]]:
     """Registers a query over the cleaned history."""
 
     def add(f: Callable[[History], DataFrame]) -> Callable[[History], DataFrame]:
-        _queries[name] = lambda spark, folder: f(star.load_history(spark, folder))
+        _queries[name] = lambda spark, folder: f(load(spark, folder))
         if sql:
             _sql[name] = sql
         return f
@@ -55,6 +55,10 @@ def _query(name: str, sql: str | None = None) -> Callable[[Callable[[History], D
     return add
 
 
+#: For rankers, which read the history's tables many times.
+_ranking = partial(_query, load=star.stored_history)
+
+
 def _raw(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a query over the tables themselves."""
 
@@ -200,17 +204,17 @@ def _newest_scores(h: History, sub_project: bool = False) -> DataFrame:
     return rank_paths.pair_scores(h, rank_paths.newest_targets(h), sub_project)
 
 
-_query("pr_pair_score", _history("SELECT target_id, pr_id, " + ", ".join(f"round({t}, 9) AS {t}" for t in P.TECHNIQUES) + " FROM scored", _path_ctes(_NEWEST, False)))(
+_ranking("pr_pair_score", _history("SELECT target_id, pr_id, " + ", ".join(f"round({t}, 9) AS {t}" for t in P.TECHNIQUES) + " FROM scored", _path_ctes(_NEWEST, False)))(
     lambda h: _newest_scores(h).select("target_id", "pr_id", *[F.round(t, 9).alias(t) for t in P.TECHNIQUES])
 )
-_query("reviewer_score_by_technique", _history("SELECT * FROM by_technique", _path_ctes(_NEWEST, False)))(lambda h: rank_paths.technique_scores(h, _newest_scores(h)))
-_query("borda_points", _history("SELECT * FROM ballots", _path_ctes(_NEWEST, False)))(lambda h: points(rank_paths.technique_scores(h, _newest_scores(h)), "target_id", "technique"))
-_query("rank_paths_topk", _history(f"SELECT * FROM ranking WHERE rank <= {TOP}", _path_ctes(_NEWEST, False) + _RANKED))(lambda h: top(rank_paths.rank_paths(rank_paths.newest_targets(h), h), TOP))
-_query("rank_paths_plus_topk", _history(f"SELECT * FROM ranking WHERE rank <= {TOP}", _path_ctes(_NEWEST, True) + _DEMOTED))(lambda h: top(demote_inactive(rank_paths.rank_paths(rank_paths.newest_targets(h), h, True), h, MONTHS), TOP))
-_query("active_reviewers", _history("SELECT target_id, reviewer_id, is_active FROM judged", _path_ctes(_NEWEST, False) + _JUDGED))(
+_ranking("reviewer_score_by_technique", _history("SELECT * FROM by_technique", _path_ctes(_NEWEST, False)))(lambda h: rank_paths.technique_scores(h, _newest_scores(h)))
+_ranking("borda_points", _history("SELECT * FROM ballots", _path_ctes(_NEWEST, False)))(lambda h: points(rank_paths.technique_scores(h, _newest_scores(h)), "target_id", "technique"))
+_ranking("rank_paths_topk", _history(f"SELECT * FROM ranking WHERE rank <= {TOP}", _path_ctes(_NEWEST, False) + _RANKED))(lambda h: top(rank_paths.rank_paths(rank_paths.newest_targets(h), h), TOP))
+_ranking("rank_paths_plus_topk", _history(f"SELECT * FROM ranking WHERE rank <= {TOP}", _path_ctes(_NEWEST, True) + _DEMOTED))(lambda h: top(demote_inactive(rank_paths.rank_paths(rank_paths.newest_targets(h), h, True), h, MONTHS), TOP))
+_ranking("active_reviewers", _history("SELECT target_id, reviewer_id, is_active FROM judged", _path_ctes(_NEWEST, False) + _JUDGED))(
     lambda h: with_activity(rank_paths.rank_paths(rank_paths.newest_targets(h), h), h, MONTHS).select("target_id", "reviewer_id", "is_active")
 )
-_query("retired_demotion", _history("SELECT * FROM ranking", _path_ctes(_NEWEST, False) + _DEMOTED))(lambda h: demote_inactive(rank_paths.rank_paths(rank_paths.newest_targets(h), h), h, MONTHS))
+_ranking("retired_demotion", _history("SELECT * FROM ranking", _path_ctes(_NEWEST, False) + _DEMOTED))(lambda h: demote_inactive(rank_paths.rank_paths(rank_paths.newest_targets(h), h), h, MONTHS))
 
 # The naive-Bayes ranker.
 _CUTS = "cuts AS (SELECT project, CAST(rk // (n_project // 11) - 1 AS INT) AS fold, ts AS cutoff FROM placed WHERE n_project // 11 > 0 AND rk > 0 AND rk % (n_project // 11) = 0 AND rk // (n_project // 11) <= 10), "
@@ -268,29 +272,66 @@ def _newest_nb(h: History) -> DataFrame:
     return rank_paths.newest_targets(h).select("target_id", "project", F.lit(0).alias("fold"))
 
 
-_query("nb_universe_sizes", _history("SELECT * FROM universe", _nb_ctes(_CUTS)))(lambda h: rank_nb.universes(h, rank_nb.fold_cutoffs(h)))
-_query("nb_prior", _history("SELECT * FROM prior", _nb_ctes(_CUTS)))(lambda h: _fold_model(h).prior)
-_query("nb_cond_owner", _history("SELECT * FROM cell_owner", _nb_ctes(_CUTS)))(lambda h: _fold_model(h).cells["owner"])
-_query("nb_cond_path", _history("SELECT * FROM cell_path", _nb_ctes(_CUTS)))(lambda h: _fold_model(h).cells["path"])
-_query("nb_cond_subproject", _history("SELECT * FROM cell_sub_project", _nb_ctes(_CUTS)))(lambda h: _fold_model(h).cells["sub_project"])
-_query("nb_defaults_path", _history("SELECT * FROM rest_path", _nb_ctes(_ALL)))(lambda h: rank_nb.fit_nb(h, rank_nb.whole_history(h)).defaults["path"])
-_query("nb_belief", _history("SELECT * FROM belief", _belief_ctes(_CUTS, _NEWEST_NB, True)))(lambda h: rank_nb.beliefs(_fold_model(h), _newest_nb(h), h))
-_query("nb_rank_topk", _history(f"SELECT * FROM ranking WHERE rank <= {TOP}", _belief_ctes(_CUTS, _NEWEST_NB, False) + _RANKED))(lambda h: top(rank_nb.rank_nb(_fold_model(h, False), _newest_nb(h), h), TOP))
-_query("nb_plus_rank_topk", _history(f"SELECT * FROM ranking WHERE rank <= {TOP}", _belief_ctes(_CUTS, _NEWEST_NB, True) + _DEMOTED))(lambda h: top(demote_inactive(rank_nb.rank_nb(_fold_model(h), _newest_nb(h), h), h, MONTHS), TOP))
+_ranking("nb_universe_sizes", _history("SELECT * FROM universe", _nb_ctes(_CUTS)))(lambda h: rank_nb.universes(h, rank_nb.fold_cutoffs(h)))
+_ranking("nb_prior", _history("SELECT * FROM prior", _nb_ctes(_CUTS)))(lambda h: _fold_model(h).prior)
+_ranking("nb_cond_owner", _history("SELECT * FROM cell_owner", _nb_ctes(_CUTS)))(lambda h: _fold_model(h).cells["owner"])
+_ranking("nb_cond_path", _history("SELECT * FROM cell_path", _nb_ctes(_CUTS)))(lambda h: _fold_model(h).cells["path"])
+_ranking("nb_cond_subproject", _history("SELECT * FROM cell_sub_project", _nb_ctes(_CUTS)))(lambda h: _fold_model(h).cells["sub_project"])
+_ranking("nb_defaults_path", _history("SELECT * FROM rest_path", _nb_ctes(_ALL)))(lambda h: rank_nb.fit_nb(h, rank_nb.whole_history(h)).defaults["path"])
+_ranking("nb_belief", _history("SELECT * FROM belief", _belief_ctes(_CUTS, _NEWEST_NB, True)))(lambda h: rank_nb.beliefs(_fold_model(h), _newest_nb(h), h))
+_ranking("nb_rank_topk", _history(f"SELECT * FROM ranking WHERE rank <= {TOP}", _belief_ctes(_CUTS, _NEWEST_NB, False) + _RANKED))(lambda h: top(rank_nb.rank_nb(_fold_model(h, False), _newest_nb(h), h), TOP))
+_ranking("nb_plus_rank_topk", _history(f"SELECT * FROM ranking WHERE rank <= {TOP}", _belief_ctes(_CUTS, _NEWEST_NB, True) + _DEMOTED))(lambda h: top(demote_inactive(rank_nb.rank_nb(_fold_model(h), _newest_nb(h), h), h, MONTHS), TOP))
 
 # Evaluation.
 _query("fold_cutoffs", _history("SELECT * FROM cuts", _CUTS.rstrip(", ")))(rank_nb.fold_cutoffs)
 _query("eval_targets_paths", _history("SELECT * FROM targets", _WALK.rstrip(", ")))(E.path_targets)
 _query("eval_targets_nb", _history("SELECT target_id, project, rk, fold FROM (SELECT id AS target_id, project, rk, CAST(rk // (n_project // 11) AS INT) AS fold FROM placed WHERE n_project // 11 > 0 AND rk < 10 * (n_project // 11))"))(rank_nb.fold_targets)
-# Over whole tables this SQL takes more memory than there is, so it is no oracle; tests compare it on a small history.
+# The walk over all targets pairs paths by number, and finds what they have in common by their subsets and runs of components.
+_WALK_PAIRS = """known AS (SELECT location, row_number() OVER (ORDER BY location) AS n, string_split(location, '/') AS a FROM (SELECT DISTINCT location FROM path)),
+subsets AS (SELECT DISTINCT n, len(s) AS k, array_to_string(s, '/') AS s FROM (SELECT n, [a[i] FOR i IN range(1, len(a) + 1) IF (mask >> (i - 1)) & 1 = 1] AS s FROM (SELECT n, a, unnest(range(1, 1 << len(a))) AS mask FROM known))),
+stretches AS (SELECT DISTINCT n, k, array_to_string(a[i:i + k - 1], '/') AS s FROM (SELECT n, a, i, unnest(range(1, len(a) - i + 2)) AS k FROM (SELECT n, a, unnest(range(1, len(a) + 1)) AS i FROM known))),
+in_order AS (SELECT x.n AS f, y.n AS g, max(x.k) AS subsequence FROM subsets x JOIN subsets y USING (s) GROUP BY ALL),
+in_row AS (SELECT x.n AS f, y.n AS g, max(x.k) AS substring FROM stretches x JOIN stretches y USING (s) GROUP BY ALL),
+pairs AS (SELECT f, g, substring, subsequence, """ + ", ".join(f"{_COMMON[t]} AS {t}" for t in ("prefix", "suffix")) + """
+  FROM (SELECT f, g, substring, subsequence, x.a, y.a AS b FROM in_order JOIN in_row USING (f, g) JOIN known x ON x.n = f JOIN known y ON y.n = g)),
+located AS (SELECT pr_id, n, len(a) AS parts, count(*) AS n_copies FROM path JOIN known USING (location) GROUP BY ALL),
+sizes AS (SELECT pr_id, sum(n_copies) AS n_paths FROM located GROUP BY pr_id)"""
+
+
+def _walk_ctes(sub_project: bool) -> str:
+    # Two paths of one sub-project have its name in common, too.
+    common, longer = {t: f"coalesce({t}, 0)" for t in P.TECHNIQUES}, "greatest(x.parts, h.parts)"
+    if sub_project:
+        same, longer = "t.sub_project = o.sub_project", f"({longer} + 1)"
+        common = {
+            "prefix": f"CASE WHEN {same} THEN coalesce(prefix, 0) + 1 ELSE 0 END",
+            "suffix": f"coalesce(suffix, 0) + CASE WHEN {same} AND x.n = h.n THEN 1 ELSE 0 END",
+            "substring": f"greatest(coalesce(substring, 0), CASE WHEN {same} THEN coalesce(prefix, 0) + 1 ELSE 0 END)",
+            "subsequence": f"coalesce(subsequence, 0) + CASE WHEN {same} THEN 1 ELSE 0 END",
+        }
+    sums = ", ".join(f"sum(x.n_copies * h.n_copies * CAST({common[t]} AS DOUBLE) / {longer}) AS s_{t}" for t in P.TECHNIQUES)
+    scores = ", ".join(f"round(sum(s_{t} / (m.n_paths * o.n_paths)), 9) AS {t}" for t in P.TECHNIQUES)
+    return (
+        _WALK
+        + _WALK_PAIRS
+        + f""", sums AS (SELECT t.target_id, o.id AS pr_id, {sums} FROM (SELECT targets.*, sub_project FROM targets JOIN pr ON id = target_id) t JOIN placed o ON o.project = t.project AND o.rk > t.rk
+  JOIN located x ON x.pr_id = t.target_id JOIN located h ON h.pr_id = o.id LEFT JOIN pairs ON f = x.n AND g = h.n GROUP BY ALL),
+by_reviewer AS (SELECT target_id, reviewer_id, {scores} FROM sums s JOIN sizes m ON m.pr_id = s.pr_id JOIN sizes o ON o.pr_id = target_id JOIN review r ON r.pr_id = s.pr_id GROUP BY ALL),
+by_technique AS (UNPIVOT by_reviewer ON {", ".join(P.TECHNIQUES)} INTO NAME technique VALUE score),
+ballots AS (SELECT *, count(*) OVER (PARTITION BY target_id, technique) - row_number() OVER (PARTITION BY target_id, technique ORDER BY score DESC, reviewer_id) + 1 AS points FROM by_technique WHERE score > 0),
+scores AS (SELECT target_id, reviewer_id, CAST(sum(points) AS DOUBLE) AS score FROM ballots GROUP BY ALL)"""
+    )
+
+
+# The same with every pair of whole paths spelt out; it outgrows memory over larger tables, so tests compare it on a small history.
 SMALL_SQL = {
     "metrics_v1": _history(_MEASURES, _path_ctes(_WALK, False) + _RANKED + _METRICS),
     "metrics_v2": _history(_MEASURES, _path_ctes(_WALK, True) + _DEMOTED + _METRICS),
 }
-_query("metrics_v1")(lambda h: E.evaluate(h, "v1", MONTHS))
-_query("metrics_v2")(lambda h: E.evaluate(h, "v2", MONTHS))
-_query("metrics_v3", _history(_MEASURES, _belief_ctes(_CUTS, _FOLD_NB, False) + _DEMOTED + _METRICS))(lambda h: E.evaluate(h, "v3", MONTHS))
-_query("metrics_v4", _history(_MEASURES, _belief_ctes(_CUTS, _FOLD_NB, True) + _DEMOTED + _METRICS))(lambda h: E.evaluate(h, "v4", MONTHS))
+_ranking("metrics_v1", _history(_MEASURES, _walk_ctes(False) + _RANKED + _METRICS))(lambda h: E.evaluate(h, "v1", MONTHS))
+_ranking("metrics_v2", _history(_MEASURES, _walk_ctes(True) + _DEMOTED + _METRICS))(lambda h: E.evaluate(h, "v2", MONTHS))
+_ranking("metrics_v3", _history(_MEASURES, _belief_ctes(_CUTS, _FOLD_NB, False) + _DEMOTED + _METRICS))(lambda h: E.evaluate(h, "v3", MONTHS))
+_ranking("metrics_v4", _history(_MEASURES, _belief_ctes(_CUTS, _FOLD_NB, True) + _DEMOTED + _METRICS))(lambda h: E.evaluate(h, "v4", MONTHS))
 
 
 def queries() -> dict[str, Query]:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.functions.times import column_millis
-from quillrank.operators.cleaning import keep_reviewed, without_owner
+from quillrank.operators.cleaning import cleaned
 from quillrank.schema import History
+from quillrank.stored import written
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,4 +49,10 @@ def raw_history(spark: SparkSession, folder: str) -> History:
 
 
 def load_history(spark: SparkSession, folder: str) -> History:
-    return keep_reviewed(without_owner(raw_history(spark, folder)))
+    return cleaned(raw_history(spark, folder))
+
+
+def stored_history(spark: SparkSession, folder: str) -> History:
+    """The cleaned history, written once, for what reads its tables many times."""
+    clean = load_history(spark, folder)
+    return History(clean.projects, clean.developers, written(clean.pull_requests, "pull-requests"), written(clean.reviews, "reviews"), written(clean.file_paths, "file-paths"))
