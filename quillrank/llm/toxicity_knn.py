@@ -1,12 +1,19 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings that labelled examples show to go with
-toxic texts; all other words count as one term together, so the share of
-marked words gives a text its direction. Labelled vectors stand in blocks, each
-an inverted index with the largest weight of each term. A block is scored only
-for texts whose bound on it can still beat their k-th best, so the neighbours
-are exact. Their votes, weighted by distance, are the score, and the nearest
-ones are the evidence.
+A text's terms are its words and the beginnings of its longer words. A term
+weighs (1 + log of its count) * idf * relevance: document frequencies are
+counted over all documents, and the relevance of a term (log2 of 2 plus its
+toxic examples over its clean ones) raises what goes with toxic texts. The
+examples' terms are the vocabulary; no term of theirs is left out.
+
+Labelled vectors stand in blocks of alike ones. The inverted index has for each
+term the blocks that hold it, its largest weight there, and its postings; the
+terms with the longest lists have them written out as rows, a weight for every
+example. What the rows give, and the sum of a text's other weights times the
+blocks' largest, bound all cosines in a block, and a block is scored only for
+texts whose bound on it can still beat their k-th best, so the neighbours are
+exact. Their votes, weighted by distance, are the score, and the nearest ones
+are the evidence.
 """
 
 from __future__ import annotations
@@ -20,25 +27,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm import kernels as K
+from quillrank.llm.sketches import SCHEMA as COUNTERS
+from quillrank.llm.sketches import merged, pieces
 from quillrank.llm.tables import stash
 
 #: Most labelled examples of each label, those of the lowest hashes of doc_id.
-MOST_TOXIC, MOST_CLEAN = 2000, 4000
-#: A term is kept if so many toxic examples, and this share of them, have it, and its mean share of the words is so many times larger in them.
-LEAST_DOCS, LEAST_SHARE, LEAST_RATIO, MOST_TERMS = 4, 0.01, 15.0, 4000
-PREFIXES = (5, 6, 7, 8)
-#: A marked word weighs as much as so many others.
-MARKED_WEIGHT = 20.0
+MOST_TOXIC, MOST_CLEAN = 1000, 3000
+#: Longer texts (in bytes) are no examples, and those of one label have so many terms at most; both bound the index.
+LONGEST_EXAMPLE, MOST_TERMS = 1 << 16, 2_000_000
+#: Bytes of the beginnings that count beside whole words.
+BEGINNING = 8
 NEIGHBOURS, BLOCK, EVIDENCE = 12, 64, 3
 NEAREST = 0.01
-#: Documents of the mean rate that join those of each vector.
+#: Votes of the mean rate that join those of the neighbours.
 SMOOTHING = 0.1
 
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[65:91] = SEPARATORS[97:123] = SEPARATORS[128:] = False
-FILTER = 1 << 20
-#: Rows that are scored at once.
-PORTION = 1000
+FILTER = 1 << 22
+#: Terms whose lists are rows.
+COMMON = 1024
+#: Texts, and terms of texts, that are scored at once.
+TEXTS, PORTION = 256, 60_000
+#: Dimensions in which examples are compared to put alike ones into one block.
+SIGNS = 128
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -50,263 +62,325 @@ def folded(data: np.ndarray) -> np.ndarray:
 
 
 def terms(block: K.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names and documents of the terms of all words, and each document's number of words."""
+    """Names, documents and counts of the distinct terms of each document, in order of document and name."""
     found = K.words(block, SEPARATORS)
-    n_words = np.diff(found.of_doc)
     size = found.end - found.start
     if not len(size):
-        return np.zeros(0, K.U), np.zeros(0, np.int64), n_words
+        return np.zeros(0, K.U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     offset = K.runs(size)
     values = K.BYTE_CODE[folded(block.data)[np.repeat(found.start, size) + offset]] * K.powers(int(size.max()))[offset]
     total = np.concatenate([np.zeros(1, K.U), np.cumsum(values)])
-    first = np.cumsum(size) - size
-    doc = found.doc
-    names, docs = [K.mix((total[first + size] - total[first]) ^ K.U(1))], [doc]
-    for n in PREFIXES:
-        long = size >= n
-        names.append(K.mix((total[first[long] + n] - total[first[long]]) ^ K.U(n)))
-        docs.append(doc[long])
-    return np.concatenate(names), np.concatenate(docs), n_words
-
-
-def term_sets(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """terms (distinct; of ``only``, if given) and each one's share of the words, of documents (text)."""
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in K.blocks(batch.column("text")):
-                name, doc, n_words = terms(block)
-                order = np.lexsort((name, doc))
-                name, doc = name[order], doc[order]
-                new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (name[1:] != name[:-1])
-                times = np.diff(np.append(np.flatnonzero(new), len(doc)))
-                name, doc = name[new], doc[new]
-                n = block.last - block.first
-                shares = (times / n_words[doc]).astype(np.float32)
-                if only is not None:
-                    wanted = np.isin(name, only)
-                    name, doc, shares = name[wanted], doc[wanted], shares[wanted]
-                yield pa.RecordBatch.from_arrays([K.lists(name.view(np.int64), doc, n), K.lists(shares, doc, n)], names=["terms", "shares"])
-
-    return docs.select("text").mapInArrow(collect, "terms array<long>, shares array<float>")
-
-
-def vocabulary(examples: DataFrame) -> np.ndarray:
-    """The names, in order, of the terms that go with label 1, by examples (label, text)."""
-
-    def flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
-        columns = [rows.column(c).combine_chunks().flatten().to_numpy() for c in ("terms", "shares")]
-        return columns[0].view(K.U), columns[1], max(1, len(rows))
-
-    names, shares, n_toxic = flat(term_sets(examples.where("label = 1")).toArrow())
-    kept, with_toxic = np.unique(names, return_counts=True)
-    kept = kept[with_toxic >= max(LEAST_DOCS, LEAST_SHARE * n_toxic)]
-    if not len(kept):
-        return kept
-
-    def mean_share(names: np.ndarray, shares: np.ndarray, n: int) -> np.ndarray:
-        at = np.minimum(np.searchsorted(kept, names), len(kept) - 1)
-        same = kept[at] == names
-        return np.bincount(at[same], shares[same], len(kept)) / n
-
-    in_toxic = mean_share(names, shares, n_toxic)
-    clean_names, clean_shares, n_clean = flat(term_sets(examples.where("label = 0"), kept).toArrow())
-    in_clean = mean_share(clean_names, clean_shares, n_clean)
-    # A term that no clean example has counts as one word in a few thousand of one of them.
-    ratio = in_toxic / (in_clean + 3e-4 / n_clean)
-    best = np.lexsort((kept, -in_toxic * np.log(ratio)))
-    return np.sort(kept[best[ratio[best] >= LEAST_RATIO][:MOST_TERMS]])
-
-
-def _marked(texts: pa.Array, vocab: np.ndarray) -> Iterator[tuple[K.Block, np.ndarray, pa.ListArray, pa.ListArray]]:
-    """Of each block: the number of words of its documents, and their vocabulary terms and how often they occur."""
-    may = np.zeros(FILTER, bool)
-    may[(vocab & K.U(FILTER - 1)).astype(np.int64)] = True
-    for block in K.blocks(texts):
-        name, doc, n_words = terms(block)
-        hit = np.flatnonzero(may[(name & K.U(FILTER - 1)).astype(np.int64)])
-        name, doc = name[hit], doc[hit]
-        if len(name):
-            at = np.minimum(np.searchsorted(vocab, name), len(vocab) - 1)
-            same = vocab[at] == name
-            at, doc = at[same], doc[same]
-        else:
-            at = doc = np.zeros(0, np.int64)
-        cell, times = np.unique(doc * max(1, len(vocab)) + at, return_counts=True)
-        doc, at = cell // max(1, len(vocab)), cell % max(1, len(vocab))
-        n = block.last - block.first
-        yield block, n_words.astype(np.int64), K.lists(at.astype(np.int32), doc, n), K.lists(times.astype(np.int32), doc, n)
-
-
-def marked_terms(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
-    """doc_id, n_words and the vocabulary terms and their counts (two lists) for every document."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, n_words, marked, times in _marked(batch.column("text"), vocab):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.last - block.first), pa.array(n_words), marked, times], names=["doc_id", "n_words", "terms", "times"])
-
-    return docs.mapInArrow(count, "doc_id long, n_words long, terms array<int>, times array<int>")
-
-
-def vectors(n_words: np.ndarray, marked: pa.Array, times: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Unit vectors; the last coordinate stands for all other words."""
-    size = np.diff(marked.offsets.to_numpy())
-    rows = np.repeat(np.arange(len(size)), size)
-    out = np.zeros((len(size), len(idf)), np.float64)
-    share = times.flatten().to_numpy() / np.maximum(np.repeat(n_words, size), 1)
-    out[rows, marked.flatten().to_numpy()] = MARKED_WEIGHT * share * idf[:-1][marked.flatten().to_numpy()]
-    out[:, -1] = idf[-1]
-    return out / np.sqrt((out**2).sum(axis=1, keepdims=True))
+    first, doc = np.cumsum(size) - size, found.doc
+    long = size > BEGINNING
+    name = np.concatenate([K.mix((total[first + size] - total[first]) ^ K.U(1)), K.mix((total[first[long] + BEGINNING] - total[first[long]]) ^ K.U(2))])
+    doc = np.concatenate([doc, doc[long]])
+    order = np.lexsort((name, doc))
+    name, doc = name[order], doc[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (name[1:] != name[:-1])
+    at = np.flatnonzero(new)
+    return name[at], doc[at], np.diff(np.append(at, len(doc)))
+
+
+class Vocabulary:
+    """Names in order, and which of them given names are."""
+
+    def __init__(self, names: np.ndarray):
+        self.names = names
+        self.may = np.zeros(FILTER, bool)
+        self.may[(names & K.U(FILTER - 1)).astype(np.int64)] = True
+
+    def known(self, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the given names that are in the vocabulary, and their terms."""
+        hit = np.flatnonzero(self.may[(name & K.U(FILTER - 1)).astype(np.int64)])
+        if not len(hit) or not len(self.names):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        term = np.minimum(np.searchsorted(self.names, name[hit]), len(self.names) - 1)
+        same = self.names[term] == name[hit]
+        return hit[same], term[same]
+
+
+def arranged(doc: np.ndarray, name: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """An order of n sparse vectors in which alike ones are close: halves along their main direction, again and again."""
+    sign = lambda k: (K.mix(name ^ K.U(k)) & K.U(1)).astype(np.float64) * 2 - 1
+    x = np.stack([np.bincount(doc, weight * sign(k), n) for k in range(SIGNS)], axis=1)
+    out, waiting = [], [np.arange(n)]
+    while waiting:
+        rows = waiting.pop()
+        if len(rows) <= BLOCK:
+            out.append(rows)
+            continue
+        part = x[rows] - x[rows].mean(axis=0)
+        way = np.ones(SIGNS)
+        for _ in range(12):
+            way = part.T @ (part @ way)
+            way /= max(np.sqrt(way @ way), 1e-300)
+        ranked = rows[np.argsort(part @ way, kind="stable")]
+        half = -(-(len(rows) // 2) // BLOCK) * BLOCK
+        waiting += [ranked[half:], ranked[:half]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 @dataclass
 class Index:
-    """Distinct labelled vectors in blocks: each block's terms, their postings' weights and the largest of each term."""
-
-    block_terms: list[np.ndarray]
-    weights: list[np.ndarray]
-    bounds: np.ndarray
+    """Distinct labelled vectors in blocks: by term its row or, with the largest weight there and the postings, its blocks."""
+
+    weight: np.ndarray
+    row: np.ndarray
+    rows: np.ndarray
+    of_term: np.ndarray
+    block: np.ndarray
+    largest: np.ndarray
+    of_entry: np.ndarray
+    place: np.ndarray
+    share: np.ndarray
     rate: np.ndarray
+    votes: np.ndarray
     example: np.ndarray
     toxic: np.ndarray
-    idf: np.ndarray
-
-    def nearest(self, queries: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k most similar entries of each query, most similar first (ties: the lowest entry), and their cosines."""
-        n = len(queries)
-        k = min(k, len(self.rate))
-        best, entry = np.full((n, k), -1.0), np.full((n, k), -1, np.int64)
-        limit = queries @ self.bounds.T
-        for b in np.argsort(-limit.mean(axis=0), kind="stable"):
-            rows = np.flatnonzero(limit[:, b] >= best[:, -1] - 1e-12)
-            if not len(rows):
+    prior: float
+
+    def unit(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        """The coordinates of unit vectors."""
+        x = (1 + np.log(times)) * self.weight[term]
+        length = np.sqrt(np.bincount(doc, x * x, n))
+        return x / np.maximum(length[doc], 1e-300)
+
+    def nearest(self, doc: np.ndarray, term: np.ndarray, x: np.ndarray, n: int, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """The k most similar entries of each of n unit vectors, most similar first (ties: the lowest entry), and their cosines; -1 and 0 where fewer share a term."""
+        n_blocks = -(-len(self.rate) // BLOCK)
+        best, found = np.zeros((n, k)), np.full((n, k), -1, np.int64)
+        row = self.row[term]
+        rare = row < 0
+        common = np.zeros((n, len(self.rows)))
+        common[doc[~rare], row[~rare]] = x[~rare]
+        dense = (common @ self.rows).reshape(n, n_blocks, BLOCK)
+        term, doc, x = term[rare], doc[rare], x[rare]
+        size = self.of_term[term + 1] - self.of_term[term]
+        entry = np.repeat(self.of_term[term], size) + K.runs(size)
+        text, x = np.repeat(doc, size), np.repeat(x, size)
+        block = self.block[entry]
+        bound = dense.max(axis=2) + np.bincount(text * n_blocks + block.astype(np.int64), x * self.largest[entry], n * n_blocks).reshape(n, n_blocks)
+        by_block = np.argsort(block, kind="stable")
+        starts = np.searchsorted(block[by_block], np.arange(n_blocks + 1))
+        for b in np.argsort(-bound.mean(axis=0), kind="stable").tolist():
+            active = (bound[:, b] > 0) & (bound[:, b] >= best[:, -1] - 1e-9)
+            texts = np.flatnonzero(active)
+            if not len(texts):
                 continue
-            cosine = queries[np.ix_(rows, self.block_terms[b])] @ self.weights[b]
-            ids = np.broadcast_to(b * BLOCK + np.arange(cosine.shape[1]), cosine.shape)
-            both, names = np.concatenate([best[rows], cosine], axis=1), np.concatenate([entry[rows], ids], axis=1)
-            order = np.lexsort((names, -np.round(both, 12)), axis=1)[:, :k]
-            best[rows], entry[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
-        return entry, best
-
-    def score(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        entry, cosine = self.nearest(queries)
-        vote = 1 / (NEAREST + np.maximum(0, 1 - cosine)) ** 2
-        return (vote * self.rate[entry]).sum(axis=1) / vote.sum(axis=1), entry, cosine
-
-
-def build_index(x: np.ndarray, doc_id: np.ndarray, label: np.ndarray, idf: np.ndarray, weight: tuple[float, float]) -> Index:
-    """``weight``: how many labelled documents an example of label 0, and of label 1, stands for."""
-    order = np.lexsort((doc_id, *np.round(x, 9).T[::-1], np.argmax(x[:, :-1], axis=1) if x.shape[1] > 1 else np.zeros(len(x))))
-    x, doc_id, label = x[order], doc_id[order], label[order]
-    new = np.ones(len(x), bool)
-    new[1:] = np.any(np.abs(x[1:] - x[:-1]) > 1e-9, axis=1)
-    group = np.cumsum(new) - 1
-    ones, zeros = np.bincount(group, (label == 1) * weight[1]), np.bincount(group, (label == 0) * weight[0])
+            own = by_block[starts[b] : starts[b + 1]]
+            own = own[active[text[own]]]
+            size = self.of_entry[entry[own] + 1] - self.of_entry[entry[own]]
+            posting = np.repeat(self.of_entry[entry[own]], size) + K.runs(size)
+            at = (np.cumsum(active) - 1)[text[own]]
+            cosine = dense[texts, b] + np.bincount(np.repeat(at * BLOCK, size) + self.place[posting], np.repeat(x[own], size) * self.share[posting], len(texts) * BLOCK).reshape(-1, BLOCK)
+            better = np.flatnonzero(cosine.max(axis=1) >= best[texts, -1] - 1e-9)
+            texts, cosine = texts[better], cosine[better]
+            ids = np.where(cosine > 0, b * BLOCK + np.arange(BLOCK), -1)
+            both, names = np.concatenate([best[texts], cosine], axis=1), np.concatenate([found[texts], ids], axis=1)
+            order = np.lexsort((names, -np.round(both, 9)), axis=1)[:, :k]
+            best[texts], found[texts] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+        return found, best
+
+    def score(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, and the nearest entries and their cosines, of n texts; the mean rate where no entry shares a term."""
+        found, cosine = self.nearest(doc, term, self.unit(doc, term, times, n), n)
+        vote = np.where(found >= 0, self.votes[found], 0) / (NEAREST + np.maximum(0, 1 - cosine)) ** 2
+        return ((vote * self.rate[found]).sum(axis=1) + SMOOTHING * self.prior) / (vote.sum(axis=1) + SMOOTHING), found, cosine
+
+
+def build_index(doc: np.ndarray, term: np.ndarray, times: np.ndarray, doc_id: np.ndarray, label: np.ndarray, weight: np.ndarray, stands: tuple[float, float], names: np.ndarray) -> Index:
+    """The index of examples with terms (doc, term, times, in order); ``stands``: how many labelled documents an example of label 0, and of label 1, stands for."""
+    n = len(doc_id)
+    ends = np.searchsorted(doc, np.arange(n + 1))
+    tag = K.mix(names[term] ^ K.mix(times.astype(K.U)))
+    whole = np.concatenate([np.zeros(1, K.U), np.cumsum(tag)])
+    # Equal texts of terms are one entry, named by the smallest doc_id.
+    _, sample, group = np.unique(whole[ends[1:]] - whole[ends[:-1]], return_index=True, return_inverse=True)
+    entries = len(sample)
+    ones, zeros = (np.bincount(group, (label == k) * stands[k], entries) for k in (1, 0))
+    smallest = np.full(entries, np.iinfo(np.int64).max)
+    np.minimum.at(smallest, group, doc_id)
     prior = ones.sum() / max(1e-9, ones.sum() + zeros.sum())
-    x = x[new]
-    block_terms, weights, bounds = [], [], np.zeros((-(-len(x) // BLOCK), x.shape[1]))
-    for b in range(len(bounds)):
-        part = x[b * BLOCK : (b + 1) * BLOCK]
-        bounds[b] = part.max(axis=0)
-        block_terms.append(np.flatnonzero(bounds[b]))
-        weights.append(np.ascontiguousarray(part[:, block_terms[-1]].T))
-    return Index(block_terms, weights, bounds, (ones + SMOOTHING * prior) / (ones + zeros + SMOOTHING), doc_id[new], (ones > zeros).astype(np.int32), idf)
+    size = (ends[1:] - ends[:-1])[sample]
+    at = np.repeat(ends[:-1][sample], size) + K.runs(size)
+    doc, term, times = np.repeat(np.arange(entries), size), term[at], times[at]
+    none = np.zeros(0)
+    index = Index(weight, none, none, none, none, none, none, none, none, none, none, none, none, float(prior))
+    x = index.unit(doc, term, times, entries)
+    order = arranged(doc, names[term], x, entries)
+    place = np.empty(entries, np.int64)
+    place[order] = np.arange(entries)
+    doc = place[doc]
+    ranked = np.lexsort((doc, term))
+    doc, term, x = doc[ranked], term[ranked], x[ranked]
+    longest = np.lexsort((names, -np.bincount(term, minlength=len(names))))[:COMMON]
+    index.row = np.full(len(names), -1, np.int32)
+    index.row[longest] = np.arange(len(longest))
+    index.rows = np.zeros((len(longest), -(-entries // BLOCK) * BLOCK))
+    in_row = index.row[term] >= 0
+    index.rows[index.row[term[in_row]], doc[in_row]] = x[in_row]
+    doc, term, x = doc[~in_row], term[~in_row], x[~in_row]
+    block = doc // BLOCK
+    first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])][: len(term)])
+    index.of_entry = np.append(first, len(term))
+    index.of_term = np.searchsorted(term[first], np.arange(len(weight) + 1))
+    index.block = block[first].astype(np.int16)
+    index.largest = np.maximum.reduceat(x, first) if len(first) else none
+    index.place, index.share = (doc % BLOCK).astype(np.uint8), x
+    index.rate, index.votes = (ones / (ones + zeros))[order], (ones + zeros)[order]
+    index.example, index.toxic = smallest[order], (ones > zeros).astype(np.int32)[order]
+    return index
 
 
 def _known(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
 
 
-def fit_examples(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, DataFrame, Index] | None:
-    """The vocabulary, the marked terms of all documents and the index; None where one of the labels is missing.
+def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in K.blocks(batch.column("text")):
+            name, doc, times = terms(block)
+            n = block.last - block.first
+            ids, label = (batch.column(c).slice(block.first, n) for c in ("doc_id", "label"))
+            yield pa.RecordBatch.from_arrays([ids, label, pa.array(np.bincount(doc, minlength=n)), K.lists(name.view(np.int64), doc, n), K.lists(times.astype(np.int32), doc, n)], names=["doc_id", "label", "n_terms", "terms", "times"])
 
-    Document frequencies are counted over all of ``docs``.
-    """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = _known(labels)
+
+def _examples(docs: DataFrame, labels: DataFrame, most: tuple[int, int]) -> tuple[pa.Table, tuple[float, float]] | None:
+    """doc_id, label, terms and times of the examples, and how many labelled documents one of each label stands for; None where a label is missing."""
+    spark, known = docs.sparkSession, _known(labels)
     totals = dict(known.groupBy("label").count().collect())
     if len(totals) < 2:
         return None
-    chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect() for k, most in ((0, MOST_CLEAN), (1, MOST_TOXIC))]
-    sample = spark.createDataFrame([tuple(r) for part in chosen for r in part], "doc_id long, label int").distinct()
-    # The sample is bounded by MOST_CLEAN + MOST_TOXIC rows.
-    vocab = vocabulary(docs.join(F.broadcast(sample), "doc_id"))
-    marked = stash(marked_terms(docs, vocab), "toxicity-terms")
-    n_docs = marked.count()
-    df = np.zeros(len(vocab))
-    for term, n in marked.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
-        df[term] = n
-    idf = np.log(1 + n_docs / np.concatenate([np.maximum(df, 1), [max(n_docs, 1)]]))
-    rows = marked.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "n_words", "terms", "times").toArrow().combine_chunks()
-    if not len(rows):
+    lowest = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[k]).collect() for k in (0, 1)]
+    sample = spark.createDataFrame([tuple(r) for part in lowest for r in part], "doc_id long, label int").distinct()
+    # The sample is bounded by its two parameters, and so are its texts.
+    short = docs.join(F.broadcast(sample), "doc_id").where(F.octet_length("text") <= LONGEST_EXAMPLE)
+    one = short.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    found = stash(one.mapInArrow(_example_terms, "doc_id long, label int, n_terms long, terms array<long>, times array<int>"), "toxicity-examples")
+    sizes = {(r.doc_id, r.label): r.n_terms for r in found.where("n_terms > 0").select("doc_id", "label", "n_terms").collect()}
+    chosen = []
+    for part in lowest:
+        total = 0
+        for key in dict.fromkeys(map(tuple, part)):
+            total += sizes.get(key, 0)
+            if key in sizes and total <= MOST_TERMS:
+                chosen.append(key)
+    counts = [sum(label == k for _, label in chosen) for k in (0, 1)]
+    if not all(counts):
         return None
-    one = lambda c: rows.column(c).combine_chunks() if isinstance(rows.column(c), pa.ChunkedArray) else rows.column(c)
-    x = vectors(rows.column("n_words").to_numpy(), one("terms"), one("times"), idf)
-    label = rows.column("label").to_numpy()
-    weight = tuple(totals[k] / max(1, int((label == k).sum())) for k in (0, 1))
-    return vocab, marked, build_index(x, rows.column("doc_id").to_numpy(), label, idf, weight)
+    rows = found.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, label int")), ["doc_id", "label"]).orderBy("doc_id", "label").select("doc_id", "label", "terms", "times").toArrow()
+    return rows, (totals[0] / counts[0], totals[1] / counts[1])
 
 
-def _judged(model: Index, n_words: np.ndarray, marked: pa.ListArray, times: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Score, entries and cosines of each row; equal vectors are looked up once."""
-    q = vectors(n_words, marked, times, model.idf)
-    if not len(q):
-        return np.zeros(0), np.zeros((0, 0), np.int64), np.zeros((0, 0))
-    different, inverse = np.unique(q, axis=0, return_inverse=True)
-    score, entry, cosine = model.score(different)
-    inverse = inverse.ravel()
-    return score[inverse], entry[inverse], cosine[inverse]
+def document_frequencies(docs: DataFrame, names: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term is, and the number of documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(shared.value)
+        total = np.zeros(len(shared.value) + 1, np.int32)
+        for batch in batches:
+            total[-1] += batch.num_rows
+            for block in K.blocks(batch.column("text")):
+                _, term = vocabulary.known(terms(block)[0])
+                total[:-1] += np.bincount(term, minlength=len(total) - 1).astype(np.int32)
+        yield pieces(total)
+
+    total = merged(docs.select("text").mapInArrow(count, COUNTERS), len(names) + 1, np.int32, np.int64, np.add)
+    return total[:-1], int(total[-1])
+
+
+def fit_examples(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (MOST_CLEAN, MOST_TOXIC)) -> tuple[np.ndarray, Index] | None:
+    """The vocabulary and the index; None where one of the labels is missing. ``most``: examples of label 0 and of label 1."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = _examples(docs, labels, most)
+    if found is None:
+        return None
+    rows, stands = found
+    flat = lambda c: rows.column(c).combine_chunks().flatten().to_numpy()
+    label, doc_id = rows.column("label").to_numpy(), rows.column("doc_id").to_numpy()
+    doc = np.repeat(np.arange(len(rows)), np.diff(rows.column("terms").combine_chunks().offsets.to_numpy()))
+    names, term = np.unique(flat("terms").view(K.U), return_inverse=True)
+    with_term = [np.bincount(term, label[doc] == k, len(names)) * stands[k] for k in (0, 1)]
+    df, n_docs = document_frequencies(docs, names)
+    weight = np.log(1 + n_docs / np.maximum(df, 1)) * np.log2(2 + with_term[1] / np.maximum(1, with_term[0]))
+    return names, build_index(doc, term, flat("times"), doc_id, label, weight, stands, names)
+
+
+def _judged(texts: pa.Array, vocabulary: Vocabulary, index: Index) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some texts at a time, in order: how many, their scores, and the nearest entries and cosines."""
+    for block in K.blocks(texts):
+        name, doc, times = terms(block)
+        hit, term = vocabulary.known(name)
+        doc, times = doc[hit], times[hit]
+        n = block.last - block.first
+        ends = np.searchsorted(doc, np.arange(n + 1))
+        first = 0
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + PORTION, "right")) - 1)
+            last = min(last, first + TEXTS, n)
+            own = slice(ends[first], ends[last])
+            yield last - first, *index.score(doc[own] - first, term[own], times[own], last - first)
+            first = last
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (MOST_CLEAN, MOST_TOXIC)) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text), as ``labels`` (doc_id, label: 1 is toxic) mark it.
 
     Returns doc_id, score (calibrated, 0 to 1) and evidence, the nearest
-    examples (doc_id, toxic, cosine). Null and empty texts are scored as texts
-    without marked words; rows with a null doc_id are scored; repeated rows
-    score alike; without labels of both kinds every score is 0 and has no
-    evidence; an empty table gives no rows; other columns are ignored.
+    examples (doc_id, toxic, cosine). Texts are read whole, however long; only
+    examples are bounded (``most`` of label 0 and of label 1, LONGEST_EXAMPLE
+    bytes, MOST_TERMS terms). Null and empty texts, and those that share no
+    term with an example, score as the share of label 1 and have no evidence;
+    rows with a null doc_id are scored; repeated rows score alike; of rows that
+    share a labelled doc_id the text that comes first is the example; between
+    equal cosines the lower entry of the index is nearer; without labels of
+    both kinds every score is 0 and has no evidence; an empty table gives no
+    rows; other columns are ignored.
     """
-    found = fit_examples(docs, labels)
+    found = fit_examples(docs, labels, most)
     if found is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(None).cast("array<struct<doc_id:bigint,toxic:int,cosine:double>>").alias("evidence"))
-    _, marked, index = found
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Index = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, PORTION):
-                batch = whole.slice(at, PORTION)
-                score, entry, cosine = _judged(model, batch.column("n_words").to_numpy(), _fresh(batch.column("terms")), _fresh(batch.column("times")))
+        names, index = shared.value
+        vocabulary = Vocabulary(names)
+        for batch in batches:
+            at = 0
+            for n, score, entry, cosine in _judged(batch.column("text"), vocabulary, index):
                 entry, cosine = entry[:, :EVIDENCE], np.minimum(cosine[:, :EVIDENCE], 1.0)
-                near = pa.StructArray.from_arrays([pa.array(model.example[entry].ravel()), pa.array(model.toxic[entry].ravel()), pa.array(cosine.ravel())], names=["doc_id", "toxic", "cosine"])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.ListArray.from_arrays(pa.array(np.arange(len(score) + 1, dtype=np.int32) * entry.shape[1]), near)], names=["doc_id", "score", "evidence"])
+                there = entry >= 0
+                near = pa.StructArray.from_arrays([pa.array(index.example[entry[there]]), pa.array(index.toxic[entry[there]]), pa.array(cosine[there])], names=["doc_id", "toxic", "cosine"])
+                ends = pa.array(np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), pa.array(score), pa.ListArray.from_arrays(ends, near)], names=["doc_id", "score", "evidence"])
+                at += n
 
-    return marked.mapInArrow(judge, "doc_id long, score double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(judge, "doc_id long, score double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score under ``limit``, with all their columns. Texts are judged where they lie and not shuffled."""
+    """The rows of ``docs`` that score under ``limit``, with all their columns, whatever their names.
+
+    Texts are judged where they lie and not shuffled. Null and empty texts
+    score as the share of label 1, so they stay where most labels are 0;
+    repeated rows stay or go together; without labels of both kinds all rows
+    stay; an empty table gives no rows.
+    """
     found = fit_examples(docs, labels)
     if found is None:
         return docs
-    vocab, _, index = found
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, index = shared.value
+        vocabulary = Vocabulary(names)
         for batch in batches:
-            for block, n_words, marked, times in _marked(batch.column("text"), vocab):
-                rows = batch.slice(block.first, block.last - block.first)
-                clean = [_judged(shared.value, n_words[i : i + PORTION], _fresh(marked.slice(i, PORTION)), _fresh(times.slice(i, PORTION)))[0] < limit for i in range(0, len(n_words), PORTION)]
-                yield rows.filter(pa.array(np.concatenate(clean)))
+            at = 0
+            for n, score, _, _ in _judged(batch.column("text"), vocabulary, index):
+                yield batch.slice(at, n).filter(pa.array(score < limit))
+                at += n
 
     return docs.mapInArrow(keep, docs.schema)
-
-
-def _fresh(lists: pa.ListArray) -> pa.ListArray:
-    """The same lists, with offsets from 0."""
-    return pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy() - lists.offsets[0].as_py()), lists.flatten())

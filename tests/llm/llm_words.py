@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 
+#: Where tests that need many labelled rows read their tables.
+BIG = os.environ.get("TEST_BIG_DIR", "/root/testdata/sf0.1")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 

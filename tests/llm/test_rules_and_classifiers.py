@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -12,11 +14,9 @@ from quillrank.llm import queries as Q
 from quillrank.llm.quality_qda import score_quality
 from quillrank.llm.quality_trees import MONOTONE, grow, quality_rules
 from quillrank.llm.tables import read
-from quillrank.llm.toxicity_knn import BLOCK, build_index, score_toxicity, without_toxic
+from quillrank.llm.toxicity_knn import BEGINNING, BLOCK, COMMON, EVIDENCE, NEAREST, NEIGHBOURS, SMOOTHING, build_index, score_toxicity, without_toxic
 
-from llm_words import words
-
-BIG = DATA.replace("sf0.001", "sf0.1")
+from llm_words import BIG, words
 
 
 def counts(text: str | None) -> tuple:
@@ -89,17 +89,63 @@ def test_scores_of_odd_rows(odd, spark, scorer):
 
 
 def test_nearest_examples_are_exact():
+    """Over several blocks, with common and rare terms."""
     rng = np.random.default_rng(2)
-    x = np.where(rng.random((5 * BLOCK + 7, 40)) < 0.1, rng.random((5 * BLOCK + 7, 40)), 0)
-    x[:, -1] = 0.2
-    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
-    index = build_index(x, np.arange(len(x)), np.arange(len(x)) % 2, np.ones(40), (1.0, 1.0))
-    queries = x[::9]
-    _, cosine = index.nearest(queries, 10)
-    flat = np.zeros((len(index.rate), 40))
-    for b, (t, w) in enumerate(zip(index.block_terms, index.weights, strict=True)):
-        flat[b * BLOCK : b * BLOCK + w.shape[1], t] = w.T
-    assert np.allclose(cosine, -np.sort(-(queries @ flat.T), axis=1)[:, :10])
+    n, n_terms = 5 * BLOCK + 7, 3 * COMMON
+    there = rng.random((n, n_terms)) < 0.4 * rng.random(n_terms) ** 4
+    doc, term = np.nonzero(there)
+    times = rng.integers(1, 5, len(doc))
+    weight, names = rng.random(n_terms) + 0.1, rng.integers(1, 2**63, n_terms).astype(np.uint64)
+    index = build_index(doc, term, times, np.arange(n), np.arange(n) % 2, weight, (1.0, 1.0), names)
+    flat = np.zeros((n, n_terms))
+    flat[doc, term] = (1 + np.log(times)) * weight[term]
+    flat /= np.maximum(np.sqrt((flat**2).sum(axis=1, keepdims=True)), 1e-300)
+    found, cosine = index.nearest(doc, term, index.unit(doc, term, times, n), n, 10)
+    exact = flat @ flat.T
+    assert np.allclose(cosine, -np.sort(-exact, axis=1)[:, :10])
+    assert np.allclose(np.take_along_axis(exact, index.example[found], 1), cosine)
+
+
+def terms_of(text: str | None) -> Counter:
+    low = "".join(c.lower() if "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" else c for c in text or "")
+    out = Counter()
+    for w in re.findall(rb"[A-Za-z\x80-\xff]+", low.encode()):
+        out[w] += 1
+        if len(w) > BEGINNING:
+            out[w[:BEGINNING], "..."] += 1
+    return out
+
+
+def test_toxicity_as_brute_force(spark):
+    """Scores and evidence from plain cosines of whole texts."""
+    docs = read(spark, DATA, "documents")
+    texts = {r.doc_id: terms_of(r.text) for r in docs.collect()}
+    labels = {r.doc_id: r.toxic for r in read(spark, DATA, "labels").collect()}
+    examples = {d: y for d, y in labels.items() if texts.get(d)}
+    df = Counter(t for found in texts.values() for t in found)
+    with_term = [Counter(t for d, y in examples.items() if y == k for t in texts[d]) for k in (0, 1)]
+    stands = [sum(y == k for y in labels.values()) / sum(y == k for y in examples.values()) for k in (0, 1)]
+    weight = {t: math.log(1 + len(texts) / df[t]) * math.log2(2 + stands[1] * with_term[1][t] / max(1, stands[0] * with_term[0][t])) for t in with_term[0] | with_term[1]}
+
+    def unit(found):
+        x = {t: (1 + math.log(k)) * weight[t] for t, k in found.items() if t in weight}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        return {t: v / length for t, v in x.items()}
+
+    entries = {}
+    for d, y in sorted(examples.items()):
+        entries.setdefault(tuple(sorted(texts[d].items(), key=str)), []).append((d, y))
+    known = [(unit(dict(key)), sum(stands[y] for _, y in same if y == 1), sum(stands[y] for _, y in same if y == 0), same[0][0]) for key, same in entries.items()]
+    prior = sum(k[1] for k in known) / sum(k[1] + k[2] for k in known)
+    for r in score_toxicity(docs, read(spark, DATA, "labels").selectExpr("doc_id", "toxic as label")).collect():
+        own = unit(texts[r.doc_id])
+        cosines = sorted(((sum(v * x.get(t, 0) for t, v in own.items()), ones, zeros, d) for x, ones, zeros, d in known), key=lambda e: -e[0])
+        near = [e for e in cosines[:NEIGHBOURS] if e[0] > 1e-12]
+        votes = [(ones + zeros) / (NEAREST + 1 - c) ** 2 for c, ones, zeros, _ in near]
+        rates = [ones / (ones + zeros) for _, ones, zeros, _ in near]
+        expected = (sum(v * x for v, x in zip(votes, rates, strict=True)) + SMOOTHING * prior) / (sum(votes) + SMOOTHING)
+        assert r.score == pytest.approx(expected, abs=1e-9), r.doc_id
+        assert [e.cosine for e in r.evidence] == pytest.approx([e[0] for e in near[:EVIDENCE]], abs=1e-9)
 
 
 def test_toxic_documents_go_and_others_stay(spark):
