@@ -32,10 +32,10 @@ def located(history: History, use_sub_project: bool) -> DataFrame:
     """pr_id, sub (the sub-project's component, null without one), location (below it) and n_copies."""
     if not use_sub_project:
         return history.file_paths.groupBy("pr_id", F.lit(None).cast("string").alias("sub"), "location").agg(F.count("*").alias("n_copies"))
-    name = F.col("sub_project")
-    subs = history.pull_requests.select(F.col("id").alias("pr_id"), F.when(F.length(name) > 0, without_slashes(name)).alias("sub"))
-    # An empty path below a sub-project adds no component, as a slash alone.
-    below = F.when(F.col("sub").isNotNull() & (F.col("location") == ""), F.lit("/")).otherwise(F.col("location"))
+    name = without_slashes(F.col("sub_project"))
+    subs = history.pull_requests.select(F.col("id").alias("pr_id"), F.when(name != "", name).alias("sub"), (F.length("sub_project") > 0).alias("is_named"))
+    # An empty path below a sub-project adds no component, as a slash alone; a name of slashes only is part of the path.
+    below = F.when(F.col("sub").isNotNull() & (F.col("location") == ""), F.lit("/")).when(F.col("sub").isNull() & F.col("is_named"), F.concat(F.lit("/"), F.col("location"))).otherwise(F.col("location"))
     return history.file_paths.join(subs, "pr_id").groupBy("pr_id", "sub", below.alias("location")).agg(F.count("*").alias("n_copies"))
 
 

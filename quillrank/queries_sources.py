@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from quillrank.operators import rank_lines as L
 from quillrank.operators.postprocess import top
 from quillrank.operators.rank_paths import newest_targets
-from quillrank.queries import HISTORY, TOP, _raw
-from quillrank.schema import EXPORT
+from quillrank.plans.recommend import recommend, shown
+from quillrank.queries import _NEWEST, _RANKED, HISTORY, TOP, _history, _path_ctes, _ranking, _raw
+from quillrank.schema import EXPORT, History
 from quillrank.sources import exports, gerrit, git, github, star, star_git
+from quillrank.stored import written
 
 # The repository's log, as DuckDB sees it.
 LOG = """
@@ -19,7 +21,7 @@ lines AS (SELECT lineitem.*, o_orderkey, epoch_ms(o_orderdate) AS ts, p_brand ||
 commits AS (SELECT *, row_number() OVER (PARTITION BY root_path ORDER BY ts DESC, o_orderkey DESC) - 1 AS commit_seq FROM (SELECT DISTINCT root_path, ts, o_orderkey FROM lines)),
 edits AS (SELECT root_path, commit_seq, l_linenumber AS b, CASE l_returnflag WHEN 'A' THEN 'INSERT' WHEN 'R' THEN 'DELETE' ELSE 'REPLACE' END AS type,
   CAST(l_quantity % 5 + 1 AS INT) AS older, CAST(l_suppkey % 5 + 1 AS INT) AS newer FROM lines JOIN commits USING (root_path, o_orderkey, ts)),
-targets AS (SELECT id AS target_id FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts DESC, id DESC) AS rk FROM pr) WHERE rk = 1),
+targets AS (SELECT id AS target_id FROM pr),
 files AS (SELECT DISTINCT target_id, root_path FROM targets JOIN lines ON o_orderkey = target_id),
 placed_files AS (SELECT target_id, f.root_path, commit_seq AS place, n_commits FROM files f JOIN commits c ON c.root_path = f.root_path AND o_orderkey = target_id
   JOIN (SELECT root_path, max(commit_seq) + 1 AS n_commits FROM commits GROUP BY root_path) n ON n.root_path = f.root_path WHERE n_commits > 1 AND commit_seq < n_commits - 1)"""
@@ -30,12 +32,11 @@ def _log(body: str) -> str:
 
 
 def _line_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Placed files of each project's newest pull request, and the tables that the line ranker takes."""
-    file_commit, edit = star_git.edits(spark, folder)
-    history = star.load_history(spark, folder)
-    targets = newest_targets(history).join(history.file_paths, F.col("target_id") == F.col("pr_id"))
-    paths = targets.select("target_id", F.col("target_id").cast("string").alias("change_id"), F.lit(star_git.REPOSITORY).alias("sub_project"), F.col("location").alias("root_path"))
-    return L.placed_targets(paths, file_commit), file_commit, edit
+    """Placed files of all pull requests, and the tables that the line ranker takes."""
+    file_commit, edit = (written(rows, "log") for rows in star_git.edits(spark, folder))
+    paths = star.load_history(spark, folder).file_paths
+    targets = paths.select(F.col("pr_id").alias("target_id"), F.col("pr_id").cast("string").alias("change_id"), F.lit(star_git.REPOSITORY).alias("sub_project"), F.col("location").alias("root_path"))
+    return written(L.placed_targets(targets, file_commit), "placed"), file_commit, edit
 
 
 def _line_points(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,7 +59,7 @@ def line_affected(spark: SparkSession, folder: str) -> DataFrame:
     return L.affected_lines(placed, edit).select("target_id", "root_path", F.col("line").cast("int").alias("line"))
 
 
-# What follows a line through older commits depends on the order of edits; a comparison with a plain version is missing.
+# What follows a line through older commits depends on the order of edits; tests compare it with a plain version.
 @_raw("line_commit_points")
 def line_commit_points(spark: SparkSession, folder: str) -> DataFrame:
     return _line_points(spark, folder).withColumn("points", F.round("points", 9))
@@ -85,7 +86,7 @@ def people_of_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _FILES = """WITH part_path AS (SELECT p_partkey, p_brand || '/' || p_type || '/' || replace(p_name, ' ', '/') AS path FROM part),
-commit_file AS (SELECT DISTINCT -(epoch_ms(o_orderdate) // 86400000 * 1000000000 + o_orderkey) AS log_seq, CAST(o_orderkey AS VARCHAR) AS commit_id, path
+commit_file AS (SELECT DISTINCT {'t': -epoch_ms(o_orderdate), 'k': -o_orderkey} AS log_seq, CAST(o_orderkey AS VARCHAR) AS commit_id, path
   FROM lineitem JOIN part_path ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
 starts AS (SELECT path, arg_max(commit_id, log_seq) AS commit_id FROM commit_file GROUP BY path),
 renames AS (SELECT s.commit_id, n.p_partkey AS walk_order, o.path AS old_path, n.path AS new_path FROM starts s JOIN part_path n ON n.path = s.path AND n.p_partkey % 3 = 0 JOIN part_path o ON o.p_partkey = n.p_partkey + 1),
@@ -167,3 +168,18 @@ UNION ALL SELECT DISTINCT CAST(l_orderkey AS VARCHAR), '/COMMIT_MSG' FROM lineit
 )
 def json_gerrit_files(spark: SparkSession, folder: str) -> DataFrame:
     return gerrit.file_paths(gerrit.changes(star_git.gerrit_responses(spark, folder))).select(F.col("changeId").alias("change_id"), "location")
+
+
+@_raw("commit_change_id", "SELECT CAST(o_orderkey AS VARCHAR) AS commit_id, CASE o_orderkey % 4 WHEN 1 THEN 'I' || o_orderkey WHEN 2 THEN 'dev-' || o_custkey ELSE '' END AS change_id FROM orders")
+def commit_change_id(spark: SparkSession, folder: str) -> DataFrame:
+    return star_git.commit_messages(spark, folder).select("commit_id", git.change_id(F.col("message")).alias("change_id"))
+
+
+@_ranking("recommended_reviewers", _history(f"SELECT target_id, rank, s_name AS name FROM ranking JOIN supplier ON s_suppkey = reviewer_id WHERE rank <= {TOP}", _path_ctes(_NEWEST, True) + _RANKED))
+def recommended_reviewers(h: History) -> DataFrame:
+    """The newest pull request of each project comes in as a request that the stored history doesn't have."""
+    newest = newest_targets(h).select("target_id")
+    of = lambda rows, key, how: rows.join(newest.withColumnRenamed("target_id", key), key, how)
+    before = History(h.projects, h.developers, of(h.pull_requests, "id", "left_anti"), of(h.reviews, "pr_id", "left_anti"), of(h.file_paths, "pr_id", "left_anti"))
+    targets, paths = of(h.pull_requests, "id", "left_semi"), of(h.file_paths, "pr_id", "left_semi")
+    return shown(top(recommend(before, targets, paths), TOP), before).select("target_id", "rank", "name")

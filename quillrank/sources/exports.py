@@ -10,9 +10,9 @@ from quillrank.schema import EXPORT, History
 KEY = ("accountId", "name", "email")
 
 
-def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """The nested rows of a file or folder with one JSON array, or with a JSON object in each line. What can't be read is null."""
-    return spark.read.schema(EXPORT).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def read_export(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The nested rows of a file or folder whose files have one JSON array each or, with ``lines``, an object in each line, as ``write_export`` has it. What can't be read is null."""
+    return spark.read.schema(EXPORT).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
 
 
 def _id(*columns):
@@ -21,9 +21,9 @@ def _id(*columns):
 
 
 def normalized(nested: DataFrame, project: str, project_url: str | None = None) -> History:
-    """The five tables of an export. A developer is the same if account, name and e-mail are; a pull request if its change id is."""
+    """The five tables of an export; rows that couldn't be read, which have no change id, are left out. A developer is the same if account, name and e-mail are; a pull request if its change id is."""
     spark = nested.sparkSession
-    pulls = nested.dropDuplicates(["changeId"]).withColumn("id", F.xxhash64(F.lit(project), "changeId"))
+    pulls = nested.where("changeId is not null").dropDuplicates(["changeId"]).withColumn("id", F.xxhash64(F.lit(project), "changeId"))
     person = lambda p: F.xxhash64(*[F.to_json(F.struct(p[c].alias("v"))) for c in KEY])
     reviewers = pulls.select("id", F.explode("reviewers").alias("p")).where("p is not null")
     people = pulls.where("owner is not null").select(F.col("owner").alias("p")).union(reviewers.select("p"))

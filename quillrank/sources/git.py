@@ -8,9 +8,26 @@ meets. file_content (sub_project, commit_id, path, content) has files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A line of a commit message that is a footer.
+FOOTER = r"^[A-Za-z0-9-]+:"
+
+
+def footers(message: Column) -> Column:
+    """key and value of the footer lines of a commit message, in order: lines with a key in its last paragraph, unless that is its first."""
+    text = F.regexp_replace(message, r"\n+$", "")
+    last = F.regexp_extract(text, r"(?s)\n\n(?:.*\n\n)?(.*)$", 1)
+    lines = F.filter(F.split(last, "\n"), lambda line: line.rlike(FOOTER))
+    part = lambda line, pattern: F.regexp_extract(line, pattern, 1)
+    return F.transform(lines, lambda line: F.struct(part(line, "^([^:]*):").alias("key"), part(line, "^[^:]*: *(.*)$").alias("value")))
+
+
+def change_id(message: Column) -> Column:
+    """The value of the first footer, whatever its key; empty without footers."""
+    return F.coalesce(F.get(footers(message), F.lit(0))["value"], F.lit(""))
+
 
 def _sequenced(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("sub_project", "root_path").orderBy("hop", "log_seq")

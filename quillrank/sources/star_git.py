@@ -16,7 +16,6 @@ from quillrank.sources.star import location, table
 #: All paths lie in one repository.
 REPOSITORY = "main"
 PREFIX = ")]}'\n"
-DAY_MS, LOG_STEP = 86_400_000, 1_000_000_000
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,9 +27,9 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def commit_file(spark: SparkSession, folder: str) -> DataFrame:
-    """sub_project, log_seq, commit_id, path, change_id; log_seq falls with time, so no order over all commits is needed."""
+    """sub_project, log_seq, commit_id, path, change_id; log_seq (time and key, taken negative) falls with time, so no order over all commits is needed."""
     commits = _lines(spark, folder).select("sub_project", "ts", "o_orderkey", "root_path").distinct()
-    seq = -(F.expr(f"ts div {DAY_MS}") * LOG_STEP + F.col("o_orderkey"))
+    seq = F.struct((-F.col("ts")).alias("time"), (-F.col("o_orderkey")).alias("key"))
     key = F.col("o_orderkey").cast("string")
     return commits.select("sub_project", seq.alias("log_seq"), key.alias("commit_id"), F.col("root_path").alias("path"), key.alias("change_id"))
 
@@ -43,6 +42,15 @@ def renames(spark: SparkSession, folder: str) -> DataFrame:
     return first.join(new.join(old, "p_partkey"), "path").select("sub_project", "commit_id", F.col("p_partkey").cast("int").alias("walk_order"), F.lit("RENAME").alias("change_type"), "old_path", F.col("path").alias("new_path"))
 
 
+def commit_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """commit_id and message of every order: with a change id as its first footer, with another footer before it, with none, or with a subject only."""
+    key = F.col("o_orderkey")
+    subject, body = F.concat(F.lit("Order "), key), F.lit("\n\nNote: of the body.\n\n")
+    change, signed = F.concat(F.lit("Change-Id: I"), key), F.concat(F.lit("Signed-off-by: dev-"), F.col("o_custkey"))
+    message = F.when(key % 4 == 0, subject).when(key % 4 == 1, F.concat(subject, body, change, F.lit("\n"), signed)).when(key % 4 == 2, F.concat(subject, body, signed, F.lit("\n"), change, F.lit("\n"))).otherwise(F.concat(subject, body, F.lit("just text")))
+    return table(spark, folder, "orders").select(key.cast("string").alias("commit_id"), message.alias("message"))
+
+
 def edits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """file_commit and edit rows of all paths, as the line ranker takes them."""
     lines = _lines(spark, folder)

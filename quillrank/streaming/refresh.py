@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,9 +15,16 @@ def review_counts(rows: DataFrame) -> DataFrame:
 
 
 def start_refresh(reviews: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Write the counts of a stream of reviews to ``folder``, replaced after each micro-batch that changes them."""
+    """Count a stream of reviews. Each micro-batch writes a whole new version to ``folder``, which ``latest_counts`` reads; a batch that runs again writes its version again."""
 
-    def replace_counts(counts: DataFrame, epoch: int) -> None:
+    def write_version(counts: DataFrame, epoch: int) -> None:
         counts.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
 
-    return review_counts(reviews).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(replace_counts).trigger(availableNow=True).start()
+    return review_counts(reviews).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write_version).trigger(availableNow=True).start()
+
+
+def latest_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts of the newest version; older ones stay for those who are reading them."""
+    versions = spark.read.parquet(folder)
+    newest = versions.agg(F.max("epoch")).first()[0]
+    return versions.where(F.col("epoch") == newest).drop("epoch")
