@@ -1,8 +1,11 @@
 """Substring dedup on sliding spans of sentences.
 
-From every sentence on, the shortest run of two or more consecutive sentences
-that has enough words is hashed (and a very long sentence for itself); runs are
-joined over all documents, and sentences that a non-first repeat covers go. Of equal runs the first in order of doc_id and position stays.
+The shortest runs of two or more consecutive sentences that have enough words
+are hashed, one from every sentence on and one up to every sentence that none
+of these ends with (and a very long sentence for itself); runs are joined over all documents, and sentences
+that a non-first repeat covers go. Of equal runs the first in order of doc_id
+and position stays. Long sentences, and text without stops, are cut where the
+words themselves say so, so a passage is cut alike wherever it stands.
 """
 
 from __future__ import annotations
@@ -17,17 +20,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm import kernels as K
+from quillrank.llm.tables import free_name, quoted
 
-#: Fewest words of a run, and of a sentence that counts alone; shorter runs recur by chance.
-RUN_WORDS, ALONE_WORDS = 12, 40
+#: Fewest words of a run, and of a sentence that counts alone; shorter runs recur by chance, in notices and in quotations.
+RUN_WORDS, ALONE_WORDS = 20, 40
+#: Sentences of more words are cut before words whose hash, with that of the word after, is the lowest among so many words on both sides.
+LONG_WORDS, AROUND = 24, 6
 #: A sentence of fewer words belongs to the one before it in its line.
 OWN_WORDS = 3
 STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
+#: BASE times this is 1 modulo 2**64.
+INVERSE = K.U(pow(int(K.BASE), -1, 1 << 64))
 #: Rows without a doc_id take places from here on.
 NO_ID = 2**62
 
 
+COUNTS = ("n_sentences", "n_removed")
+
+
 @dataclass
 class Sentences:
     """Of a block: byte ranges start:end (white space after a sentence is its own), document and first sentence of each document."""
@@ -40,8 +51,21 @@ class Sentences:
     name: np.ndarray
 
 
+def _cuts(hashes: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Words before which long sentences (of ``size`` words from word ``at`` on) are cut; what is outside a sentence doesn't matter."""
+    place, length = K.runs(size), np.repeat(size, size)
+    inside = (length > LONG_WORDS) & (place > 0)
+    after = np.append(hashes[1:], K.U(0))
+    after[place == length - 1] = 0
+    pair = K.mix(hashes * K.BASE + after)
+    for k in range(1, AROUND + 1):
+        inside[k:] &= (pair[k:] < pair[:-k]) | (place[k:] < k)
+        inside[:-k] &= (pair[:-k] <= pair[k:]) | (place[:-k] + k >= length[:-k])
+    return np.flatnonzero(inside)
+
+
 def sentences(block: K.Block) -> Sentences:
-    """Sentences end at a word that ends in a full stop, exclamation or question mark, and with their line."""
+    """Sentences end at a word that ends in a full stop, exclamation or question mark, and with their line; long ones are cut further."""
     found = K.words(block)
     n = len(found.start)
     n_docs = len(block.at) - 1
@@ -57,13 +81,16 @@ def sentences(block: K.Block) -> Sentences:
     at = np.flatnonzero(begins)
     short = np.diff(np.append(at, n)) < OWN_WORDS
     at = at[first[at] | ~short]
+    hashes = K.hash_words(block, found, lower=True)
+    size = np.diff(np.append(at, n))
+    at = np.union1d(at, _cuts(hashes, at, size))
     size = np.diff(np.append(at, n))
     doc = found.doc[at]
     start = found.start[at]
     end = np.append(start[1:], len(block.data))
     last = np.append(doc[1:] != doc[:-1], True)
     end[last] = block.at[doc[last] + 1]
-    name = K.mix(np.add.reduceat(K.hash_words(block, found, lower=True) * K.powers(int(size.max()))[K.runs(size)], at) ^ size.astype(K.U))
+    name = K.mix(np.add.reduceat(hashes * K.powers(int(size.max()))[K.runs(size)], at) ^ size.astype(K.U))
     return Sentences(start, end, doc, np.searchsorted(doc, np.arange(n_docs + 1)), size, name)
 
 
@@ -71,18 +98,24 @@ def runs(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first sentence and number of sentences of every run that counts, in order of document and position."""
     n = len(s.doc)
     done = np.concatenate([[0], np.cumsum(s.words)])
-    end = np.maximum(np.searchsorted(done, done[:-1] + RUN_WORDS, "left"), np.arange(n) + 2)
-    at = np.flatnonzero(end <= s.of_doc[s.doc + 1])
-    size = end[at] - at
-    name = np.zeros(len(at), K.U)
-    for k in range(int(size.max()) if len(size) else 0):
-        more = np.flatnonzero(size > k)
-        name[more] = name[more] * K.BASE + s.name[at[more] + k]
+    here = np.arange(n)
+    stop = np.maximum(np.searchsorted(done, done[:-1] + RUN_WORDS, "left"), here + 2)
+    start = np.minimum(np.searchsorted(done, done[1:] - RUN_WORDS, "right") - 1, here - 1)
+    on, up = stop <= s.of_doc[s.doc + 1], start >= s.of_doc[s.doc]
+    # Up to a sentence only where no run from another one on ends.
+    ended = np.zeros(n + 1, bool)
+    ended[stop[on]] = True
+    up &= ~ended[1:]
     alone = np.flatnonzero(s.words >= ALONE_WORDS)
-    name = np.concatenate([K.mix(name ^ size.astype(K.U)), K.mix(s.name[alone] ^ K.U(1))])
-    at, size = np.concatenate([at, alone]), np.concatenate([size, np.ones(len(alone), np.int64)])
-    order = np.argsort(at, kind="stable")
-    return name[order], at[order], size[order]
+    span = np.unique(np.concatenate([here[on] * (n + 1) + stop[on], start[up] * (n + 1) + here[up] + 1, alone * (n + 1) + alone + 1]))
+    at, stop = span // (n + 1), span % (n + 1)
+    # A polynomial of the sentences' names; its powers are taken back to those of the run's start.
+    total = np.concatenate([np.zeros(1, K.U), np.cumsum(s.name * K.powers(n))])
+    back = np.full(n, INVERSE)
+    back[:1] = 1
+    name = (total[stop] - total[at]) * np.multiply.accumulate(back)[at]
+    size = stop - at
+    return K.mix(name ^ K.mix(size.astype(K.U))), at, size
 
 
 def _later(doc: np.ndarray, name: np.ndarray) -> np.ndarray:
@@ -111,9 +144,9 @@ def _spans(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(hashes, "run long, doc_id long")
 
 
-def _without(batches: Iterator[pa.RecordBatch], column: str, kept: list[str]) -> Iterator[pa.RecordBatch]:
+def _without(batches: Iterator[pa.RecordBatch], column: str, known: str, kept: list[str], counts: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = batch.column("_repeats").fill_null([])
+        marks = batch.column(known).fill_null([])
         mark_ends, mark_names = marks.offsets.to_numpy(), marks.values.to_numpy(zero_copy_only=False).view(K.U)
         texts, n_sentences, n_removed = [], [], []
         for block in K.blocks(batch.column(column)):
@@ -147,25 +180,33 @@ def _without(batches: Iterator[pa.RecordBatch], column: str, kept: list[str]) ->
         if batch.column(column).null_count:
             text = pc.if_else(batch.column(column).is_null(), pa.scalar(None, pa.string()), text)
         columns = [text if c == column else batch.column(c) for c in kept]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(n_sentences).astype(np.int64)), pa.array(np.concatenate(n_removed).astype(np.int64))], names=[*kept, "n_sentences", "n_removed"])
+        added = [pa.array(np.concatenate(x).astype(np.int64)) for x in (n_sentences, n_removed)] if counts else []
+        yield pa.RecordBatch.from_arrays([*columns, *added], names=[*kept, *COUNTS[: len(added)]])
 
 
-def dedup_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) with repeated spans taken out of text, and n_sentences and n_removed (long) added.
+def dedup_spans(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with repeated spans taken out of text; with ``counts``, n_sentences and n_removed (long) are added.
 
     Words are compared in lower case (A-Z), white space and breaks between them
-    don't count. A text that loses nothing stays as it is, byte for byte; one
-    that loses every sentence becomes empty; null stays null. Rows with a null
-    doc_id come last in order. Rows that share a doc_id count as one document:
-    what one of them has first, the others keep too. An empty table gives no
-    rows. Runs are told apart by 64-bit hashes. Columns called n_sentences or
-    n_removed are replaced.
+    don't count. Texts are read whole, however long. A text that loses nothing
+    stays as it is, byte for byte; one that loses every sentence becomes empty;
+    null stays null. Repeats of fewer than RUN_WORDS words, or of one sentence
+    under ALONE_WORDS, stay, and so does what of a repeated passage shares a
+    sentence with other text. Rows with a null doc_id come last in order. Rows
+    that share a doc_id count as one document: what one of them has first, the
+    others keep too, so exact repeated rows stay alike. An empty table gives no
+    rows. Runs are told apart by 64-bit hashes. With ``counts``, columns called
+    n_sentences or n_removed are replaced; other names don't matter. A run that
+    very many documents have is a large key of the join, which adaptive
+    execution splits.
     """
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).bitwiseOR(F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(NO_ID - 1))))
+    place, marks = free_name("place", docs), free_name("repeats", docs)
     spans = _spans(docs.select(order.alias("doc_id"), F.col("text").cast("string").alias("text")))
     first = spans.groupBy("run").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("run", "first_id")
-    repeats = spans.join(first, "run").where("doc_id > first_id").groupBy("doc_id").agg(F.collect_set("run").alias("_repeats")).withColumnRenamed("doc_id", "_order")
-    kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    marked = docs.select(*kept).withColumn("text", F.col("text").cast("string")).withColumn("_order", order).join(repeats, "_order", "left").select(*kept, "_repeats")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema if f.name != "_repeats") + ", n_sentences long, n_removed long"
-    return marked.mapInArrow(lambda batches: _without(batches, "text", kept), schema)
+    repeats = spans.join(first, "run").where("doc_id > first_id").groupBy("doc_id").agg(F.collect_set("run").alias(marks)).withColumnRenamed("doc_id", place)
+    kept = [c for c in docs.columns if not counts or c not in COUNTS]
+    marked = docs.select(*quoted(*kept)).withColumn("text", F.col("text").cast("string")).withColumn(place, order).join(repeats, place, "left").select(*quoted(*kept), marks)
+    types = {f.name: f.dataType.simpleString() for f in marked.schema}
+    schema = ", ".join([f"{quoted(c)[0]} {types[c]}" for c in kept] + [f"{c} long" for c in COUNTS if counts])
+    return marked.mapInArrow(lambda batches: _without(batches, "text", marks, kept, counts), schema)

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from quillrank.stored import discard, shared_folder, written
+
+__all__ = ["bounded_batches", "discard", "free_name", "quoted", "read", "shared_folder", "stash"]
 
 #: Most bytes of an Arrow batch between Spark and Python, so that long texts don't add up in a worker.
 BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    """Set the session's size of Arrow batches, which Spark has as a setting only."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -21,23 +22,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset (tests, local mode)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="quillrank-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+def stash(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back; see ``written``."""
+    bounded_batches(df.sparkSession)
+    return written(df, label)
+
 
+def free_name(name: str, *tables: DataFrame) -> str:
+    """A column name like ``name`` that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
 
-    The lineage ends there, so a lost executor costs a re-read and never a
-    recomputation; the written size also lets the planner choose joins by fact.
-    """
-    spark = df.sparkSession
-    bounded_batches(spark)
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def quoted(*names: str) -> list[str]:
+    """Column names, whatever characters they have."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]

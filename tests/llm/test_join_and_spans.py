@@ -8,39 +8,10 @@ from small_data import DATA
 
 from quillrank.llm import queries as Q
 from quillrank.llm.ngram_join import ngram_join, one_of_each
-from quillrank.llm.span_dedup import ALONE_WORDS, OWN_WORDS, RUN_WORDS, dedup_spans
+from quillrank.llm.span_dedup import dedup_spans
 from quillrank.llm.tables import read
 
-from llm_words import words
-
-
-def lowered(text):
-    return [w.translate({c: c + 32 for c in range(65, 91)}) for w in words(text)]
-
-
-def shingle_set(text, n):
-    w = lowered(text)
-    return {tuple(w)} if 0 < len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
-
-
-def brute_components(rows, n, percent):
-    sets = [(d, shingle_set(t, n)) for d, t in rows]
-    label = list(range(len(sets)))
-
-    def root(i):
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    for i in range(len(sets)):
-        for j in range(i):
-            a, b = sets[i][1], sets[j][1]
-            if a and b and 100 * len(a & b) >= percent * len(a | b):
-                label[root(i)] = root(j)
-    groups = {}
-    for i, (d, _) in enumerate(sets):
-        groups.setdefault(root(i), []).append(d)
-    return sorted((d, len(s), min(groups[root(i)])) for i, (d, s) in enumerate(sets))
+from plain import brute_components, plain_dedup
 
 
 def crafted(seed: int, n: int) -> list[tuple]:
@@ -88,57 +59,6 @@ def test_one_document_of_each_group_stays(odd, table):
     assert one_of_each(odd.limit(0)).count() == 0
 
 
-def plain_sentences(text):
-    """(words, text up to the next sentence) of each sentence; and what comes before the first."""
-    found, at = [], 0
-    for word in words(text):
-        begin = text.index(word, at)
-        gap = text[at:begin]
-        if not found:
-            head, found = gap, [[[word], "", True]]
-        else:
-            found[-1][1] += gap
-            new_line = "\n" in gap
-            if new_line or found[-1][0][-1][-1] in ".!?":
-                found.append([[word], "", new_line])
-            else:
-                found[-1][0].append(word)
-        found[-1][1] += word
-        at = begin + len(word)
-    if not found:
-        return text, []
-    found[-1][1] += text[at:]
-    merged = []
-    for w, t, new_line in found:
-        if merged and not new_line and len(w) < OWN_WORDS:
-            merged[-1] = (merged[-1][0] + w, merged[-1][1] + t)
-        else:
-            merged.append((w, t))
-    return head, merged
-
-
-def plain_dedup(rows):
-    seen, out = set(), {}
-    for doc_id, text in sorted(rows, key=lambda r: r[0]):
-        if text is None:
-            out[doc_id] = None
-            continue
-        head, parts = plain_sentences(text)
-        low = [tuple(lowered(" ".join(w))) for w, _ in parts]
-        gone = set()
-        for i, s in enumerate(low):
-            spans = [((i,), (s,))] if len(s) >= ALONE_WORDS else []
-            ends = [j for j in range(i + 2, len(low) + 1) if sum(map(len, low[i:j])) >= RUN_WORDS]
-            if ends:
-                spans.append((tuple(range(i, ends[0])), tuple(low[i : ends[0]])))
-            for at, name in spans:
-                if name in seen:
-                    gone.update(at)
-                seen.add(name)
-        out[doc_id] = head + "".join(t for i, (_, t) in enumerate(parts) if i not in gone)
-    return out
-
-
 def passages(seed: int, n: int) -> list[tuple]:
     rng = random.Random(seed)
     sentence = lambda: " ".join(f"s{rng.randrange(3000)}" for _ in range(rng.choice([1, 2, 6, 9, 14, 45]))) + rng.choice([".", "!", "?", "", "...\n", "\n\n"])
@@ -153,8 +73,11 @@ def test_spans_go_as_in_the_plain_version(table):
 
 
 def test_spans_on_documents(spark):
+    """In many small batches, too."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     rows = [(r.doc_id, r.text) for r in read(spark, DATA, "documents").collect()]
     assert {r.doc_id: r.text for r in Q.op5_span_dedup(spark, DATA).collect()} == plain_dedup(rows)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_spans_on_odd_rows(odd):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import re
 from collections import Counter
 
 import numpy as np
@@ -11,12 +9,14 @@ import pytest
 from small_data import DATA
 
 from quillrank.llm import queries as Q
-from quillrank.llm.quality_qda import score_quality
+from quillrank.llm.quality_qda import FLOOR, TEMPERATURE, TO_DIAGONAL, TO_POOLED, score_quality
 from quillrank.llm.quality_trees import MONOTONE, grow, quality_rules
+from quillrank.llm.statistics import document_statistics
 from quillrank.llm.tables import read
-from quillrank.llm.toxicity_knn import BEGINNING, BLOCK, COMMON, EVIDENCE, NEAREST, NEIGHBOURS, SMOOTHING, build_index, score_toxicity, without_toxic
+from quillrank.llm.toxicity_knn import BLOCK, COMMON, EVIDENCE, build_index, score_toxicity, without_toxic
 
 from llm_words import BIG, words
+from plain import plain_toxicity
 
 
 def counts(text: str | None) -> tuple:
@@ -74,6 +74,24 @@ def test_quality_on_held_out_labels(spark):
     assert held_out_auc(spark, Q.op2_quality_classifier, "quality") > 0.9
 
 
+def test_quality_as_densities_written_out(spark):
+    """Log densities of the shrunk normal distributions, by determinants and solved equations."""
+    docs, labels = read(spark, DATA, "documents"), read(spark, DATA, "labels").selectExpr("doc_id", "quality as label")
+    shares = {r.doc_id: np.sqrt(np.maximum(r.shares, 0)) for r in document_statistics(docs).select("doc_id", "shares").collect()}
+    known = [(shares[r.doc_id], r.label) for r in labels.collect() if r.doc_id in shares]
+    by_class = [np.array([x for x, y in known if y == k]) for k in (0, 1)]
+    own = [np.cov(x.T, bias=True) for x in by_class]
+    pooled = sum(len(x) * c for x, c in zip(by_class, own, strict=True)) / len(known)
+    log = []
+    for x, c in zip(by_class, own, strict=True):
+        c = (1 - TO_POOLED) * c + TO_POOLED * pooled
+        c = (1 - TO_DIAGONAL) * c + TO_DIAGONAL * np.diag(np.diag(c)) + FLOOR * np.eye(len(c))
+        log.append(lambda z, m=x.mean(axis=0), c=c, n=len(x): np.log(n / len(known)) - (np.linalg.slogdet(c)[1] + (z - m) @ np.linalg.solve(c, z - m)) / 2)
+    for r in score_quality(docs, labels).collect():
+        z = shares[r.doc_id]
+        assert r.score == pytest.approx(1 / (1 + np.exp(np.clip((log[0](z) - log[1](z)) / TEMPERATURE, -500, 500))), abs=1e-7)
+
+
 def test_toxicity_on_held_out_labels(spark):
     assert held_out_auc(spark, Q.op10_toxicity, "toxic") > 0.95
 
@@ -106,46 +124,15 @@ def test_nearest_examples_are_exact():
     assert np.allclose(np.take_along_axis(exact, index.example[found], 1), cosine)
 
 
-def terms_of(text: str | None) -> Counter:
-    low = "".join(c.lower() if "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" else c for c in text or "")
-    out = Counter()
-    for w in re.findall(rb"[A-Za-z\x80-\xff]+", low.encode()):
-        out[w] += 1
-        if len(w) > BEGINNING:
-            out[w[:BEGINNING], "..."] += 1
-    return out
-
-
 def test_toxicity_as_brute_force(spark):
     """Scores and evidence from plain cosines of whole texts."""
     docs = read(spark, DATA, "documents")
-    texts = {r.doc_id: terms_of(r.text) for r in docs.collect()}
-    labels = {r.doc_id: r.toxic for r in read(spark, DATA, "labels").collect()}
-    examples = {d: y for d, y in labels.items() if texts.get(d)}
-    df = Counter(t for found in texts.values() for t in found)
-    with_term = [Counter(t for d, y in examples.items() if y == k for t in texts[d]) for k in (0, 1)]
-    stands = [sum(y == k for y in labels.values()) / sum(y == k for y in examples.values()) for k in (0, 1)]
-    weight = {t: math.log(1 + len(texts) / df[t]) * math.log2(2 + stands[1] * with_term[1][t] / max(1, stands[0] * with_term[0][t])) for t in with_term[0] | with_term[1]}
-
-    def unit(found):
-        x = {t: (1 + math.log(k)) * weight[t] for t, k in found.items() if t in weight}
-        length = math.sqrt(sum(v * v for v in x.values()))
-        return {t: v / length for t, v in x.items()}
-
-    entries = {}
-    for d, y in sorted(examples.items()):
-        entries.setdefault(tuple(sorted(texts[d].items(), key=str)), []).append((d, y))
-    known = [(unit(dict(key)), sum(stands[y] for _, y in same if y == 1), sum(stands[y] for _, y in same if y == 0), same[0][0]) for key, same in entries.items()]
-    prior = sum(k[1] for k in known) / sum(k[1] + k[2] for k in known)
-    for r in score_toxicity(docs, read(spark, DATA, "labels").selectExpr("doc_id", "toxic as label")).collect():
-        own = unit(texts[r.doc_id])
-        cosines = sorted(((sum(v * x.get(t, 0) for t, v in own.items()), ones, zeros, d) for x, ones, zeros, d in known), key=lambda e: -e[0])
-        near = [e for e in cosines[:NEIGHBOURS] if e[0] > 1e-12]
-        votes = [(ones + zeros) / (NEAREST + 1 - c) ** 2 for c, ones, zeros, _ in near]
-        rates = [ones / (ones + zeros) for _, ones, zeros, _ in near]
-        expected = (sum(v * x for v, x in zip(votes, rates, strict=True)) + SMOOTHING * prior) / (sum(votes) + SMOOTHING)
-        assert r.score == pytest.approx(expected, abs=1e-9), r.doc_id
-        assert [e.cosine for e in r.evidence] == pytest.approx([e[0] for e in near[:EVIDENCE]], abs=1e-9)
+    labels = read(spark, DATA, "labels")
+    expected = plain_toxicity([(r.doc_id, r.text) for r in docs.collect()], {r.doc_id: r.toxic for r in labels.collect()})
+    for r in score_toxicity(docs, labels.selectExpr("doc_id", "toxic as label")).collect():
+        score, near = expected[r.doc_id]
+        assert r.score == pytest.approx(score, abs=1e-9), r.doc_id
+        assert [e.cosine for e in r.evidence] == pytest.approx(near[:EVIDENCE], abs=1e-9)
 
 
 def test_toxic_documents_go_and_others_stay(spark):
