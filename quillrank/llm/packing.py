@@ -193,13 +193,13 @@ def choose_ends(positions: list[int], penalties: list[int], length: int = LENGTH
     return out[::-1]
 
 
-def tail_ends(first: int, last: int) -> list[int]:
-    """Cuts the last window of a stream into powers of two, so that it needs no padding."""
-    out = []
-    while first < last:
-        first += 1 << ((last - first).bit_length() - 1)
-        out.append(first)
-    return out
+def tail_ends(first: int, last: int, length: int = LENGTH) -> list[int]:
+    """Ends of the last window of a stream: cut into powers of two, which need no padding, where that costs less than padding it."""
+    out, at = [], first
+    while at < last:
+        at += 1 << ((last - at).bit_length() - 1)
+        out.append(at)
+    return out if (len(out) - 1) * (PER_WINDOW + CUT_WORDS) < length - (last - first) or len(out) == 1 else [last]
 
 
 def _positions(ends: np.ndarray, sentences: np.ndarray, skipped: int) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +241,7 @@ class Stream:
         windows = choose_ends(at.tolist(), penalty.tolist(), length)
         if last:
             from_ = windows[-2] if len(windows) > 1 else 0
-            windows = windows[:-1] + tail_ends(from_, windows[-1])
+            windows = windows[:-1] + tail_ends(from_, windows[-1], length)
         else:
             windows = windows[:-1]
         windows = np.array(windows, np.int64)
@@ -290,8 +290,12 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     a file every executor can read; it must split at white space. Null and
     empty texts are ``end_id`` alone; every row, repeated ones too, is packed
     for itself, also with a null doc_id; an empty table gives no rows; other
-    columns are ignored. Only ends of a task's stream need no neighbour, so
-    nothing is shuffled.
+    columns are ignored. Texts are read whole, however long. Between window
+    ends of equal cost the longer window is chosen. A task cuts PORTION tokens
+    at once, each portion at least cost from where the one before it ended; the
+    last window of a portion stays open, so a portion costs at most one window
+    more than a cut of the whole stream. Only ends of a task's stream need no
+    neighbour, so nothing is shuffled.
     """
     path = tokenizer or default_tokenizer()
 
