@@ -88,9 +88,10 @@ def fit_discriminant(statistics: DataFrame, labels: DataFrame) -> Discriminant |
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text), as ``labels`` (doc_id, label: 1 is good) mark it.
 
-    Returns doc_id and score, the probability of label 1, between 0 and 1. Null
-    text counts as empty and is scored; rows with a null doc_id are scored;
-    repeated rows score alike; without labels of both kinds every score is 0.5;
+    Returns doc_id and score, the probability of label 1, between 0 and 1. Texts
+    are read whole, however long. Null text counts as empty and is scored; rows
+    with a null doc_id are scored; repeated rows score alike, so ties need no
+    order; labelled rows that share a doc_id all count; without labels of both kinds every score is 0.5;
     an empty table gives no rows; other columns are ignored.
     """
     statistics = stash(document_statistics(docs).select("doc_id", "shares"), "statistics")

@@ -68,8 +68,10 @@ def shard_documents(docs: DataFrame, shards: int = 8, virtual_nodes: int = VIRTU
     Returns doc_id, size (UTF-8 bytes plus 1; null text: 1), text_crc32, shard
     and slot (gapless from 0 in each shard). With ``slack`` 0 shard counts are
     at most one apart; with slack e no shard holds more than (1 + e) times the
-    mean and fewer rows leave their first shard. Null ids are placed by their
-    text; repeated rows each get a slot; an empty table gives no rows; other
+    mean and fewer rows leave their first shard. Texts count whole, however
+    long. Null ids are placed by their text; rows alike in all that places them
+    are a tie in which either may have either slot, and repeated rows each get
+    one; an empty table gives no rows; other
     columns are ignored.
     """
     spark = docs.sparkSession

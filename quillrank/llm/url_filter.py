@@ -15,8 +15,10 @@ from quillrank.llm.tables import stash
 BUCKETS = 1 << 12
 SIZES = (3, 4, 5)
 STEPS = 300
-#: A step converges while it is under 8 over the kernel's largest eigenvalue, which for some 160 labelled URLs is about 260.
-RATE = 0.02
+#: A step converges while it is under 8 over the kernel's largest eigenvalue, and that is at most the largest sum of a row; a step is this much over that sum.
+RATE = 6.0
+#: Most labelled URLs, those of the lowest hashes; their kernel is one row of that number squared.
+MOST_LABELLED = 400
 RIDGE = 0.02
 
 #: (action, host and path). The longest that fits a URL decides.
@@ -84,14 +86,16 @@ def grams(host: Column, path: Column) -> Column:
 
 
 def fit(labelled: DataFrame) -> tuple[list[float], float]:
-    """Weights of the buckets and the intercept, from a small table (url, label). Gradient steps on the dual of ridge-penalised logistic loss."""
-    rows = labelled.select("label", grams(host_of(F.col("url")), path_of(F.col("url"))).alias("grams")).where("label is not null")
+    """Weights of the buckets and the intercept, from a small table (url, label) of which MOST_LABELLED rows are used. Gradient steps on the dual of ridge-penalised logistic loss."""
+    bounded = labelled.where("label is not null").orderBy(F.xxhash64("url"), "url", "label").limit(MOST_LABELLED)
+    rows = bounded.select("label", grams(host_of(F.col("url")), path_of(F.col("url"))).alias("grams"))
     one = rows.agg(F.sort_array(F.collect_list(F.struct("label", "grams"))).alias("rows"))
     like = "transform(rows, a -> transform(rows, b -> 1D + size(array_intersect(a.grams, b.grams)) / sqrt(size(a.grams) * size(b.grams))))"
     step = f"""aggregate(sequence(1, {STEPS}), array_repeat(0D, size(rows)), (c, t) -> transform(c, (v, i) ->
-        v + {RATE} * (rows[i].label - 1 / (1 + exp(-aggregate(zip_with(kernel[i], c, (k, x) -> k * x), 0D, (s, x) -> s + x))) - {RIDGE} * v)))"""
+        v + rate * (rows[i].label - 1 / (1 + exp(-aggregate(zip_with(kernel[i], c, (k, x) -> k * x), 0D, (s, x) -> s + x))) - {RIDGE} * v)))"""
     # Written, so that the kernel is worked out once and not at each step.
-    fitted = stash(one.withColumn("kernel", F.expr(like)), "url-kernel").withColumn("dual", F.expr(step))
+    rate = f"{RATE}D / array_max(transform(kernel, r -> aggregate(r, 0D, (s, x) -> s + x)))"
+    fitted = stash(one.withColumn("kernel", F.expr(like)).withColumn("rate", F.expr(rate)), "url-kernel").withColumn("dual", F.expr(step))
     pairs = fitted.select(F.explode(F.arrays_zip("rows", "dual")).alias("x")).select("x.dual", F.col("x.rows.grams").alias("grams"))
     share = pairs.select("dual", F.explode("grams").alias("bucket"), F.sqrt(F.size("grams")).alias("norm"))
     by_bucket = share.groupBy("bucket").agg(F.sum(F.col("dual") / F.col("norm")).alias("weight")).union(pairs.agg(F.lit(-1), F.sum("dual")))
@@ -109,9 +113,10 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules: tuple = RULES) ->
 
     Returns page_id, host, path, rule, verdict (allow or block) and score, the
     model's probability that the URL is unwanted. A null URL, or one without
-    ``://``, has an empty host and path and is judged by the model; repeated
-    rows are judged alike; an empty table gives no rows; other columns are
-    ignored.
+    ``://``, has an empty host and path and is judged by the model; URLs are
+    read whole, however long; of rules of one length that fit, a blocking one
+    decides, then the later by code point; repeated rows are judged alike; an
+    empty table gives no rows; other columns are ignored.
     """
     weights, intercept = fit(labelled)
     table = F.from_json(F.lit("[" + ",".join(map(repr, weights)) + "]"), "array<double>")
