@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.tables import stash
+from quillrank.llm.tables import discard, stash
 
 
 def _print_of(edges: DataFrame) -> tuple:
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
-        edges = stash(small, "links")
+        older, edges = edges, stash(small, "links")
+        discard(older)
         now = _print_of(edges)
         if now == seen:
             break

@@ -29,13 +29,15 @@ from quillrank.llm import kernels as K
 from quillrank.llm.components import components
 from quillrank.llm.sketches import SCHEMA as SKETCH
 from quillrank.llm.sketches import merged, pieces
-from quillrank.llm.tables import stash
+from quillrank.llm.tables import free_name, quoted, stash
 
 #: Counters of the sketch that gives the global order.
 ORDER_WIDTH = 1 << 20
 #: Bits of the filter of classes that have candidates.
 FILTER_BITS = 1 << 23
 FRAGMENTS = 4
+#: A class with more partners than this is dealt over so many cells for each fragment.
+PARTNERS, SALTS = 64, 16
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[K.Block, np.ndarray, np.ndarray]]:
@@ -172,11 +174,18 @@ def _segments(docs: DataFrame, order, pivots: np.ndarray, bits, n: int) -> DataF
 def _verified(pairs: DataFrame, docs: DataFrame, kinds: DataFrame, order, pivots: np.ndarray, n: int, percent: int) -> DataFrame:
     """The pairs (l, r, l_size, r_size) that are similar enough, by partial overlaps summed over the fragments."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter_of(pairs, kinds))
-    segments = _segments(docs, order, pivots, bits, n)
-    left = segments.select(F.col("a").alias("l"), "fragment", F.col("segment").alias("l_segment"))
-    right = segments.select(F.col("a").alias("r"), "fragment", F.col("segment").alias("r_segment"))
-    cells = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
-    partial = cells.join(left, ["l", "fragment"]).join(right, ["r", "fragment"]).select("l", "r", "l_size", "r_size", F.size(F.array_intersect("l_segment", "r_segment")).alias("shared"))
+    # Classes with very many partners stand in so many cells, and their partners are dealt over these.
+    ends = pairs.select(F.col("l").alias("a")).union(pairs.select("r"))
+    hot = stash(ends.groupBy("a").agg(F.count("*").alias("partners")).where(F.col("partners") > PARTNERS).select("a", F.lit(SALTS).alias("salts")), "join-hot")
+    salts = F.coalesce("salts", F.lit(1))
+    segments = _segments(docs, order, pivots, bits, n).join(hot, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    left = segments.select(F.col("a").alias("l"), "fragment", F.col("salt").alias("l_salt"), F.col("segment").alias("l_segment"))
+    right = segments.select(F.col("a").alias("r"), "fragment", F.col("salt").alias("r_salt"), F.col("segment").alias("r_segment"))
+    cells = pairs
+    for end, other in (("l", "r"), ("r", "l")):
+        cells = cells.join(hot.withColumnRenamed("a", end), end, "left").withColumn(f"{end}_salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("salts")
+    cells = cells.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    partial = cells.join(left, ["l", "fragment", "l_salt"]).join(right, ["r", "fragment", "r_salt"]).select("l", "r", "l_size", "r_size", F.size(F.array_intersect("l_segment", "r_segment")).alias("shared"))
     shared = partial.groupBy("l", "r", "l_size", "r_size").agg(F.sum("shared").alias("shared"))
     return shared.where(F.col("shared") * 100 >= (F.col("l_size") + F.col("r_size") - F.col("shared")) * percent).select("l", "r")
 
@@ -200,8 +209,10 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Join ``docs`` (doc_id, text) with itself where the Jaccard similarity of their n-word shingle sets is ``percent`` % or more.
 
     Returns doc_id, n_shingles and component_id, the smallest doc_id that links
-    lead to. Words are runs without ASCII white space, A-Z lower-cased; a
-    shorter text is one shingle. Null and empty texts have no shingles and are
+    lead to. Texts are read whole, however long. Words are runs without ASCII
+    white space, A-Z lower-cased; a shorter text is one shingle. Pairs at
+    exactly ``percent`` % link, and which of tied classes is a hub doesn't
+    change the result. Null and empty texts have no shingles and are
     components of their own; equal sets always share one. A row with a null
     doc_id joins its component but never names it. Repeated rows are kept; an
     empty table gives no rows; other columns are ignored.
@@ -244,18 +255,22 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the one of the smallest doc_id, with all their columns.
 
     Rows that share a doc_id are one document: the one whose text comes first
-    stays. Rows with a null doc_id, which have no name to be kept by, stay.
+    stays, of repeated rows one. Rows with a null doc_id, which have no name to
+    be kept by, stay; so do null and empty texts. Texts are compared whole,
+    however long. An empty table gives no rows; other columns, whatever their
+    names, go along.
     """
-    key = F.col("doc_id").cast("long")
+    key, mark, rank = F.col("doc_id").cast("long"), free_name("kept_id", docs), free_name("place", docs)
     firsts = stash(ngram_join(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct(), "join-firsts")
     # Ids are a small part of the rows; hashed on, texts are shuffled once and not sorted.
-    kept = docs.withColumn("_first", key).join(firsts.withColumnRenamed("doc_id", "_first").hint("shuffle_hash"), "_first", "left_semi")
-    repeated = stash(docs.groupBy(key.alias("_first")).agg(F.count("*").alias("n")).where("n > 1 and _first is not null").select("_first"), "join-repeated")
+    kept = docs.withColumn(mark, key).join(firsts.withColumnRenamed("doc_id", mark).hint("shuffle_hash"), mark, "left_semi")
+    repeated = stash(docs.groupBy(key.alias(mark)).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > 1).where(F.col(mark).isNotNull()).select(mark), "join-repeated")
     if not repeated.isEmpty():
-        again = Window.partitionBy("_first").orderBy("text")
-        one = kept.join(repeated, "_first", "left_semi").withColumn("_rank", F.row_number().over(again)).where("_rank = 1").drop("_rank")
-        kept = kept.join(repeated, "_first", "left_anti").unionByName(one)
-    return kept.select(*docs.columns).union(docs.where(key.isNull()))
+        again = Window.partitionBy(mark).orderBy("text")
+        one = kept.join(repeated, mark, "left_semi").withColumn(rank, F.row_number().over(again)).where(F.col(rank) == 1).drop(rank)
+        kept = kept.join(repeated, mark, "left_anti").unionByName(one)
+    columns = quoted(*docs.columns)
+    return kept.select(*columns).union(docs.where(key.isNull()).select(*columns))
 
 
 ORACLE_JOIN = """
