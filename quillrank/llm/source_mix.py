@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.llm.tables import stash
+from quillrank.llm.tables import free_name, quoted, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -94,9 +94,11 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     """How many words of each row of ``docs`` (doc_id, text, source) the mix takes.
 
     Returns doc_id, size, source_size, target and taken (long; whole epochs
-    counted). A source without words takes none; a null source is a source of
-    its own, last in order; null text has size 0; rows alike in doc_id and size
-    share a cut evenly; an empty table gives no rows; other columns are ignored.
+    counted). Texts are counted whole, however long. A source without words
+    takes none; a null source is a source of its own, last in order; null text
+    has size 0; rows alike in doc_id and size, a tie in the order of keys, share
+    a cut evenly. Sources are few: their totals, a row each, are ranked in one
+    task. An empty table gives no rows; other columns are ignored.
     """
     sized, where = plan_mix(docs, weights, share, most)
     s, c = sized.alias("s"), where.alias("c")
@@ -110,17 +112,23 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     """The mix itself, with the columns of ``docs``: a row for each epoch of a document.
 
     The document at a source's cut gives its first words, joined by spaces.
+    Texts are read whole, however long. Null, empty and wordless texts have
+    nothing to take and no row; a null source is a source of its own; rows
+    alike in doc_id and size share a cut evenly, so ties and repeated rows need
+    no order; an empty table gives no rows; other columns, whatever their
+    names, go along.
     """
     _, where = plan_mix(docs, weights, share, most)
+    mix, epoch = free_name("mix", docs), free_name("epoch", docs)
     d, c = docs.alias("d"), where.alias("c")
-    size, words = F.col("_mix.size"), F.col("_mix.taken")
+    size, words = F.col(f"{mix}.size"), F.col(f"{mix}.taken")
     key = F.md5(F.coalesce(F.col("d.doc_id").cast("string"), F.lit("")).cast("binary"))
     n = word_count(F.col("d.text"))
-    joined = d.join(c, F.col("d.source").cast("string").eqNullSafe(F.col("c.source"))).select("d.*", F.struct(n.alias("size"), taken_words(n, key, F.col("d.doc_id").cast("long")).alias("taken")).alias("_mix"))
-    copies = F.sequence(F.lit(1).cast("long"), F.expr("(_mix.taken + _mix.size - 1) div _mix.size"))
-    rows = joined.where(words > 0).withColumn("_epoch", F.explode(copies))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), (words - (F.col("_epoch") - 1) * size).cast("int")), " ")
-    return rows.withColumn("text", F.when(F.col("_epoch") * size <= words, F.col("text")).otherwise(part)).select(*docs.columns)
+    joined = d.join(c, F.col("d.source").cast("string").eqNullSafe(F.col("c.source"))).select("d.*", F.struct(n.alias("size"), taken_words(n, key, F.col("d.doc_id").cast("long")).alias("taken")).alias(mix))
+    copies = F.sequence(F.lit(1).cast("long"), F.expr(f"({mix}.taken + {mix}.size - 1) div {mix}.size"))
+    rows = joined.where(words > 0).withColumn(epoch, F.explode(copies))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), (words - (F.col(epoch) - 1) * size).cast("int")), " ")
+    return rows.withColumn("text", F.when(F.col(epoch) * size <= words, F.col("text")).otherwise(part)).select(*quoted(*docs.columns))
 
 
 ORACLE_MIX = """

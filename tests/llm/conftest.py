@@ -6,7 +6,7 @@ import pytest
 
 TABLE = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside, or return, as columns of the input.
-CLASHING = ("score", "size", "kept", "part", "shard", "slot", "run", "label", "component_id", "n_sentences", "_repeats_", "rank", "taken", "host")
+CLASHING = ("score", "size", "kept", "part", "shard", "slot", "run", "label", "component_id", "n_sentences", "n_removed", "rank", "taken", "host", "place", "repeats", "kept_id", "mix", "epoch", "mix_key", "n_rows", "first_id", "c", "d", "a", "node", "class_id", "held_out", "first", "_first", "_order", "_repeats", "_mix", "_epoch")
 
 
 @pytest.fixture(scope="session")
