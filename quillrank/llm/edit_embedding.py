@@ -13,6 +13,7 @@ is full all the same, it is split on further samples.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillrank.llm import kernels as K
 from quillrank.llm.components import components
-from quillrank.llm.tables import stash
+from quillrank.llm.tables import discard, stash
 
 #: Kinds of characters the walk tells apart, steps after which it repeats, and its longest stay at a character.
 KINDS, PERIOD, LONGEST = 64, 1 << 16, 255
@@ -37,10 +38,12 @@ STEPS = 1024
 BLOCK_BYTES = 1 << 23
 PARTS_PER_PARTITION = 4
 #: Documents are near from this likeness on; of pairs that are just so near, banding may miss this share.
-LIKENESS, MISSED = 0.8, 0.005
+LIKENESS, MISSED = 0.8, 0.01
 #: Samples of a band beyond those at which one stranger shares it.
-SPARE_SAMPLES = 2
-#: Members of a bucket of which all pairs are compared; a fuller one is split so many ways on so many further samples, at most so often.
+SPARE_SAMPLES = 3
+#: Times that nodes are compared with one more hub each before components are compared.
+ROUNDS = 3
+#: Components in a bucket of which all pairs are compared; a fuller one is split so many ways on so many further samples, at most so often.
 FULL, SPLITS, SPLIT_SAMPLES, DEPTH = 64, 6, 4, 6
 
 
@@ -253,15 +256,19 @@ def _overlapping(texts: pa.ChunkedArray, limit: int) -> Iterator[K.Block]:
         first = last
 
 
+def _constant(values: list, kind: str) -> Column:
+    """One literal, however many values it has."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def _place_among(order: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds are at most ``order``; looked up in two levels."""
     if not bounds:
         return F.lit(0)
     step = max(1, math.isqrt(len(bounds)))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    group = F.size(F.filter(longs([g[0] for g in groups]), lambda b: b <= order))
-    inside = F.size(F.filter(F.get(F.array(*map(longs, groups)), group - 1), lambda b: b <= order))
+    group = F.size(F.filter(_constant([g[0] for g in groups], "array<bigint>"), lambda b: b <= order))
+    inside = F.size(F.filter(F.get(_constant(groups, "array<array<bigint>>"), group - 1), lambda b: b <= order))
     return F.when(group == 0, F.lit(0)).otherwise((group - 1) * step + inside)
 
 
@@ -273,7 +280,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     many (or all) first ones of the next document in order of doc_id; after the
     last comes the first. Null ids come before all others; rows with one doc_id
     are in order of their texts. Null text is empty; two empty texts are alike
-    (1.0). An empty table gives no rows; other columns are ignored.
+    (1.0). Texts are read whole, however long, and equal texts have equal
+    fingerprints. An empty table gives no rows; other columns are ignored. Rows
+    of one doc_id are one task's.
 
     Rows are dealt by ranges of doc_id and the first row of each range is also
     sent to the range before it, so texts are shuffled once; classes other than
@@ -283,6 +292,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     prints = stash(docs.mapInArrow(_own_prints, PRINTS), "edit-prints")
     named = prints.select("doc_id", "node").join(_class_names(prints, LIKENESS), "node").where("class_id is not null and not doc_id <=> class_id").distinct()
+    named = stash(named, "edit-classes")
+    discard(prints)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     parts = PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     quantiles = F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts)
@@ -291,19 +302,20 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     heads = {r.part: r.id for r in docs.select(part.alias("part"), order.alias("id")).groupBy("part").agg(F.min("id").alias("id")).collect()}
     filled = sorted(heads)
     before = {p: filled[k - 1] for k, p in enumerate(filled)}
-    head_of = F.array(*[F.lit(heads.get(p)).cast("long") for p in range(len(bounds) + 1)])
-    part_before = F.array(*[F.lit(before.get(p, 0)) for p in range(len(bounds) + 1)])
+    parts_range = range(len(bounds) + 1)
+    is_head = F.col("id") == F.get(_constant([heads.get(p) for p in parts_range], "array<bigint>"), F.col("part"))
+    part_before = F.get(_constant([before.get(p, 0) for p in parts_range], "array<int>"), F.col("part"))
     here = F.struct(F.col("part"), F.lit(0).alias("sentinel"))
-    there = F.struct(F.get(part_before, F.col("part")).alias("part"), F.lit(1).alias("sentinel"))
+    there = F.struct(part_before.alias("part"), F.lit(1).alias("sentinel"))
     rows = docs.select("doc_id", "text", order.alias("id"), part.alias("part"))
-    dealt = rows.select("doc_id", "text", "id", F.explode(F.when(F.col("id") == F.get(head_of, F.col("part")), F.array(here, there)).otherwise(F.array(here))).alias("to"))
+    dealt = rows.select("doc_id", "text", "id", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here))).alias("to"))
     dealt = dealt.select("doc_id", "text", "id", "to.part", "to.sentinel", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("class_id"))
     classes = named.select("doc_id", F.lit(None).cast("string").alias("text"), order.alias("id"), part.alias("part"), F.lit(-1).alias("sentinel"), "node", "class_id")
     dealt = dealt.unionByName(classes).repartition("part").sortWithinPartitions("part", "sentinel", "id", "text")
     return dealt.select("doc_id", "text", "part", "sentinel", "node", "class_id").mapInArrow(_neighbours, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long")
 
 
-PRINTS = "doc_id long, node long, print binary"
+PRINTS = "doc_id long, node long, weight double, print binary"
 
 
 def node_of(fingerprint: str) -> int:
@@ -329,7 +341,9 @@ def _unpacked(prints: list[bytes]) -> np.ndarray:
 
 
 def _prints(doc_id: pa.Array, fingerprints: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([doc_id, pa.array(map(node_of, fingerprints), pa.int64()), pa.array(map(_packed, fingerprints), pa.binary())], names=["doc_id", "node", "print"])
+    packed = list(map(_packed, fingerprints))
+    weight = [float(weights(2 * (len(p) - 1) - p[0]).sum()) for p in packed]
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(map(node_of, fingerprints), pa.int64()), pa.array(weight), pa.array(packed, pa.binary())], names=["doc_id", "node", "weight", "print"])
 
 
 def _own_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,75 +395,116 @@ def band_shape(n: int, least: float) -> tuple[int, int]:
     return samples, max(16, math.ceil(math.log(MISSED) / math.log(1 - agree))) if agree < 1 else 16
 
 
-def _shared(bands: DataFrame) -> DataFrame:
-    """The distinct rows (band, node) of bands that several nodes have."""
-    own = Window.partitionBy("band")
-    wide = bands.withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own))
-    return wide.where("low < high").select("band", "node").distinct()
+def _banded(rows: DataFrame, first: int, bands: int, samples: int, within: bool = False) -> DataFrame:
+    """The rows (node, print and others) once for each of their bands, with band in place of print; ``within``: a bucket of a band that the row has already."""
+    others = [f for f in rows.schema if f.name not in ("print", "band")]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _bands(first, bands, samples)
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEPS):
+                batch = whole.slice(at, STEPS)
+                keys = of(batch.column("print").to_pylist())
+                if within:
+                    keys = K.mix(keys ^ batch.column("band").to_numpy().view(K.U)[:, None])
+                again = pa.array(np.repeat(np.arange(batch.num_rows), bands))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *[batch.column(f.name).take(again) for f in others]], names=["band", *[f.name for f in others]])
+
+    return rows.mapInArrow(spread, ", ".join(["band long", *[f"{f.name} {f.dataType.simpleString()}" for f in others]]))
+
+
+def _distinct_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of a task once."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = [i for i, x in enumerate(batch.column("node").to_pylist()) if not (x in seen or seen.add(x))]
+        yield batch.take(pa.array(new, pa.int64()))
 
 
-def _near(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
-    """The pairs (l, r) whose likeness is ``least`` or more."""
+def _measured(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """The distinct pairs (l, r) with near, whether their likeness is ``least`` or more, and apart, the weight of the samples in which they differ."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, STEPS):
                 batch = whole.slice(at, STEPS)
                 both = _unpacked(batch.column("a").to_pylist() + batch.column("b").to_pylist())
-                yield batch.select(["l", "r"]).filter(pa.array(likeness(both[: batch.num_rows], both[batch.num_rows :]) >= least))
+                a, b = both[: batch.num_rows], both[batch.num_rows :]
+                yield pa.RecordBatch.from_arrays([batch.column("l"), batch.column("r"), pa.array(likeness(a, b) >= least), pa.array((a != b) @ weights(a.shape[1]))], names=["l", "r", "near", "apart"])
 
     left, right = (prints.select(F.col("node").alias(end), F.col("print").alias(name)) for end, name in (("l", "a"), ("r", "b")))
-    return pairs.select("l", "r").distinct().join(left, "l").join(right, "r").select("l", "r", "a", "b").mapInArrow(verify, "l long, r long")
+    return pairs.select("l", "r").distinct().join(left, "l").join(right, "r").select("l", "r", "a", "b").mapInArrow(compare, "l long, r long, near boolean, apart double")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows (band, label, ...) of bands in which several labels meet."""
+    own = Window.partitionBy("band")
+    return rows.withColumn("low", F.min("label").over(own)).withColumn("high", F.max("label").over(own)).where("low < high").drop("low", "high")
+
+
+def _hooked(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` (node, label) with labels taken over by the smallest one that links (l, r) join them to, two steps far. Labels may stay apart that belong together, never the other way round."""
+    ends = links.join(parts.select(F.col("node").alias("l"), F.col("label").alias("a")), "l").join(parts.select(F.col("node").alias("r"), F.col("label").alias("b")), "r")
+    hooks = stash(ends.where("a <> b").groupBy(F.greatest("a", "b").alias("label")).agg(F.min(F.least("a", "b")).alias("to")), "edit-hooks")
+    further = hooks.join(hooks.select(F.col("label").alias("to"), F.col("to").alias("last")), "to", "left").select("label", F.coalesce("last", "to").alias("to"))
+    return stash(parts.join(further, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "edit-parts")
 
 
 def _class_names(prints: DataFrame, least: float) -> DataFrame:
-    """node and class_id, the smallest doc_id of what verified links lead to, for stashed rows (doc_id, node, print)."""
+    """node and class_id, the smallest doc_id of what verified links lead to, for stashed rows (PRINTS)."""
     samples, bands = band_shape(prints.count(), least)
-
-    def first_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, seen = _bands(0, bands, samples), set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, STEPS):
-                batch = whole.slice(at, STEPS)
-                nodes = batch.column("node").to_pylist()
-                new = [i for i, x in enumerate(nodes) if not (x in seen or seen.add(x))]
-                batch = batch.take(pa.array(new, pa.int64()))
-                keys = of(batch.column("print").to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), bands))], names=["band", "node"])
-
-    def split(depth: int):
-        def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of = _bands(1_000_000 * depth, SPLITS, SPLIT_SAMPLES)
-            for whole in batches:
-                for at in range(0, whole.num_rows, STEPS):
-                    batch = whole.slice(at, STEPS)
-                    keys = K.mix(of(batch.column("print").to_pylist()) ^ batch.column("band").to_numpy().view(K.U)[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), SPLITS))], names=["band", "node"])
-
-        return further
-
-    met = stash(_shared(prints.select("node", "print").mapInArrow(first_bands, "band long, node long")), "edit-bands")
-    wanted = met.select("node").distinct()
-    firsts = stash(prints.select("node", "print").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("print").alias("print")), "edit-firsts")
-    links, parts = None, None
+    share = 1 - (CHANCE + (1 - CHANCE) * least)
+    # Every node against the hub that it meets in most bands; the hub of a bucket is its smallest node.
+    once = prints.select("node", "print").mapInArrow(_distinct_prints, "node long, print binary")
+    met = _banded(once, 0, bands, samples).withColumn("hub", F.min("node").over(Window.partitionBy("band"))).where("node <> hub")
+    oftenest = met.groupBy("node", "hub").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "hub")).alias("top"))
+    anchors = stash(oftenest.select(F.col("top.hub").alias("l"), F.col("node").alias("r")), "edit-anchors")
+    wanted = anchors.select(F.col("l").alias("node")).union(anchors.select("r")).distinct()
+    firsts = stash(prints.select("node", "weight", "print").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("weight").alias("weight"), F.first("print").alias("print")), "edit-firsts")
+    links = stash(_measured(anchors, firsts, least).where("near").select("l", "r"), "edit-links")
+    parts = _hooked(firsts.select("node", F.col("node").alias("label")), links)
+
+    # What still meets across components, and again each node against the hub of another component that it meets most often.
+    rows = stash(_mixed(_banded(firsts.join(parts, "node").select("node", "label", "print"), 0, bands, samples)), "edit-open")
+    for turn in range(1, ROUNDS + 1):
+        by_hash = F.struct(F.xxhash64(F.lit(turn), "node"), "node", "label")
+        led = rows.withColumn("hub", F.min(by_hash).over(Window.partitionBy("band"))).where("label <> hub.label")
+        oftenest = led.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "hub")).alias("top"))
+        tried = oftenest.select(F.least("top.hub", "node").alias("l"), F.greatest("top.hub", "node").alias("r"))
+        found = stash(_measured(tried, firsts, least).where("near").select("l", "r"), "edit-links")
+        links = links.union(found)
+        parts = _hooked(parts, found)
+        rows = stash(_mixed(rows.select("band", "node").join(parts, "node")), "edit-open")
+
+    # Of a component that is still open: how far its members are from the node that names it.
+    open_parts = parts.join(rows.select("label").distinct(), "label", "left_semi").where("node <> label")
+    reach = _measured(open_parts.select(F.col("label").alias("l"), F.col("node").alias("r")), firsts, least).select(F.col("r").alias("node"), "apart")
+    placed = stash(firsts.join(parts, "node").join(reach, "node", "left").select("node", "label", F.coalesce("apart", F.lit(0.0)).alias("apart"), "weight"), "edit-placed")
+    around = placed.groupBy("label").agg(F.max("apart").alias("radius"), F.max("weight").alias("heaviest"), F.count("*").alias("members"))
+    rows = stash(rows.drop("label").join(placed, "node"), "edit-open")
     for depth in range(1, DEPTH + 1):
-        # Each bucket against its hub.
-        hubs = met.groupBy("band").agg(F.min("node").alias("l"))
-        stars = stash(_near(met.join(hubs, "band").where("node <> l").select("l", F.col("node").alias("r")), firsts, least), "edit-links")
-        links = stars if links is None else links.union(stars)
-        parts = stash(components(links), "edit-parts")
-        # Members of different components that are still together.
-        marked = met.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n")
-        left = stash(marked.join(mixed, "band").select("band", "node", "label", "n"), "edit-open")
-        few = left if depth == DEPTH else left.where(F.col("n") <= FULL)
+        groups = rows.groupBy("band", "label").agg(F.count("*").alias("members")).withColumn("n", F.count("*").over(Window.partitionBy("band")))
+        few = groups if depth == DEPTH else groups.where(F.col("n") <= FULL)
         x, y = few.alias("x"), few.alias("y")
-        cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
-        links = links.union(stash(_near(cross.select(F.col("x.node").alias("l"), F.col("y.node").alias("r")), firsts, least), "edit-links"))
-        full = left.where(F.col("n") > FULL)
+        pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.label").alias("l"), F.col("y.label").alias("r"))
+        judged = _measured(pairs, firsts, least)
+        for end in ("l", "r"):
+            judged = judged.join(around.select(F.col("label").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("radius", "heaviest", "members")]), end)
+        judged = stash(judged, "edit-judged")
+        links = links.union(judged.where("near").select("l", "r"))
+        # Distances obey the triangle inequality: two components can only be near in members that are nearer to each other than their names.
+        could = judged.where(~F.col("near") & (F.col("l_radius") + F.col("r_radius") > 0) & (F.col("apart") - F.col("l_radius") - F.col("r_radius") <= share * F.greatest("l_heaviest", "r_heaviest")))
+        fewer = F.col("l_members") <= F.col("r_members")
+        p = could.select(F.when(fewer, F.col("l")).otherwise(F.col("r")).alias("small"), F.when(fewer, F.col("r")).otherwise(F.col("l")).alias("large"), F.col("apart").alias("between")).alias("p")
+        u, v = rows.alias("u"), rows.alias("v")
+        close = p.join(u, F.col("p.small") == F.col("u.label")).join(v, (F.col("u.band") == F.col("v.band")) & (F.col("p.large") == F.col("v.label")) & (F.col("between") - F.col("u.apart") - F.col("v.apart") <= share * F.greatest("u.weight", "v.weight")))
+        members = _measured(close.select(F.least("u.node", "v.node").alias("l"), F.greatest("u.node", "v.node").alias("r")), firsts, least)
+        links = links.union(stash(members.where("near").select("l", "r"), "edit-links"))
+        full = groups.where(F.col("n") > FULL).select("band").distinct()
         if depth == DEPTH or full.isEmpty():
             break
-        met = stash(_shared(full.join(firsts, "node").select("node", "print", "band").mapInArrow(split(depth), "band long, node long")), "edit-bands")
+        again = rows.join(full, "band", "left_semi").join(firsts.select("node", "print"), "node")
+        rows = stash(_mixed(_banded(again, 1_000_000 * depth, SPLITS, SPLIT_SAMPLES, within=True)), "edit-open")
     parts = stash(components(links), "edit-parts")
     smallest = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     named = smallest.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -461,10 +516,11 @@ def near_classes(fingerprints: DataFrame, least: float = LIKENESS) -> DataFrame:
     """doc_id and class_id, the smallest doc_id of the documents that verified links lead to, for rows (doc_id, fingerprint).
 
     Documents meet in a band when a few samples agree, more for more rows.
-    Each bucket is compared with one member, the hub, and then members of
-    different components with each other; a full bucket is split on further
-    samples first. Equal fingerprints are one class. A row with a null id joins
-    its class but never names it.
+    Each is compared with the hub it meets most often. Then components that
+    still share a bucket are compared: by their names, and by those members
+    that the triangle inequality doesn't rule out; a bucket of very many
+    components is split on further samples first. Equal fingerprints are one
+    class. A row with a null id joins its class but never names it.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
