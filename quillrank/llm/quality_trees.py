@@ -126,8 +126,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed (under 20 words, or over 30 % of the words in
     windows of 8 that recur), kept and score (the trees' probability of label
-    1). Null text counts as empty and fails; rows with a null doc_id are judged
-    too; repeated rows are judged alike; without labels of both kinds the fixed
+    1). Texts are read whole, however long. Null text counts as empty and
+    fails; rows with a null doc_id are judged too; repeated rows are judged
+    alike; between splits of equal gain the first statistic's is taken; a score
+    of exactly 0.5 is kept; without labels of both kinds the fixed
     rules decide alone and score is null; an empty table gives no rows; other
     columns are ignored.
     """

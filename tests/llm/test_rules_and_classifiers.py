@@ -6,10 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from small_data import DATA
 
 from quillrank.llm import queries as Q
-from quillrank.llm.quality_qda import FLOOR, TEMPERATURE, TO_DIAGONAL, TO_POOLED, score_quality
+from quillrank.llm.quality_qda import FLOOR, TEMPERATURE, TO_DIAGONAL, TO_POOLED, fold, score_quality
 from quillrank.llm.quality_trees import MONOTONE, grow, quality_rules
 from quillrank.llm.statistics import document_statistics
 from quillrank.llm.tables import read
@@ -70,6 +71,27 @@ def held_out_auc(spark, query, column: str) -> float:
     return float(np.mean([(a > b) + 0.5 * (a == b) for a in ones for b in zeros]))
 
 
+def test_trees_on_held_out_labels(spark):
+    """Labels of two folds out of three are learnt; and flat trees score as walks from their roots."""
+    docs, labels = read(spark, BIG, "documents"), read(spark, BIG, "labels").selectExpr("doc_id", "quality as label")
+    scored = quality_rules(docs, labels.where(fold(F.col("doc_id"), 3) != 1)).where(fold(F.col("doc_id"), 3) == 1).join(labels, "doc_id").collect()
+    ones, zeros = [r.score for r in scored if r.label == 1], [r.score for r in scored if r.label == 0]
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in ones for b in zeros]) > 0.9
+    rng = np.random.default_rng(6)
+    x = rng.random((300, len(MONOTONE)))
+    forest = grow(x, (x[:, 1] + x[:, 2] > 1).astype(float), trees=8)
+
+    def walked(row):
+        total = forest.base
+        for at in forest.roots.tolist():
+            for _ in range(forest.depth):
+                at = forest.left[at] if row[forest.feature[at]] <= forest.threshold[at] else forest.right[at]
+            total += forest.value[at]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(forest.score(x), [walked(row) for row in x])
+
+
 def test_quality_on_held_out_labels(spark):
     assert held_out_auc(spark, Q.op2_quality_classifier, "quality") > 0.9
 
