@@ -37,7 +37,7 @@ ORDER_WIDTH = 1 << 20
 FILTER_BITS = 1 << 23
 FRAGMENTS = 4
 #: A class with more partners than this is dealt over so many cells for each fragment.
-PARTNERS, SALTS = 64, 16
+PARTNERS, SALTS = 512, 8
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[K.Block, np.ndarray, np.ndarray]]:
