@@ -32,7 +32,7 @@ from quillrank.llm.sketches import merged, pieces
 from quillrank.llm.tables import stash
 
 #: Most labelled examples of each label, those of the lowest hashes of doc_id.
-MOST_TOXIC, MOST_CLEAN = 1000, 3000
+MOST_TOXIC, MOST_CLEAN = 1000, 2000
 #: Longer texts (in bytes) are no examples, and those of one label have so many terms at most; both bound the index.
 LONGEST_EXAMPLE, MOST_TERMS = 1 << 16, 2_000_000
 #: Bytes of the beginnings that count beside whole words.
@@ -46,7 +46,7 @@ SEPARATORS = np.ones(256, bool)
 SEPARATORS[65:91] = SEPARATORS[97:123] = SEPARATORS[128:] = False
 FILTER = 1 << 22
 #: Terms whose lists are rows.
-COMMON = 1024
+COMMON = 512
 #: Texts, and terms of texts, that are scored at once.
 TEXTS, PORTION = 256, 60_000
 #: Dimensions in which examples are compared to put alike ones into one block.
@@ -223,8 +223,8 @@ def build_index(doc: np.ndarray, term: np.ndarray, times: np.ndarray, doc_id: np
     doc, term, x = doc[~in_row], term[~in_row], x[~in_row]
     block = doc // BLOCK
     first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])][: len(term)])
-    index.of_entry = np.append(first, len(term))
-    index.of_term = np.searchsorted(term[first], np.arange(len(weight) + 1))
+    index.of_entry = np.append(first, len(term)).astype(np.int32)
+    index.of_term = np.searchsorted(term[first], np.arange(len(weight) + 1)).astype(np.int32)
     index.block = block[first].astype(np.int16)
     index.largest = np.maximum.reduceat(x, first) if len(first) else none
     index.place, index.share = (doc % BLOCK).astype(np.uint8), x
@@ -302,10 +302,13 @@ def fit_examples(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (MO
     label, doc_id = rows.column("label").to_numpy(), rows.column("doc_id").to_numpy()
     doc = np.repeat(np.arange(len(rows)), np.diff(rows.column("terms").combine_chunks().offsets.to_numpy()))
     names, term = np.unique(flat("terms").view(K.U), return_inverse=True)
+    times = flat("times").copy()
+    del rows, found
+    pa.default_memory_pool().release_unused()
     with_term = [np.bincount(term, label[doc] == k, len(names)) * stands[k] for k in (0, 1)]
     df, n_docs = document_frequencies(docs, names)
     weight = np.log(1 + n_docs / np.maximum(df, 1)) * np.log2(2 + with_term[1] / np.maximum(1, with_term[0]))
-    return names, build_index(doc, term, flat("times"), doc_id, label, weight, stands, names)
+    return names, build_index(doc, term, times, doc_id, label, weight, stands, names)
 
 
 def _judged(texts: pa.Array, vocabulary: Vocabulary, index: Index) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
