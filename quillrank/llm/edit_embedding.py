@@ -476,6 +476,10 @@ def _class_names(prints: DataFrame, least: float) -> DataFrame:
         parts = _hooked(parts, found)
         rows = stash(_mixed(rows.select("band", "node").join(parts, "node")), "edit-open")
 
+    whole = stash(components(links), "edit-parts")
+    parts = stash(firsts.select("node").join(whole, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "edit-parts")
+    rows = stash(_mixed(rows.select("band", "node").join(parts, "node")), "edit-open")
+
     # Of a component that is still open: how far its members are from the node that names it.
     open_parts = parts.join(rows.select("label").distinct(), "label", "left_semi").where("node <> label")
     reach = _measured(open_parts.select(F.col("label").alias("l"), F.col("node").alias("r")), firsts, least).select(F.col("r").alias("node"), "apart")
