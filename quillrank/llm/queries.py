@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.llm.edit_embedding import fingerprint_documents
+from quillrank.llm.importance import ORACLE_IMPORTANCE, importance_resample
 from quillrank.llm.ngram_join import ORACLE_JOIN, ngram_join
 from quillrank.llm.packing import pack_documents
 from quillrank.llm.quality_qda import fold, score_quality
@@ -67,10 +68,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_quality_classifier, op3_ngram_join, op4_mix_sources, op5_span_dedup, op6_packing, op7_url_filter, op8_ring_shards, op9_edit_fingerprints, op10_toxicity)
+    found = (op1_quality_rules, op2_quality_classifier, op3_ngram_join, op4_mix_sources, op5_span_dedup, op6_packing, op7_url_filter, op8_ring_shards, op9_edit_fingerprints, op10_toxicity, op11_importance_resampling)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": ORACLE_JOIN.format(docs="documents", n=4, percent=85), "op4_mix_sources": ORACLE_MIX.format(docs="documents")}
+    return {"op3_ngram_join": ORACLE_JOIN.format(docs="documents", n=4, percent=85), "op4_mix_sources": ORACLE_MIX.format(docs="documents"), "op11_importance_resampling": ORACLE_IMPORTANCE.format(docs="documents", target="benchmark")}
