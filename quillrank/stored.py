@@ -52,3 +52,16 @@ def discard(*tables: DataFrame) -> None:
         if path:
             files, place = _file_system(table.sparkSession, path)
             files.delete(place, True)
+
+
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A name in the shared folder for files that tasks write themselves; they go when the session's JVM ends, or with ``remove``."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
