@@ -19,6 +19,8 @@ from quillrank.llm.span_dedup import dedup_spans
 from quillrank.llm.tables import read
 from quillrank.llm.toxicity_knn import score_toxicity
 from quillrank.llm.url_filter import filter_urls, labelled_urls
+from quillrank.llm.warc import ORACLE_WARC, archive_pages
+from quillrank.stored import fresh_folder
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +74,15 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = archive_pages(read(spark, sf_dir, "pages"), fresh_folder(spark, "warc"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_quality_classifier, op3_ngram_join, op4_mix_sources, op5_span_dedup, op6_packing, op7_url_filter, op8_ring_shards, op9_edit_fingerprints, op10_toxicity, op11_importance_resampling)
+    found = (op1_quality_rules, op2_quality_classifier, op3_ngram_join, op4_mix_sources, op5_span_dedup, op6_packing, op7_url_filter, op8_ring_shards, op9_edit_fingerprints, op10_toxicity, op11_importance_resampling, op12_warc)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": ORACLE_JOIN.format(docs="documents", n=4, percent=85), "op4_mix_sources": ORACLE_MIX.format(docs="documents"), "op11_importance_resampling": ORACLE_IMPORTANCE.format(docs="documents", target="benchmark")}
+    return {"op3_ngram_join": ORACLE_JOIN.format(docs="documents", n=4, percent=85), "op4_mix_sources": ORACLE_MIX.format(docs="documents"), "op11_importance_resampling": ORACLE_IMPORTANCE.format(docs="documents", target="benchmark"), "op12_warc": ORACLE_WARC.format(pages="pages")}
