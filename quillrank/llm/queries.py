@@ -11,6 +11,7 @@ from quillrank.llm.edit_embedding import fingerprint_documents
 from quillrank.llm.importance import ORACLE_IMPORTANCE, importance_resample
 from quillrank.llm.ngram_join import ORACLE_JOIN, ngram_join
 from quillrank.llm.packing import pack_documents
+from quillrank.llm.prefix_trie import ORACLE_TRIE, prefix_trie
 from quillrank.llm.quality_qda import fold, score_quality
 from quillrank.llm.quality_trees import quality_rules
 from quillrank.llm.ring_sharding import shard_documents
@@ -79,10 +80,14 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_quality_classifier, op3_ngram_join, op4_mix_sources, op5_span_dedup, op6_packing, op7_url_filter, op8_ring_shards, op9_edit_fingerprints, op10_toxicity, op11_importance_resampling, op12_warc)
+    found = (op1_quality_rules, op2_quality_classifier, op3_ngram_join, op4_mix_sources, op5_span_dedup, op6_packing, op7_url_filter, op8_ring_shards, op9_edit_fingerprints, op10_toxicity, op11_importance_resampling, op12_warc, op13_conversation_trie)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": ORACLE_JOIN.format(docs="documents", n=4, percent=85), "op4_mix_sources": ORACLE_MIX.format(docs="documents"), "op11_importance_resampling": ORACLE_IMPORTANCE.format(docs="documents", target="benchmark"), "op12_warc": ORACLE_WARC.format(pages="pages")}
+    return {"op3_ngram_join": ORACLE_JOIN.format(docs="documents", n=4, percent=85), "op4_mix_sources": ORACLE_MIX.format(docs="documents"), "op11_importance_resampling": ORACLE_IMPORTANCE.format(docs="documents", target="benchmark"), "op12_warc": ORACLE_WARC.format(pages="pages"), "op13_conversation_trie": ORACLE_TRIE.format(conversations="conversations")}
