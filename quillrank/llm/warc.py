@@ -329,7 +329,7 @@ def _ranges(runs: DataFrame, n: int) -> DataFrame:
     known = F.from_json(F.lit(json.dumps([dict(zip(names, e, strict=True)) for e in ends])), f"array<{KEY}>")
     below = lambda c: F.size(F.filter("ends", lambda e: e <= F.col(c)))
     spread = runs.withColumn("ends", known).withColumn("range", F.explode(F.sequence(below("low"), below("high"))))
-    return spread.select("run", "path", "block", "range", F.get("ends", F.col("range") - 1).alias("low_end"), F.get("ends", F.col("range")).alias("high_end"))
+    return spread.select("run", "path", "block", "low", "range", F.get("ends", F.col("range") - 1).alias("low_end"), F.get("ends", F.col("range")).alias("high_end"))
 
 
 def merge_runs(runs: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFrame:
@@ -382,7 +382,7 @@ def merge_runs(runs: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFrame:
                 yield numbered(waiting)
 
     def dealt(part: Column) -> DataFrame:
-        return _ranges(runs, n_tasks).withColumn("part", part).repartition(n_tasks, "part", "range").sortWithinPartitions("part", "range", "run", "low_end", "path", "block")
+        return _ranges(runs, n_tasks).withColumn("part", part).repartition(n_tasks, "part", "range").sortWithinPartitions("part", "range", "run", "low")
 
     while (n := runs.select("run").distinct().count()) > fan_in:
         runs = stash(dealt(F.pmod(F.xxhash64("run"), F.lit(-(-2 * n // fan_in))).cast("int")).mapInArrow(lengthen, RUNS), "runs")

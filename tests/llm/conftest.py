@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pytest
 
+from llm_words import ODD
+
 TABLE = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside, or return, as columns of the input.
 CLASHING = ("score", "size", "kept", "part", "shard", "slot", "run", "label", "component_id", "n_sentences", "n_removed", "rank", "taken", "host", "place", "repeats", "kept_id", "mix", "epoch", "mix_key", "n_rows", "first_id", "c", "d", "a", "node", "class_id", "held_out", "first", "_first", "_order", "_repeats", "_mix", "_epoch")
@@ -22,11 +24,6 @@ def table(spark):
     return make
 
 
-LONG = " ".join(f"word{i % 977} and number {i}." for i in range(60_000))
-#: Nulls in every column, empty and very long texts, repeated rows and ids.
-ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one two"), (4, "one two"), (5, LONG), (6, LONG), (None, "no name here at all"), (None, None), (7, "Ünïcode — 日本語 текст 🎉 done."), (8, "one two", None)]
-
-
 @pytest.fixture(scope="session")
 def odd(table):
     return table(ODD, clashing=True)
