@@ -1,19 +1,26 @@
 """Ranks reviewers by a naive-Bayes model of who reviews which owner's changes to which files.
 
 Only observed cells are stored, with one default for each reviewer and feature
-for all others. Models for several cutoffs are fitted together: rows are
-counted once by the number of models that hold them and then spread.
+for all others. Models for several cutoffs are fitted together: a cell is one
+row, with its count in each model.
+
+Targets are ranked in blocks that follow each other in time. A block has its
+model's reviewers once, the observed cells of the values that its targets have,
+and who reviewed when; beliefs and places are arrays inside it, so no row is
+made for a target and a reviewer but those asked for.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.operators.borda import ranked, total
-from quillrank.operators.relational import newest_first, reviewed
+from quillrank.functions.times import months_ms
+from quillrank.operators.relational import newest_first, reviewed, sized
 from quillrank.schema import History
 from quillrank.stored import written
 
@@ -23,12 +30,18 @@ FOLDS = 10
 FEATURES = {"owner": "owner_id", "path": "location", "sub_project": "sub_project"}
 
 
+#: Targets of a block.
+BLOCK = 256
+BLOCKS = ["project", "fold", "part"]
+RANKING = "target_id long, reviewer_id long, score double, rank int"
+
+
 def fold_cutoffs(history: History) -> DataFrame:
     """project, fold, cutoff: models are fitted on what is strictly before the first pull request after the fold.
 
     A fold has an 11th of the project's pull requests; projects with fewer than 11 have none.
     """
-    placed = newest_first(history.pull_requests).withColumn("fold_size", F.expr("count(*) over (partition by project) div 11"))
+    placed = sized(newest_first(history.pull_requests)).withColumn("fold_size", F.expr("n div 11"))
     starts = placed.where("fold_size > 0 and rk > 0 and rk % fold_size = 0 and rk div fold_size <= 10")
     return starts.select("project", (F.expr("rk div fold_size") - 1).cast("int").alias("fold"), F.col("ts").alias("cutoff"))
 
@@ -40,42 +53,52 @@ def whole_history(history: History) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """prior (reviewer_id, n_reviews, p), universes (size of each feature's universe) and, by feature, cells (value, n, p) and defaults (total, n_values, p)."""
+    """prior (reviewer_id, n_reviews, p), universes (size of each feature's universe) and, by feature, counts (value and its number in each model), sums of them and defaults (total, n_values, p)."""
 
     prior: DataFrame
     universes: DataFrame
-    cells: dict[str, DataFrame]
+    counts: dict[str, DataFrame]
+    sums: dict[str, DataFrame]
     defaults: dict[str, DataFrame]
 
+    @property
+    def cells(self) -> dict[str, DataFrame]:
+        """project, fold, reviewer_id, value, n, p of every observed cell."""
+        return {f: _cells(self.counts[f].join(self.sums[f], ["project", "reviewer_id"]), F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).select("project", "fold", "reviewer_id", "value", "n", "p") for f in self.counts}
+
 
-def _in_models(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """``rows`` with n_models: they belong to folds 0 .. n_models - 1, for later folds end earlier."""
+def _cells(rows: DataFrame, fold) -> DataFrame:
+    """With n and p of the model ``fold``, where the value is observed there."""
+    found = rows.withColumn("fold", fold).withColumn("n", F.get("ns", F.col("fold"))).where("n > 0")
+    return found.withColumn("p", smoothed(F.col("n"), F.get("totals", F.col("fold")), F.get("n_values", F.col("fold"))))
+
+
+def _spread(history: History, cutoffs: DataFrame) -> History:
+    """The pull requests that any model holds, written once, and what hangs on them. They belong to folds 0 .. n_models - 1, for later folds end earlier."""
     ends = cutoffs.groupBy("project").agg(F.collect_list("cutoff").alias("ends"))  # at most FOLDS for each project
-    return rows.join(ends, "project").withColumn("n_models", F.size(F.filter("ends", lambda c: F.col("ts") < c))).where("n_models > 0").drop("ends")
+    inside = history.pull_requests.join(ends, "project").withColumn("n_models", F.size(F.filter("ends", lambda c: F.col("ts") < c))).where("n_models > 0").drop("ends")
+    return replace(history, pull_requests=written(inside, "modelled"))
 
 
-def _counted(rows: DataFrame, *keys: str) -> DataFrame:
-    """n for each project, fold and keys; rows are summed before they spread over the folds."""
-    once = rows.groupBy("project", "n_models", *keys).agg(F.count("*").alias("n"))
-    return once.withColumn("fold", F.explode(F.sequence(F.lit(0), F.col("n_models") - 1))).groupBy("project", "fold", *keys).agg(F.sum("n").alias("n"))
+def _in_models(count) -> list:
+    return F.array(*[count(k) for k in range(FOLDS)])
 
 
-def _spread(history: History, cutoffs: DataFrame) -> History:
-    """The pull requests that any model holds, with n_models, written once, and what hangs on them."""
-    return replace(history, pull_requests=written(_in_models(history.pull_requests, cutoffs), "modelled"))
+def _counted(rows: DataFrame, *keys: str) -> DataFrame:
+    """ns: for each project and keys, how many rows each model holds."""
+    return rows.groupBy("project", *keys).agg(_in_models(lambda k: F.count_if(F.col("n_models") > k)).alias("ns"))
 
 
 def _universes(inside: History) -> DataFrame:
     pulls, seen = inside.pull_requests, reviewed(inside)
     paths = pulls.join(inside.file_paths, F.col("id") == F.col("pr_id"))
-
-    def different(rows: DataFrame, key: str, name: str, more: int = 1) -> DataFrame:
-        return _counted(rows, key).groupBy("project", "fold").agg((F.count(key) + more).alias(name))
-
-    out = _counted(pulls).withColumnRenamed("n", "n_pull_requests").join(different(seen, "reviewer_id", "n_reviewers", 0), ["project", "fold"])
-    for rows, key, name in ((pulls, "owner_id", "owner_universe"), (paths, "location", "path_universe"), (pulls, "sub_project", "sub_project_universe")):
-        out = out.join(different(rows, key, name), ["project", "fold"], "left").withColumn(name, F.coalesce(name, F.lit(1).cast("long")))
-    return out
+    out = _counted(pulls).withColumnRenamed("ns", "n_pull_requests")
+    for rows, key, name in ((seen, "reviewer_id", "n_reviewers"), (pulls, "owner_id", "owner_universe"), (paths, "location", "path_universe"), (pulls, "sub_project", "sub_project_universe")):
+        most = rows.where(F.col(key).isNotNull()).groupBy("project", key).agg(F.max("n_models").alias("n_models"))
+        out = out.join(_counted(most).withColumnRenamed("ns", name), "project", "left")
+    unknown = lambda name: (F.coalesce(F.get(name, F.col("fold")), F.lit(0)) + 1).alias(name)
+    folds = out.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).where("n_reviewers[fold] > 0")
+    return folds.select("project", "fold", F.get("n_pull_requests", F.col("fold")).alias("n_pull_requests"), F.get("n_reviewers", F.col("fold")).alias("n_reviewers"), *[unknown(f"{f}_universe") for f in FEATURES])
 
 
 def universes(history: History, cutoffs: DataFrame) -> DataFrame:
@@ -93,28 +116,26 @@ def fit_nb(history: History, cutoffs: DataFrame, use_sub_project: bool = True) -
     sizes = written(_universes(inside), "universes")
     seen = written(reviewed(inside), "reviewed")
     keys = ["project", "fold", "reviewer_id"]
-    counts = _counted(seen, "reviewer_id").withColumnRenamed("n", "n_reviews")
-    prior = written(counts.join(sizes.select("project", "fold", "n_pull_requests"), ["project", "fold"]).select(*keys, "n_reviews", (F.col("n_reviews") / F.col("n_pull_requests")).alias("p")), "prior")
-    cells, defaults = {}, {}
+    each = _counted(seen, "reviewer_id").select("project", "reviewer_id", F.posexplode("ns").alias("fold", "n_reviews")).where("n_reviews > 0")
+    prior = written(each.join(sizes.select("project", "fold", "n_pull_requests"), ["project", "fold"]).select(*keys, "n_reviews", (F.col("n_reviews") / F.col("n_pull_requests")).alias("p")), "prior")
+    counts, sums, defaults = {}, {}, {}
     for feature, value in FEATURES.items():
         if feature == "sub_project" and not use_sub_project:
             continue
         rows = seen.join(inside.file_paths, F.col("id") == F.col("pr_id")) if feature == "path" else seen
-        counted = _counted(rows, "reviewer_id", value).withColumnRenamed(value, "value")
-        own = Window.partitionBy(*keys)
-        counted = counted.withColumn("total", F.sum("n").over(own)).withColumn("n_values", F.count("*").over(own))
-        cells[feature] = counted.select(*keys, "value", "n", smoothed(F.col("n"), F.col("total"), F.col("n_values")).alias("p"))
-        totals = counted.groupBy(*keys).agg(F.first("total").alias("total"), F.first("n_values").alias("n_values"))
+        counts[feature] = written(_counted(rows, "reviewer_id", value).withColumnRenamed(value, "value"), f"counts-{feature}")
+        n = lambda k: F.get("ns", F.lit(k))
+        sums[feature] = written(counts[feature].groupBy("project", "reviewer_id").agg(_in_models(lambda k: F.sum(n(k))).alias("totals"), _in_models(lambda k: F.count_if(n(k) > 0)).alias("n_values")), f"sums-{feature}")
         universe = sizes.select("project", "fold", F.col(f"{feature}_universe").alias("universe"))
-        row = prior.select(*keys).join(totals, keys, "left").join(universe, ["project", "fold"])
-        row = row.withColumn("total", F.coalesce("total", F.lit(0).cast("long"))).withColumn("n_values", F.coalesce("n_values", F.lit(0).cast("long")))
+        row = prior.select(*keys).join(sums[feature], ["project", "reviewer_id"], "left").join(universe, ["project", "fold"])
+        row = row.withColumns({c: F.coalesce(F.get(of, F.col("fold")), F.lit(0)) for c, of in (("total", "totals"), ("n_values", "n_values"))})
         defaults[feature] = row.select(*keys, "total", "n_values", (F.lit(EPSILON) / (F.col("universe") - F.col("n_values"))).alias("p"))
-    return Model(prior, sizes, cells, defaults)
+    return Model(prior, sizes, counts, sums, defaults)
 
 
 def fold_targets(history: History) -> DataFrame:
     """target_id, project, rk, fold: the pull requests that the models of the folds are tried on."""
-    placed = newest_first(history.pull_requests).withColumn("fold_size", F.expr("count(*) over (partition by project) div 11"))
+    placed = sized(newest_first(history.pull_requests)).withColumn("fold_size", F.expr("n div 11"))
     return placed.where(f"fold_size > 0 and rk < {FOLDS} * fold_size").select(F.col("id").alias("target_id"), "project", "rk", F.expr("rk div fold_size").cast("int").alias("fold"))
 
 
@@ -124,24 +145,150 @@ def beliefs(model: Model, targets: DataFrame, history: History) -> DataFrame:
     paths = history.file_paths.groupBy(F.col("pr_id").alias("target_id"), "location").agg(F.count("*").alias("n_copies"))
     out = targets.select("target_id", "project", "fold").join(pulls, "target_id").join(model.prior.select("project", "fold", "reviewer_id", F.col("p").alias("belief")), ["project", "fold"])
 
+    cells = model.cells
+
     def times(rows: DataFrame, feature: str) -> DataFrame:
         keys = ["project", "fold", "reviewer_id"]
-        cell = model.cells[feature].select(*keys, F.col("value").alias(FEATURES[feature]), F.col("p").alias("p_cell"))
+        cell = cells[feature].select(*keys, F.col("value").alias(FEATURES[feature]), F.col("p").alias("p_cell"))
         default = model.defaults[feature].select(*keys, F.col("p").alias("p_default"))
         met = rows.join(default, keys).join(cell, [*keys, FEATURES[feature]], "left")
         return met.withColumn("belief", F.col("belief") * F.coalesce("p_cell", "p_default")).drop("p_cell", "p_default")
 
     # What doesn't depend on the path is multiplied before a row is made for each path.
     out = times(out, "owner")
-    if "sub_project" in model.cells:
+    if "sub_project" in cells:
         out = times(out, "sub_project")
     return times(out.join(paths, "target_id"), "path").select("target_id", "location", "n_copies", "reviewer_id", "belief")
 
 
-def rank_nb(model: Model, targets: DataFrame, history: History) -> DataFrame:
-    """target_id, reviewer_id, score, rank: all reviewers of the model, by points R, R - 1, ... 1 for each path of a target, copies too. Targets without paths are not ranked."""
-    believed = beliefs(model, targets, history)
-    ballot = Window.partitionBy("target_id", "location")
-    place = F.row_number().over(ballot.orderBy(F.col("belief").desc(), F.col("reviewer_id")))
-    ballots = believed.withColumn("points", (F.count("*").over(ballot) - place + 1) * F.col("n_copies"))
-    return ranked(total(ballots))
+def _reviewers_of_blocks(model: Model, blocks: DataFrame, history: History, months: int | None) -> DataFrame:
+    """BLOCKS and reviewers: for each reviewer of the model, the prior, the defaults, when they last reviewed before the block and whether they did so just at its beginning."""
+    keys = ["project", "fold", "reviewer_id"]
+    base = model.prior.select(*keys, "p")
+    for feature in model.counts:
+        base = base.join(model.defaults[feature].select(*keys, F.col("p").alias(feature)), keys)
+    asked = blocks.select(*BLOCKS, "low").join(base, ["project", "fold"])
+    never = F.lit(None).cast("long")
+    if months is None:
+        asked = asked.withColumns({"last": never, "at_low": never})
+    else:
+        # Questions and reviews stand in one order of time for each reviewer of a project.
+        known = asked.columns
+        asked = asked.withColumn("done", never).withColumn("ts", F.col("low"))
+        done = reviewed(history).select("project", "reviewer_id", "ts").distinct().withColumn("done", F.col("ts"))
+        of_one = Window.partitionBy("project", "reviewer_id").orderBy("ts")
+        both = asked.unionByName(done, allowMissingColumns=True)
+        both = both.withColumns({"last": F.max("done").over(of_one.rangeBetween(Window.unboundedPreceding, -1)), "at_low": F.max("done").over(of_one.rangeBetween(0, 0))})
+        asked = both.where("part is not null").select(*known, "last", "at_low")
+    return asked.groupBy(*BLOCKS).agg(F.sort_array(F.collect_list(F.struct("reviewer_id", "p", *model.counts, "last", "at_low"))).alias("reviewers"))
+
+
+def _cells_of_blocks(model: Model, feature: str, targets: DataFrame) -> DataFrame:
+    """BLOCKS and the observed cells of the values that a block's targets have."""
+    wanted = targets.select(*BLOCKS, F.col(FEATURES[feature]).alias("value")).distinct()
+    met = wanted.join(model.counts[feature], ["project", "value"]).where("ns[fold] > 0")
+    found = _cells(met.join(model.sums[feature], ["project", "reviewer_id"]), F.col("fold"))
+    return found.groupBy(*BLOCKS).agg(F.collect_list(F.struct("value", "reviewer_id", "p")).alias(f"{feature}_cells"))
+
+
+class _Cells:
+    """By value, the places of its reviewers and what is observed."""
+
+    def __init__(self, cells: pa.ListArray, reviewers: np.ndarray):
+        rows = cells.flatten()
+        coded = rows.field("value").dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        self.ends = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+        self.code = {v: k for k, v in enumerate(coded.dictionary.to_pylist())}
+        self.at = np.searchsorted(reviewers, rows.field("reviewer_id").to_numpy()[order])
+        self.p = rows.field("p").to_numpy()[order]
+
+    def over(self, defaults: np.ndarray, value) -> np.ndarray:
+        k = self.code.get(value)
+        if k is None:
+            return defaults
+        part, out = slice(self.ends[k], self.ends[k + 1]), defaults.copy()
+        out[self.at[part]] = self.p[part]
+        return out
+
+
+def _rank_block(features: tuple[str, ...], window: int | None, best: int | None):
+    """The function that ranks one block, a table of one row."""
+
+    def rank(block: pa.Table) -> pa.Table:
+        one = {c: block.column(c).combine_chunks() for c in block.column_names}
+        people = one["reviewers"].flatten()
+        reviewers, n = people.field("reviewer_id").to_numpy(), len(people)
+        prior = people.field("p").to_numpy()
+        default = {f: people.field(f).to_numpy() for f in features}
+        cells = {f: _Cells(one[f"{f}_cells"], reviewers) for f in features}
+        long_ago = np.iinfo(np.int64).min // 2
+        last, low = people.field("last").fill_null(long_ago).to_numpy().copy(), one["low"][0].as_py()
+        at_low = people.field("at_low").is_valid().to_numpy(zero_copy_only=False)
+        done = one["events"].flatten()
+        times, places = done.field("ts").to_numpy(), np.searchsorted(reviewers, done.field("reviewer_id").to_numpy())
+        known = reviewers[np.minimum(places, n - 1)] == done.field("reviewer_id").to_numpy() if len(done) else np.zeros(0, bool)
+        seen, falling = 0, np.arange(n, 0, -1)
+        out = []
+        for target in sorted(one["targets"].flatten().to_pylist(), key=lambda t: t["ts"]):
+            ts, score = target["ts"], np.zeros(n)
+            belief = prior * cells["owner"].over(default["owner"], target["owner_id"])
+            if "sub_project" in features:
+                belief = belief * cells["sub_project"].over(default["sub_project"], target["sub_project"])
+            for path in target["paths"]:
+                order = np.argsort(-(belief * cells["path"].over(default["path"], path["location"])), kind="stable")
+                score[order] += falling * path["n_copies"]
+            active = np.ones(n, bool)
+            if window is not None:
+                if ts > low:
+                    last[at_low] = np.maximum(last[at_low], low)
+                    end = int(np.searchsorted(times, ts, "left"))
+                    new = slice(seen, end)
+                    np.maximum.at(last, places[new][known[new]], times[new][known[new]])
+                    seen = end
+                active = last > ts - window
+            order = np.lexsort((-score, ~active))
+            ranks = np.empty(n, np.int32)
+            ranks[order] = np.arange(1, n + 1)
+            shown = order if best is None else order[:best]
+            if target["asked"] is not None:
+                wanted = np.array(target["asked"], np.int64)
+                shown = np.searchsorted(reviewers, wanted)
+                shown = shown[reviewers[np.minimum(shown, n - 1)] == wanted]
+            out.append((np.full(len(shown), target["target_id"]), reviewers[shown], score[shown], ranks[shown]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.table(dict(zip(("target_id", "reviewer_id", "score", "rank"), columns, strict=True)))
+
+    return rank
+
+
+def rank_nb(model: Model, targets: DataFrame, history: History, months: int | None = None, best: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """target_id, reviewer_id, score, rank for ``targets`` (target_id, project, fold): all reviewers of the model, by points R, R - 1, ... 1 for each path of a target, copies too. Targets without paths are not ranked.
+
+    With ``months``, reviewers who weren't active in so many before the target
+    come last. Only the first ``best`` are returned if given, or only those that
+    ``asked`` (target_id, reviewer_id) has.
+    """
+    placed = newest_first(history.pull_requests).withColumn("part", F.expr(f"rk div {BLOCK}"))
+    paths = history.file_paths.groupBy(F.col("pr_id").alias("target_id"), "location").agg(F.count("*").alias("n_copies"))
+    rows = targets.select("target_id", "project", "fold").join(placed.select(F.col("id").alias("target_id"), "part", "ts", "owner_id", "sub_project"), "target_id")
+    rows = rows.join(model.prior.select("project", "fold").distinct(), ["project", "fold"], "left_semi")
+    rows = written(rows.join(paths.groupBy("target_id").agg(F.collect_list(F.struct("location", "n_copies")).alias("paths")), "target_id"), "nb-targets")
+    if asked is None:
+        wanted = rows.withColumn("asked", F.lit(None).cast("array<long>"))
+    else:
+        wanted = rows.join(asked.groupBy("target_id").agg(F.collect_set("reviewer_id").alias("asked")), "target_id", "left").withColumn("asked", F.coalesce("asked", F.array().cast("array<long>")))
+    blocks = wanted.groupBy(*BLOCKS).agg(F.min("ts").alias("low"), F.collect_list(F.struct("ts", "target_id", "owner_id", "sub_project", "paths", "asked")).alias("targets"))
+    low = rows.groupBy(*BLOCKS).agg(F.min("ts").alias("low"))
+    whole = blocks.join(_reviewers_of_blocks(model, low, history, months), BLOCKS)
+    for feature in model.counts:
+        values = rows.select(*BLOCKS, F.explode("paths.location").alias("location")) if feature == "path" else rows
+        whole = whole.join(_cells_of_blocks(model, feature, values), BLOCKS, "left")
+    if months is None:
+        whole = whole.withColumn("events", F.array().cast("array<struct<ts:bigint,reviewer_id:bigint>>"))
+    else:
+        done = placed.select("id", "project", "part", "ts").join(history.reviews, F.col("id") == F.col("pr_id"))
+        done = done.join(low.select("project", "part").distinct(), ["project", "part"], "left_semi")
+        whole = whole.join(done.groupBy("project", "part").agg(F.sort_array(F.collect_list(F.struct("ts", "reviewer_id"))).alias("events")), ["project", "part"], "left")
+    return whole.groupBy(*BLOCKS).applyInArrow(_rank_block(tuple(model.counts), None if months is None else months_ms(months), best), RANKING)

@@ -7,12 +7,35 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.times import months_ms
 from quillrank.schema import History
+from quillrank.stored import written
 
 
 def newest_first(pull_requests: DataFrame) -> DataFrame:
-    """With rk, the place in the project's newest-first order from 0; equal times go by falling id."""
-    order = Window.partitionBy("project").orderBy(F.col("ts").desc(), F.col("id").desc())
-    return pull_requests.withColumn("rk", (F.row_number().over(order) - 1).cast("long"))
+    """With rk, the place in the project's newest-first order from 0; equal times go by falling id.
+
+    All rows are sorted over ranges and written with their places there; a
+    range and a project together count from how many rows of the project the
+    ranges before hold, so a project may be spread over any number of tasks.
+    The places of one DataFrame are worked out once.
+    """
+    known = getattr(pull_requests, "_quillrank_placed", None)
+    if known is not None:
+        return known
+    order = [F.col("project"), F.col("ts").desc(), F.col("id").desc()]
+    ranged = pull_requests.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).withColumn("range", F.shiftrightunsigned("at", 33))
+    placed = written(ranged, "newest-first")
+    pieces = placed.groupBy("range", "project").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("project").orderBy("range")) - F.col("n")  # a row for each range
+    starts = pieces.select("range", "project", (before - F.col("first")).alias("start")).alias("s")
+    p = placed.alias("p")
+    met = p.join(starts, (F.col("p.range") == F.col("s.range")) & F.col("p.project").eqNullSafe(F.col("s.project")))
+    pull_requests._quillrank_placed = met.select("p.*", (F.col("p.at") + F.col("s.start")).alias("rk")).drop("at", "range")
+    return pull_requests._quillrank_placed
+
+
+def sized(placed: DataFrame) -> DataFrame:
+    """With n, the number of pull requests of the project."""
+    return placed.join(placed.groupBy("project").agg(F.count("*").alias("n")), "project")
 
 
 def before(pull_requests: DataFrame, project: str, ts: int) -> DataFrame:

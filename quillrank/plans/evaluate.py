@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillrank.operators.postprocess import demote_inactive
 from quillrank.operators.rank_nb import fit_nb, fold_cutoffs, fold_targets, rank_nb
 from quillrank.operators.rank_paths import rank_paths
-from quillrank.operators.relational import newest_first
+from quillrank.operators.relational import newest_first, sized
 from quillrank.schema import History
 
 TOPS = (1, 3, 5, 10)
@@ -18,7 +18,7 @@ VARIANTS = {"v1": ("paths", False, False), "v2": ("paths", True, True), "v3": ("
 
 def path_targets(history: History) -> DataFrame:
     """target_id, project, rk: targets of the path ranker, from the newest back until fewer than an 11th of the project is left."""
-    placed = newest_first(history.pull_requests).withColumn("n", F.expr("count(*) over (partition by project)"))
+    placed = sized(newest_first(history.pull_requests))
     return placed.where("n - rk >= n div 11").select(F.col("id").alias("target_id"), "project", "rk")
 
 
@@ -40,9 +40,11 @@ def evaluate(history: History, variant: str, months: int = 12) -> DataFrame:
     if ranker == "paths":
         targets = path_targets(history)
         ranking = rank_paths(targets, history, use_sub_project)
+        if demote:
+            ranking = demote_inactive(ranking, history, months)
     else:
         targets = fold_targets(history)
-        ranking = rank_nb(fit_nb(history, fold_cutoffs(history), use_sub_project), targets, history)
-    if demote:
-        ranking = demote_inactive(ranking, history, months)
+        # Of each target, only the places of those who did review count.
+        asked = history.reviews.select(F.col("pr_id").alias("target_id"), "reviewer_id")
+        ranking = rank_nb(fit_nb(history, fold_cutoffs(history), use_sub_project), targets, history, months if demote else None, asked=asked)
     return metrics(first_hits(ranking, targets, history))

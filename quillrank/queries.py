@@ -279,8 +279,8 @@ _ranking("nb_cond_path", _history("SELECT * FROM cell_path", _nb_ctes(_CUTS)))(l
 _ranking("nb_cond_subproject", _history("SELECT * FROM cell_sub_project", _nb_ctes(_CUTS)))(lambda h: _fold_model(h).cells["sub_project"])
 _ranking("nb_defaults_path", _history("SELECT * FROM rest_path", _nb_ctes(_ALL)))(lambda h: rank_nb.fit_nb(h, rank_nb.whole_history(h)).defaults["path"])
 _ranking("nb_belief", _history("SELECT * FROM belief", _belief_ctes(_CUTS, _NEWEST_NB, True)))(lambda h: rank_nb.beliefs(_fold_model(h), _newest_nb(h), h))
-_ranking("nb_rank_topk", _history(f"SELECT * FROM ranking WHERE rank <= {TOP}", _belief_ctes(_CUTS, _NEWEST_NB, False) + _RANKED))(lambda h: top(rank_nb.rank_nb(_fold_model(h, False), _newest_nb(h), h), TOP))
-_ranking("nb_plus_rank_topk", _history(f"SELECT * FROM ranking WHERE rank <= {TOP}", _belief_ctes(_CUTS, _NEWEST_NB, True) + _DEMOTED))(lambda h: top(demote_inactive(rank_nb.rank_nb(_fold_model(h), _newest_nb(h), h), h, MONTHS), TOP))
+_ranking("nb_rank_topk", _history(f"SELECT * FROM ranking WHERE rank <= {TOP}", _belief_ctes(_CUTS, _NEWEST_NB, False) + _RANKED))(lambda h: rank_nb.rank_nb(_fold_model(h, False), _newest_nb(h), h, best=TOP))
+_ranking("nb_plus_rank_topk", _history(f"SELECT * FROM ranking WHERE rank <= {TOP}", _belief_ctes(_CUTS, _NEWEST_NB, True) + _DEMOTED))(lambda h: rank_nb.rank_nb(_fold_model(h), _newest_nb(h), h, MONTHS, TOP))
 
 # Evaluation.
 _query("fold_cutoffs", _history("SELECT * FROM cuts", _CUTS.rstrip(", ")))(rank_nb.fold_cutoffs)

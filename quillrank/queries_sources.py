@@ -41,8 +41,7 @@ def _line_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 def _line_points(spark: SparkSession, folder: str) -> DataFrame:
     placed, file_commit, edit = _line_inputs(spark, folder)
-    commits = L.line_commits(L.line_offsets(placed, L.affected_lines(placed, edit), file_commit, edit))
-    return L.commit_points(commits, placed, file_commit)
+    return L.commit_points(L.line_points(placed, L.affected_lines(placed, edit), file_commit, edit), file_commit)
 
 
 @_raw(
