@@ -12,6 +12,7 @@ made for a target and a reviewer but those asked for.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -27,7 +28,7 @@ from quillrank.stored import written
 #: Probability that a reviewer's unobserved values share.
 EPSILON = 0.01
 FOLDS = 10
-FEATURES = {"owner": "owner_id", "path": "location", "sub_project": "sub_project"}
+FEATURES = {"owner": "owner_id", "sub_project": "sub_project", "path": "location"}
 
 
 #: Targets of a block.
@@ -191,26 +192,37 @@ def _cells_of_blocks(model: Model, feature: str, targets: DataFrame) -> DataFram
     return found.groupBy(*BLOCKS).agg(F.collect_list(F.struct("value", "reviewer_id", "p")).alias(f"{feature}_cells"))
 
 
+def _falling(belief: np.ndarray, reviewers: np.ndarray, touched: np.ndarray) -> np.ndarray:
+    """Places by falling belief, equal ones by reviewer. Those that aren't ``touched`` stand in that order already."""
+    falls = -belief
+    order = np.argsort(falls, kind="stable")
+    in_order, own = falls[order], falls[touched]
+    if (np.searchsorted(in_order, own, "right") - np.searchsorted(in_order, own, "left") > 1).any():
+        return np.lexsort((reviewers, falls))
+    return order
+
+
 class _Cells:
     """By value, the places of its reviewers and what is observed."""
 
-    def __init__(self, cells: pa.ListArray, reviewers: np.ndarray):
+    def __init__(self, cells: pa.ListArray, of: Callable[[np.ndarray], np.ndarray]):
         rows = cells.flatten()
         coded = rows.field("value").dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
         order = np.argsort(codes, kind="stable")
         self.ends = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
         self.code = {v: k for k, v in enumerate(coded.dictionary.to_pylist())}
-        self.at = np.searchsorted(reviewers, rows.field("reviewer_id").to_numpy()[order])
+        self.at = of(rows.field("reviewer_id").to_numpy()[order])
         self.p = rows.field("p").to_numpy()[order]
 
-    def over(self, defaults: np.ndarray, value) -> np.ndarray:
+    def over(self, defaults: np.ndarray, value) -> tuple[np.ndarray, np.ndarray]:
+        """The defaults with what is observed for a value, and the places where it is."""
         k = self.code.get(value)
         if k is None:
-            return defaults
+            return defaults, self.at[:0]
         part, out = slice(self.ends[k], self.ends[k + 1]), defaults.copy()
         out[self.at[part]] = self.p[part]
-        return out
+        return out, self.at[part]
 
 
 def _rank_block(features: tuple[str, ...], window: int | None, best: int | None):
@@ -219,57 +231,69 @@ def _rank_block(features: tuple[str, ...], window: int | None, best: int | None)
     def rank(block: pa.Table) -> pa.Table:
         one = {c: block.column(c).combine_chunks() for c in block.column_names}
         people = one["reviewers"].flatten()
-        reviewers, n = people.field("reviewer_id").to_numpy(), len(people)
-        prior = people.field("p").to_numpy()
-        default = {f: people.field(f).to_numpy() for f in features}
-        cells = {f: _Cells(one[f"{f}_cells"], reviewers) for f in features}
+        by_id, n = people.field("reviewer_id").to_numpy(), len(people)
+        # All arrays stand in the order of the defaults, so a ballot with few observed cells is nearly sorted.
+        base = people.field("p").to_numpy()
+        for f in features:
+            base = base * people.field(f).to_numpy()
+        first = np.argsort(-base, kind="stable")
+        place = np.empty(n, np.int64)
+        place[first] = np.arange(n)
+        reviewers = by_id[first]
+
+        def of(ids: np.ndarray) -> np.ndarray:
+            """Places of those among ``ids`` that the model knows."""
+            at = np.minimum(np.searchsorted(by_id, ids), n - 1)
+            return place[at[by_id[at] == ids]]
+
+        prior = people.field("p").to_numpy()[first]
+        default = {f: people.field(f).to_numpy()[first] for f in features}
+        cells = {f: _Cells(one[f"{f}_cells"], of) for f in features}
         long_ago = np.iinfo(np.int64).min // 2
-        last, low = people.field("last").fill_null(long_ago).to_numpy().copy(), one["low"][0].as_py()
-        at_low = people.field("at_low").is_valid().to_numpy(zero_copy_only=False)
+        last, low = people.field("last").fill_null(long_ago).to_numpy()[first], one["low"][0].as_py()
+        at_low = people.field("at_low").is_valid().to_numpy(zero_copy_only=False)[first]
         done = one["events"].flatten()
-        times, places = done.field("ts").to_numpy(), np.searchsorted(reviewers, done.field("reviewer_id").to_numpy())
-        known = reviewers[np.minimum(places, n - 1)] == done.field("reviewer_id").to_numpy() if len(done) else np.zeros(0, bool)
+        times, who = done.field("ts").to_numpy(), done.field("reviewer_id").to_numpy()
         seen, falling = 0, np.arange(n, 0, -1)
         out = []
         for target in sorted(one["targets"].flatten().to_pylist(), key=lambda t: t["ts"]):
-            ts, score = target["ts"], np.zeros(n)
-            belief = prior * cells["owner"].over(default["owner"], target["owner_id"])
-            if "sub_project" in features:
-                belief = belief * cells["sub_project"].over(default["sub_project"], target["sub_project"])
+            ts, score = target["ts"], np.zeros(n, np.int64)
+            belief, touched = prior, []
+            for f in features:
+                if f != "path":
+                    likely, at = cells[f].over(default[f], target[FEATURES[f]])
+                    belief = belief * likely
+                    touched.append(at)
             for path in target["paths"]:
-                order = np.argsort(-(belief * cells["path"].over(default["path"], path["location"])), kind="stable")
+                likely, at = cells["path"].over(default["path"], path["location"])
+                order = _falling(belief * likely, reviewers, np.concatenate([*touched, at]))
                 score[order] += falling * path["n_copies"]
-            active = np.ones(n, bool)
+            key = score
             if window is not None:
                 if ts > low:
                     last[at_low] = np.maximum(last[at_low], low)
                     end = int(np.searchsorted(times, ts, "left"))
-                    new = slice(seen, end)
-                    np.maximum.at(last, places[new][known[new]], times[new][known[new]])
+                    # Reviews that the model doesn't know of are nobody's here.
+                    for t in np.unique(times[seen:end]):
+                        last[of(who[seen:end][times[seen:end] == t])] = t
                     seen = end
-                active = last > ts - window
-            order = np.lexsort((-score, ~active))
-            ranks = np.empty(n, np.int32)
-            ranks[order] = np.arange(1, n + 1)
-            shown = order if best is None else order[:best]
-            if target["asked"] is not None:
-                wanted = np.array(target["asked"], np.int64)
-                shown = np.searchsorted(reviewers, wanted)
-                shown = shown[reviewers[np.minimum(shown, n - 1)] == wanted]
-            out.append((np.full(len(shown), target["target_id"]), reviewers[shown], score[shown], ranks[shown]))
+                key = score + (last > ts - window) * (int(score.max()) + 1)
+            if target["asked"] is None:
+                shown = np.lexsort((reviewers, -key))[:best]
+                ranks = np.arange(1, len(shown) + 1)
+            else:
+                shown = of(np.array(target["asked"], np.int64))
+                own, name = key[shown, None], reviewers[shown, None]
+                ranks = 1 + ((key > own) | ((key == own) & (reviewers < name))).sum(1)
+            out.append((np.full(len(shown), target["target_id"]), reviewers[shown], score[shown].astype(float), ranks.astype(np.int32)))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pa.table(dict(zip(("target_id", "reviewer_id", "score", "rank"), columns, strict=True)))
 
     return rank
 
 
-def rank_nb(model: Model, targets: DataFrame, history: History, months: int | None = None, best: int | None = None, asked: DataFrame | None = None) -> DataFrame:
-    """target_id, reviewer_id, score, rank for ``targets`` (target_id, project, fold): all reviewers of the model, by points R, R - 1, ... 1 for each path of a target, copies too. Targets without paths are not ranked.
-
-    With ``months``, reviewers who weren't active in so many before the target
-    come last. Only the first ``best`` are returned if given, or only those that
-    ``asked`` (target_id, reviewer_id) has.
-    """
+def _blocks(model: Model, targets: DataFrame, history: History, months: int | None, asked: DataFrame | None) -> DataFrame:
+    """A row for each block: low (its first time), targets, reviewers, events and the observed cells of each feature."""
     placed = newest_first(history.pull_requests).withColumn("part", F.expr(f"rk div {BLOCK}"))
     paths = history.file_paths.groupBy(F.col("pr_id").alias("target_id"), "location").agg(F.count("*").alias("n_copies"))
     rows = targets.select("target_id", "project", "fold").join(placed.select(F.col("id").alias("target_id"), "part", "ts", "owner_id", "sub_project"), "target_id")
@@ -291,4 +315,15 @@ def rank_nb(model: Model, targets: DataFrame, history: History, months: int | No
         done = placed.select("id", "project", "part", "ts").join(history.reviews, F.col("id") == F.col("pr_id"))
         done = done.join(low.select("project", "part").distinct(), ["project", "part"], "left_semi")
         whole = whole.join(done.groupBy("project", "part").agg(F.sort_array(F.collect_list(F.struct("ts", "reviewer_id"))).alias("events")), ["project", "part"], "left")
-    return whole.groupBy(*BLOCKS).applyInArrow(_rank_block(tuple(model.counts), None if months is None else months_ms(months), best), RANKING)
+    return whole
+
+
+def rank_nb(model: Model, targets: DataFrame, history: History, months: int | None = None, best: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """target_id, reviewer_id, score, rank for ``targets`` (target_id, project, fold): all reviewers of the model, by points R, R - 1, ... 1 for each path of a target, copies too. Targets without paths are not ranked.
+
+    With ``months``, reviewers who weren't active in so many before the target
+    come last. Only the first ``best`` are returned if given, or only those that
+    ``asked`` (target_id, reviewer_id) has.
+    """
+    rank = _rank_block(tuple(model.counts), None if months is None else months_ms(months), best)
+    return _blocks(model, targets, history, months, asked).groupBy(*BLOCKS).applyInArrow(rank, RANKING)
