@@ -16,12 +16,13 @@ def months_ms(months: int) -> int:
 
 
 def github_millis(text: Column) -> Column:
-    return F.unix_millis(F.to_timestamp(text, GITHUB_FORMAT))
+    """Null where the text isn't such a time."""
+    return F.unix_millis(F.try_to_timestamp(text, F.lit(GITHUB_FORMAT)))
 
 
 def gerrit_millis(text: Column) -> Column:
-    """Fractions of a second, if any, don't count."""
-    return F.unix_millis(F.to_timestamp(F.substring(text, 1, 19), GERRIT_FORMAT))
+    """Fractions of a second, if any, don't count. Null where the text isn't such a time."""
+    return F.unix_millis(F.try_to_timestamp(F.substring(text, 1, 19), F.lit(GERRIT_FORMAT)))
 
 
 def column_millis(timestamp: Column) -> Column:

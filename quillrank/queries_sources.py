@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.operators import rank_lines as L
+from quillrank.operators.diff import edits_from_contents
 from quillrank.operators.postprocess import top
 from quillrank.operators.rank_paths import newest_targets
 from quillrank.plans.recommend import recommend, shown
@@ -155,6 +156,53 @@ def json_github_reviewers(spark: SparkSession, folder: str) -> DataFrame:
     return github.reviewers(*star_git.github_responses(spark, folder)).select("number", F.col("reviewer.accountId").alias("account_id"), "reviewer.name")
 
 
+_PULLS = """WITH made AS (SELECT o_orderkey AS number, '{' || CASE WHEN o_orderkey % 7 = 2 THEN '' ELSE '"id":' || o_orderkey || ',' END || '"number":' || o_orderkey || ',"state":"closed","created_at":"'
+  || CASE WHEN o_orderkey % 7 = 1 THEN 'yesterday' ELSE strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z' END || '","user":{"id":' || o_custkey || ',"login":"dev"}}' AS body FROM orders)"""
+
+
+@_raw("import_rejects", _PULLS + " SELECT CASE WHEN number % 7 = 0 THEN substr(body, 1, 30) ELSE body END AS body, CASE number % 7 WHEN 0 THEN 'bad JSON' WHEN 1 THEN 'bad date' ELSE 'missing key' END AS cause FROM made WHERE number % 7 < 3")
+def import_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """What an import of all pull requests leaves out, and why."""
+    return github.import_pulls(star_git.github_pulls(spark, folder))[1]
+
+
+@_raw("imported_pulls", "SELECT o_orderkey AS number, CAST(o_orderkey AS VARCHAR) AS change_id, epoch_ms(date_trunc('day', o_orderdate)) AS ts, CAST(o_custkey AS VARCHAR) AS owner FROM orders WHERE o_orderkey % 7 > 2")
+def imported_pulls(spark: SparkSession, folder: str) -> DataFrame:
+    """And what it takes."""
+    pulls = github.import_pulls(star_git.github_pulls(spark, folder))[0]
+    return pulls.select("number", F.col("changeId").alias("change_id"), F.col("timestamp").alias("ts"), F.col("owner.accountId").alias("owner"))
+
+
+_LCS = "list_reduce(list_prepend([0 FOR z IN range(0, len(b) + 1)], list_transform(a, lambda x: [CASE WHEN x = y THEN 1 ELSE 0 END FOR y IN b])), lambda prev, same: list_reduce(range(1, len(b) + 1), lambda cur, j: list_append(cur, CASE WHEN same[j] = 1 THEN prev[j] + 1 ELSE greatest(prev[j + 1], cur[j]) END), [0]))[len(b) + 1]"
+
+
+@_raw(
+    "diff_of_contents",
+    f"""WITH {HISTORY}, {LOG}, ordered AS (SELECT p_brand || '/' || p_type || '/' || replace(p_name, ' ', '/') AS root_path, o_orderkey, o_orderdate, l_linenumber AS number, l_returnflag || ' ' || l_suppkey % 4 AS line
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+so_far AS (SELECT root_path, o_orderkey, row_number() OVER w AS k, list({{'number': number, 'line': line}}) OVER (w ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS lines FROM ordered WINDOW w AS (PARTITION BY root_path ORDER BY o_orderdate, o_orderkey, number, line)),
+content AS (SELECT root_path, o_orderkey, [x.line FOR x IN list_sort(arg_max(lines, k))] AS c FROM so_far GROUP BY ALL),
+versions AS (SELECT root_path, o_orderkey, c AS b, lag(c) OVER (PARTITION BY root_path ORDER BY o_orderdate, o_orderkey) AS a FROM content JOIN (SELECT o_orderkey, o_orderdate FROM orders) USING (o_orderkey)),
+sized AS (SELECT root_path, CAST(o_orderkey AS VARCHAR) AS commit_id, len(a) AS n_a, len(b) AS n_b, {_LCS} AS n_kept FROM versions WHERE a IS NOT NULL)
+SELECT root_path, commit_id, CAST(n_a - n_kept AS BIGINT) AS n_deleted, CAST(n_b - n_kept AS BIGINT) AS n_inserted FROM sized WHERE n_a > n_kept OR n_b > n_kept""",
+)
+def diff_of_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """How many lines every commit deletes and inserts in each of its files, by shortest edit scripts of their contents. Scripts differ, these numbers don't."""
+    file_commit, content = star_git.file_versions(spark, folder)
+    found = edits_from_contents(file_commit, content).groupBy("sub_project", "root_path", "commit_seq").agg(F.sum(F.col("end_a") - F.col("begin_a")).alias("n_deleted"), F.sum(F.col("end_b") - F.col("begin_b")).alias("n_inserted"))
+    return found.join(file_commit.select("root_path", "commit_seq", "commit_id"), ["root_path", "commit_seq"]).select("root_path", "commit_id", "n_deleted", "n_inserted")
+
+
+@_raw("line_rank_from_contents")
+def line_rank_from_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """The line ranker for all pull requests over a log whose edits are worked out from contents."""
+    file_commit, content = star_git.file_versions(spark, folder)
+    file_commit = written(file_commit, "log")
+    edit = written(edits_from_contents(file_commit, content), "log")
+    targets = file_commit.select(F.col("commit_id").cast("long").alias("target_id"), "change_id", "sub_project", "root_path")
+    return top(L.rank_lines(targets, file_commit, edit, star_git.change_people(spark, folder)), TOP)
+
+
 @_raw("json_gerrit_labels", "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS change_id, CAST(l_suppkey AS VARCHAR) AS account_id FROM lineitem WHERE l_linenumber % 4 - 1 > 0")
 def json_gerrit_labels(spark: SparkSession, folder: str) -> DataFrame:
     return gerrit.reviewers(gerrit.changes(star_git.gerrit_responses(spark, folder))).select(F.col("changeId").alias("change_id"), F.col("reviewer.accountId").alias("account_id"))

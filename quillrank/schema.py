@@ -43,6 +43,9 @@ GERRIT_CHANGE = (
     f"revisions map<string,struct<files:map<string,string>>>, messages array<struct<author:{GERRIT_ACCOUNT}>>"
 )
 
+#: Why a response can't be imported.
+BAD_JSON, BAD_DATE, MISSING_KEY = "bad JSON", "bad date", "missing key"
+
 
 @dataclass(frozen=True)
 class History:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.times import gerrit_millis
 from quillrank.operators.cleaning import is_positive
-from quillrank.schema import GERRIT_CHANGE
+from quillrank.schema import BAD_DATE, BAD_JSON, GERRIT_CHANGE, MISSING_KEY
+from quillrank.stored import written
 
 #: Characters before the JSON of a response, that keep browsers from running it.
 PREFIX = 5
@@ -20,8 +21,26 @@ def without_prefix(body: Column) -> Column:
     return F.substring(body, PREFIX + 1, 2**31 - 1)
 
 
+def judged_changes(responses: DataFrame) -> DataFrame:
+    """body (of one change, or of a response that isn't a list), change, and cause: why it can't be imported, null if it can. Every change of a list stands for itself."""
+    listed = responses.select("body", F.from_json(without_prefix(F.col("body")), "array<string>").alias("found"))
+    # What isn't a list parses to nothing, or to a list of its pieces.
+    is_list = F.coalesce(F.ltrim(without_prefix(F.col("body"))).startswith("[") & F.col("found").isNotNull(), F.lit(False))
+    each = listed.select(F.explode(F.when(is_list, F.col("found")).otherwise(F.array(F.col("body")))).alias("body"), (~is_list).alias("is_odd"))
+    read = each.withColumn("change", F.from_json("body", f"{GERRIT_CHANGE}, _unread string", {"columnNameOfCorruptRecord": "_unread"}))
+    c = F.col("change")
+    cause = F.when(F.col("is_odd") | c.isNull() | c["_unread"].isNotNull(), BAD_JSON).when(c["id"].isNull() | c["_number"].isNull() | c["owner"]["_account_id"].isNull(), MISSING_KEY).when(gerrit_millis(c["created"]).isNull(), BAD_DATE)
+    return read.select("body", F.col("change").dropFields("_unread").alias("change"), cause.alias("cause"))
+
+
+def import_changes(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changes that can be imported whole, and body and cause of the others, from one pass over the responses, which is written."""
+    judged = written(judged_changes(responses), "judged-changes")
+    return judged.where("cause is null").select("change.*"), judged.where("cause is not null").select("body", "cause")
+
+
 def changes(responses: DataFrame) -> DataFrame:
-    """A row (change) for each change of list responses (body)."""
+    """A row (change) for each change of list responses (body), as far as it can be read; ``import_changes`` judges them."""
     return responses.select(F.explode(F.from_json(without_prefix(F.col("body")), f"array<struct<{_struct(GERRIT_CHANGE)}>>")).alias("change")).select("change.*")
 
 

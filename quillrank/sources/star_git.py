@@ -102,6 +102,28 @@ def github_responses(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     return lines.select("number", F.to_json("odd").alias("body")), lines.select("number", F.when(F.size("even") == 0, missing).otherwise(F.to_json("even")).alias("body"))
 
 
+def github_pulls(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as pull requests (number, body); of every seven one body breaks off, one has no time and one has no id."""
+    key = F.col("o_orderkey")
+    created = F.when(key % 7 == 1, "yesterday").otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00Z")))
+    text = lambda c: c.cast("string")
+    identity = F.when(key % 7 == 2, F.lit("")).otherwise(F.concat(F.lit('"id":'), text(key), F.lit(",")))
+    whole = F.concat(F.lit("{"), identity, F.lit('"number":'), text(key), F.lit(',"state":"closed","created_at":"'), created, F.lit('","user":{"id":'), text(F.col("o_custkey")), F.lit(',"login":"dev"}}'))
+    return table(spark, folder, "orders").select(key.alias("number"), F.when(key % 7 == 0, F.substring(whole, 1, 30)).otherwise(whole).alias("body"))
+
+
+def file_versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """file_commit, and file_content of every commit: a path has a line for each of its last twelve order lines up to then, in order of their numbers."""
+    lines = _lines(spark, folder)
+    file_commit, _ = edits(spark, folder)
+    known = lines.select("root_path", F.col("o_orderkey").cast("string").alias("commit_id"), "ts", "o_orderkey", F.col("l_linenumber").alias("number"), F.concat(F.col("l_returnflag"), F.lit(" "), (F.col("l_suppkey") % 4).cast("string")).alias("line"))
+    order = Window.partitionBy("root_path").orderBy("ts", "o_orderkey", "number", "line")
+    so_far = known.withColumn("lines", F.collect_list(F.struct("number", "line")).over(order.rowsBetween(-11, 0))).withColumn("k", F.row_number().over(order))
+    content = so_far.groupBy("root_path", "commit_id").agg(F.max_by("lines", "k").alias("lines"))
+    text = F.concat(F.array_join(F.transform(F.array_sort("lines"), lambda x: x["line"]), "\n"), F.lit("\n"))
+    return file_commit, content.select(F.lit(REPOSITORY).alias("sub_project"), "commit_id", F.col("root_path").alias("path"), text.alias("content"))
+
+
 def gerrit_responses(spark: SparkSession, folder: str) -> DataFrame:
     """Pages (body) of changes as the API sends them, an order in each."""
     parts = table(spark, folder, "part").select("p_partkey", location(F.col("p_brand"), F.col("p_type"), F.col("p_name")).alias("location"))
