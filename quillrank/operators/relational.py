@@ -9,6 +9,9 @@ from quillrank.functions.times import months_ms
 from quillrank.schema import History
 from quillrank.stored import written
 
+#: Stretches of time that a window is cut into where times and stretches meet.
+CELLS = 12
+
 
 def newest_first(pull_requests: DataFrame) -> DataFrame:
     """With rk, the place in the project's newest-first order from 0; equal times go by falling id.
@@ -46,15 +49,19 @@ def before(pull_requests: DataFrame, project: str, ts: int) -> DataFrame:
 def reviewed_between(history: History, months: int) -> DataFrame:
     """target_id, reviewer_id, n_recent: reviews strictly inside the window before each pull request, by reviewers of its project.
 
-    Time is cut into stretches as long as the window, so a pull request meets
-    the reviews of its own stretch and of the one before.
+    A review counts from just after it until the window's length later. In one
+    order of these events, a running sum says how many count at a time, so a
+    pull request meets every reviewer once, however many reviews count.
     """
     span = months_ms(months)
-    stretch = F.floor(F.col("ts") / span).cast("long")
-    targets = history.pull_requests.select(F.col("id").alias("target_id"), "project", F.col("ts").alias("target_ts"), F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
-    done = reviewed(history).select("project", "reviewer_id", "ts", stretch.alias("stretch"))
-    window = (F.col("ts") < F.col("target_ts")) & (F.col("ts") > F.col("target_ts") - span)
-    return targets.join(done, ["project", "stretch"]).where(window).groupBy("target_id", "reviewer_id").agg(F.count("*").alias("n_recent"))
+    cell = lambda c: F.floor(c / (span // CELLS)).cast("long")
+    done = reviewed(history).select("project", "reviewer_id", F.explode(F.array(F.struct((F.col("ts") + 1).alias("since"), F.lit(1).alias("more")), F.struct((F.col("ts") + span).alias("since"), F.lit(-1).alias("more")))).alias("e"))
+    changes = done.groupBy("project", "reviewer_id", "e.since").agg(F.sum("e.more").alias("more"))
+    in_time = Window.partitionBy("project", "reviewer_id").orderBy("since")
+    counted = changes.select("project", "reviewer_id", "since", F.lead("since").over(in_time).alias("until"), F.sum("more").over(in_time).alias("n_recent")).where("n_recent > 0")
+    spread = counted.withColumn("cell", F.explode(F.sequence(cell(F.col("since")), cell(F.col("until") - 1))))
+    targets = history.pull_requests.select(F.col("id").alias("target_id"), "project", F.col("ts").alias("target_ts"), cell(F.col("ts")).alias("cell"))
+    return targets.join(spread, ["project", "cell"]).where("since <= target_ts and target_ts < until").select("target_id", "reviewer_id", "n_recent")
 
 
 def last_reviewed(asked: DataFrame, history: History) -> DataFrame:

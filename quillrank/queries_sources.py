@@ -173,6 +173,16 @@ def imported_pulls(spark: SparkSession, folder: str) -> DataFrame:
     return pulls.select("number", F.col("changeId").alias("change_id"), F.col("timestamp").alias("ts"), F.col("owner.accountId").alias("owner"))
 
 
+@_raw(
+    "paged_files",
+    """WITH placed AS (SELECT l_orderkey AS number, p_brand || '/' || p_type || '/' || replace(p_name, ' ', '/') AS location, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, p_brand || '/' || p_type || '/' || replace(p_name, ' ', '/')) AS k FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT number, location FROM placed WHERE k <= 2 OR (number % 5 <> 0 AND number % 6 <> 0)""",
+)
+def paged_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of all orders, from pages; a list ends at its first page that is empty or lacking."""
+    return github.file_paths(star_git.github_files(spark, folder))
+
+
 _LCS = "list_reduce(list_prepend([0 FOR z IN range(0, len(b) + 1)], list_transform(a, lambda x: [CASE WHEN x = y THEN 1 ELSE 0 END FOR y IN b])), lambda prev, same: list_reduce(range(1, len(b) + 1), lambda cur, j: list_append(cur, CASE WHEN same[j] = 1 THEN prev[j] + 1 ELSE greatest(prev[j + 1], cur[j]) END), [0]))[len(b) + 1]"
 
 

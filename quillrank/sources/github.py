@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions.times import github_millis
@@ -32,6 +32,15 @@ def page(number: int) -> tuple[int, int]:
     return (number - 1) * PER_PAGE, PER_PAGE
 
 
+def until_empty(pages: DataFrame, *keys: str) -> DataFrame:
+    """Of each list (``keys``), the pages (page, body) before the first one that is empty or lacking, as a reader takes them that asks for one after the other from 1."""
+    full = pages.withColumn("is_empty", F.coalesce(F.regexp_like(F.trim("body"), F.lit(r"^\[\s*\]$")), F.lit(True)))
+    order = Window.partitionBy(*keys).orderBy("page")
+    # A page counts while all before it are there and none of them is empty.
+    walked = full.withColumn("place", F.row_number().over(order)).withColumn("ended", F.max("is_empty").over(order))
+    return walked.where("page = place and not ended").select(*pages.columns)
+
+
 def developer(user: Column) -> Column:
     return F.struct(user["id"].cast("string").alias("accountId"), F.lit("").alias("email"), user["login"].alias("name"), user["avatar_url"].alias("avatar"))
 
@@ -74,7 +83,7 @@ def reviewers(comments: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def file_paths(files: DataFrame) -> DataFrame:
     """number and location, from responses (number, page, body); an empty page ends the list."""
-    return files.where(~is_missing(F.col("body"))).select("number", F.explode(F.from_json("body", FILES)).alias("f")).select("number", F.col("f.filename").alias("location"))
+    return until_empty(files, "number").where(~is_missing(F.col("body"))).select("number", F.explode(F.from_json("body", FILES)).alias("f")).select("number", F.col("f.filename").alias("location"))
 
 
 def without_files(files: DataFrame) -> DataFrame:

@@ -112,6 +112,18 @@ def github_pulls(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select(key.alias("number"), F.when(key % 7 == 0, F.substring(whole, 1, 30)).otherwise(whole).alias("body"))
 
 
+def github_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages (number, page, body) of an order's files, two lines each, and an empty one at the end; every fifth order has an empty one in the middle, every sixth lacks its second."""
+    parts = table(spark, folder, "part").select("p_partkey", location(F.col("p_brand"), F.col("p_type"), F.col("p_name")).alias("filename"))
+    lines = table(spark, folder, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    placed = lines.select(F.col("l_orderkey").alias("number"), "filename", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "filename")).alias("k"))
+    page = F.expr("cast((k + 1) div 2 as int)")
+    full = placed.groupBy("number", page.alias("page")).agg(F.to_json(F.sort_array(F.collect_list(F.struct("filename")))).alias("body"))
+    last = full.groupBy("number").agg((F.max("page") + 1).alias("page")).select("number", "page", F.lit("[]").alias("body"))
+    odd = F.when((F.col("number") % 5 == 0) & (F.col("page") == 2), F.lit("[ ]")).otherwise(F.col("body"))
+    return full.union(last).withColumn("body", odd).where("number % 6 <> 0 or page <> 2")
+
+
 def file_versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """file_commit, and file_content of every commit: a path has a line for each of its last twelve order lines up to then, in order of their numbers."""
     lines = _lines(spark, folder)

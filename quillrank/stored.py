@@ -23,7 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[context.applicationId]
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
@@ -38,7 +39,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    files, place = _file_system(spark, path)
+    files, place = file_system(spark, path)
     files.deleteOnExit(place)
     back = spark.read.schema(df.schema).parquet(path)
     back._quillrank_path = path
@@ -50,18 +51,18 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "_quillrank_path", None)
         if path:
-            files, place = _file_system(table.sparkSession, path)
+            files, place = file_system(table.sparkSession, path)
             files.delete(place, True)
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A name in the shared folder for files that tasks write themselves; they go when the session's JVM ends, or with ``remove``."""
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    files, place = _file_system(spark, path)
+    files, place = file_system(spark, path)
     files.deleteOnExit(place)
     return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    files, place = _file_system(spark, path)
+    files, place = file_system(spark, path)
     files.delete(place, True)

@@ -11,7 +11,8 @@ from small_data import DATA
 from quillrank.functions.times import gerrit_millis, github_millis
 from quillrank.operators.cleaning import cleaned, keep_reviewed, without_owner
 from quillrank.operators.rank_lines import initial_points
-from quillrank.plans.recommend import TABLES, Method, append, as_json, fresh, load, recommend, save, shown
+from quillrank.plans.recommend import TABLES, Method, append, as_json, delete_without_files, load, recommend, save, shown
+from quillrank.plans.store import Conflict, Store
 from quillrank.schema import DEVELOPER, FILE_PATH, PROJECT, PULL_REQUEST, REVIEW, History, Settings
 from quillrank.sources import exports, gerrit, git, github, star, star_git
 from quillrank.streaming.refresh import latest_counts, start_refresh
@@ -46,18 +47,72 @@ def test_appending_calls_people_by_their_stored_ids(spark, tmp_path):
     assert rows(now.file_paths) == rows(small(spark, prs=(1, 2, 3)).file_paths)
 
 
-def test_an_append_that_broke_off_is_made_up_for(spark, tmp_path):
+def everything(history: History) -> dict:
+    return {name: rows(getattr(history, name)) for name in TABLES}
+
+
+@pytest.mark.parametrize("breaks_at", range(len(TABLES) + 1))
+def test_what_breaks_off_at_any_step_changes_nothing(spark, tmp_path, monkeypatch, breaks_at):
     folder = str(tmp_path / "h")
     save(cleaned(small(spark)), folder)
-    stored = load(spark, folder)
-    added = fresh(stored, small(spark, prs=(3,)))
-    for name in ("projects", "developers", "reviews"):
-        getattr(added, name).write.mode("append").parquet(f"{folder}/{name}")
+    before, steps = everything(load(spark, folder)), []
+    write, commit = Store._write, Store._commit
+
+    def broken(what):
+        def step(*args):
+            if len(steps) == breaks_at:
+                raise OSError("gone")
+            steps.append(what)
+            return what(*args)
+
+        return step
+
+    monkeypatch.setattr(Store, "_write", broken(write))
+    monkeypatch.setattr(Store, "_commit", broken(commit))
+    changes = [lambda: append(load(spark, folder), small(spark, prs=(3,)), folder), lambda: save(small(spark, prs=(9,)), folder)]
+    if breaks_at < 2:
+        changes.append(lambda: Store(spark, folder).delete(small(spark).pull_requests))
+    for change in changes:
+        steps.clear()
+        with pytest.raises(OSError, match="gone"):
+            change()
+        assert everything(load(spark, folder)) == before
+    monkeypatch.undo()
     append(load(spark, folder), small(spark, prs=(3,)), folder)
     append(load(spark, folder), small(spark, prs=(3,)), folder)
-    now, expected = load(spark, folder), cleaned(small(spark, prs=(1, 2, 3)))
-    for name in TABLES:
-        assert rows(getattr(now, name)) == rows(getattr(expected, name)), name
+    assert everything(load(spark, folder)) == everything(cleaned(small(spark, prs=(1, 2, 3))))
+    Store(spark, folder).clean()
+    assert everything(load(spark, folder)) == everything(cleaned(small(spark, prs=(1, 2, 3))))
+    assert Store(spark, folder).versions() == [3] and not list((tmp_path / "h/versions").glob("_*"))
+
+
+def test_readers_keep_their_version(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "h"))
+    assert everything(store.load()) == {name: [] for name in TABLES}
+    assert store.replace(cleaned(small(spark))) == 1
+    old = store.load()
+    files = spark.createDataFrame([(1, '{"message": "Not Found"}'), (2, "[]")], "number long, body string")
+    delete_without_files(files, "other", store.folder)
+    assert rows(store.load().pull_requests.select("id")) == [(1,), (2,)]
+    delete_without_files(files, "p", store.folder)
+    now = store.load()
+    assert [rows(t.select(c).distinct()) for t, c in ((now.pull_requests, "id"), (now.reviews, "pr_id"), (now.file_paths, "pr_id"))] == [[(2,)]] * 3
+    assert rows(now.developers) == rows(old.developers)
+    store.append(cleaned(small(spark, prs=(1,))))
+    assert rows(store.load().pull_requests.select("id")) == [(1,), (2,)]
+    assert everything(old) == everything(cleaned(small(spark))) == everything(store.load(1))
+    with pytest.raises(Conflict):
+        store._commit([], 2)
+    assert github.after_files(old, "p", files).pull_requests.select("id").collect() == [(2,)]
+    store.replace(small(spark, prs=(7,)))
+    store.clean()
+    assert store.versions() == [5] and rows(store.load().pull_requests.select("id")) == [(7,)]
+
+
+def test_lists_end_at_their_first_empty_page(spark):
+    pages = [(1, 1, "[1]"), (1, 2, "[ ]"), (1, 3, "[3]"), (2, 1, "[1]"), (2, 3, "[3]"), (3, 2, "[2]"), (4, 1, None), (4, 2, "[2]"), (5, 1, "[1]"), (5, 2, "[2]"), (None, 1, "[1]")]
+    found = github.until_empty(spark.createDataFrame(pages, "number long, page int, body string"), "number")
+    assert rows(found.select("number", "page")) == sorted([(1, 1), (2, 1), (5, 1), (5, 2), (None, 1)], key=str)
 
 
 def test_exports_are_read_as_they_are_written(spark, tmp_path):
