@@ -137,7 +137,7 @@ def _filter_of(pairs: DataFrame, kinds: DataFrame) -> np.ndarray:
 
 
 def _segments(docs: DataFrame, order, pivots: np.ndarray, bits, n: int) -> DataFrame:
-    """a, fragment, segment for the documents that the filter lets through: their sets, cut along the global order."""
+    """a, fragment, segment for the documents that the filter lets through: their sets, cut along the global order, perhaps several times for a class."""
 
     def through(spot: np.ndarray, passes: np.ndarray) -> np.ndarray:
         return ((passes[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1).astype(bool)
@@ -167,8 +167,7 @@ def _segments(docs: DataFrame, order, pivots: np.ndarray, bits, n: int) -> DataF
                     names=["a", "fragment", "segment"],
                 )
 
-    rows = docs.mapInArrow(cut, "a long, fragment int, segment array<long>")
-    return rows.groupBy("a", "fragment").agg(F.first("segment").alias("segment"))
+    return docs.mapInArrow(cut, "a long, fragment int, segment array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, kinds: DataFrame, order, pivots: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -179,6 +178,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, kinds: DataFrame, order, pivots
     hot = stash(ends.groupBy("a").agg(F.count("*").alias("partners")).where(F.col("partners") > PARTNERS).select("a", F.lit(SALTS).alias("salts")), "join-hot")
     salts = F.coalesce("salts", F.lit(1))
     segments = _segments(docs, order, pivots, bits, n).join(hot, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    # Several documents may pass for one class. Grouped by cell, its segments lie as both joins want them and are shuffled once.
+    segments = segments.groupBy("a", "fragment", "salt").agg(F.first("segment").alias("segment"))
     left = segments.select(F.col("a").alias("l"), "fragment", F.col("salt").alias("l_salt"), F.col("segment").alias("l_segment"))
     right = segments.select(F.col("a").alias("r"), "fragment", F.col("salt").alias("r_salt"), F.col("segment").alias("r_segment"))
     cells = pairs
