@@ -464,21 +464,31 @@ def _class_names(prints: DataFrame, least: float) -> DataFrame:
     links = stash(_measured(anchors, firsts, least).where("near").select("l", "r"), "edit-links")
     parts = _hooked(firsts.select("node", F.col("node").alias("label")), links)
 
-    # What still meets across components, and again each node against the hub of another component that it meets most often.
-    rows = stash(_mixed(_banded(firsts.join(parts, "node").select("node", "label", "print"), 0, bands, samples)), "edit-open")
+    # What still meets across components; of each component in a bucket one member, another one in every bucket and turn, against the hub of another component that it meets most often.
+    everyone = stash(_mixed(_banded(firsts.join(parts, "node").select("node", "label", "print"), 0, bands, samples)), "edit-open")
+    rows = everyone
     for turn in range(1, ROUNDS + 1):
-        by_hash = F.struct(F.xxhash64(F.lit(turn), "node"), "node", "label")
-        led = rows.withColumn("hub", F.min(by_hash).over(Window.partitionBy("band"))).where("label <> hub.label")
+        by_hash = F.struct(F.xxhash64(F.lit(turn), "band", "node"), "node")
+        rows = stash(rows.groupBy("band", "label").agg(F.min(by_hash).alias("one")).select("band", "label", "one.node"), "edit-open")
+        if rows.isEmpty():
+            break
+        hub = F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "label")).over(Window.partitionBy("band"))
+        led = rows.withColumn("hub", hub).where("label <> hub.label")
         oftenest = led.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "hub")).alias("top"))
         tried = oftenest.select(F.least("top.hub", "node").alias("l"), F.greatest("top.hub", "node").alias("r"))
         found = stash(_measured(tried, firsts, least).where("near").select("l", "r"), "edit-links")
+        if found.isEmpty():
+            break
         links = links.union(found)
         parts = _hooked(parts, found)
-        rows = stash(_mixed(rows.select("band", "node").join(parts, "node")), "edit-open")
+        rows = _mixed(rows.select("band", "node").join(parts, "node"))
 
     whole = stash(components(links), "edit-parts")
     parts = stash(firsts.select("node").join(whole, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "edit-parts")
-    rows = stash(_mixed(rows.select("band", "node").join(parts, "node")), "edit-open")
+    open_bands = stash(_mixed(rows.select("band", "node").join(parts, "node")).select("band").distinct(), "edit-open")
+    if open_bands.isEmpty():
+        return _class_ids(prints, parts)
+    rows = stash(everyone.join(open_bands, "band", "left_semi").select("band", "node").join(parts, "node"), "edit-open")
 
     # Of a component that is still open: how far its members are from the node that names it.
     open_parts = parts.join(rows.select("label").distinct(), "label", "left_semi").where("node <> label")
@@ -498,18 +508,31 @@ def _class_names(prints: DataFrame, least: float) -> DataFrame:
         links = links.union(judged.where("near").select("l", "r"))
         # Distances obey the triangle inequality: two components can only be near in members that are nearer to each other than their names.
         could = judged.where(~F.col("near") & (F.col("l_radius") + F.col("r_radius") > 0) & (F.col("apart") - F.col("l_radius") - F.col("r_radius") <= share * F.greatest("l_heaviest", "r_heaviest")))
+        full = groups.where(F.col("n") > FULL).select("band").distinct()
+        if could.isEmpty():
+            if depth == DEPTH or full.isEmpty():
+                break
+            rows = _split(rows, full, firsts, depth)
+            continue
         fewer = F.col("l_members") <= F.col("r_members")
         p = could.select(F.when(fewer, F.col("l")).otherwise(F.col("r")).alias("small"), F.when(fewer, F.col("r")).otherwise(F.col("l")).alias("large"), F.col("apart").alias("between")).alias("p")
         u, v = rows.alias("u"), rows.alias("v")
         close = p.join(u, F.col("p.small") == F.col("u.label")).join(v, (F.col("u.band") == F.col("v.band")) & (F.col("p.large") == F.col("v.label")) & (F.col("between") - F.col("u.apart") - F.col("v.apart") <= share * F.greatest("u.weight", "v.weight")))
         members = _measured(close.select(F.least("u.node", "v.node").alias("l"), F.greatest("u.node", "v.node").alias("r")), firsts, least)
         links = links.union(stash(members.where("near").select("l", "r"), "edit-links"))
-        full = groups.where(F.col("n") > FULL).select("band").distinct()
         if depth == DEPTH or full.isEmpty():
             break
-        again = rows.join(full, "band", "left_semi").join(firsts.select("node", "print"), "node")
-        rows = stash(_mixed(_banded(again, 1_000_000 * depth, SPLITS, SPLIT_SAMPLES, within=True)), "edit-open")
-    parts = stash(components(links), "edit-parts")
+        rows = _split(rows, full, firsts, depth)
+    return _class_ids(prints, stash(components(links), "edit-parts"))
+
+
+def _split(rows: DataFrame, full: DataFrame, firsts: DataFrame, depth: int) -> DataFrame:
+    """The rows of full buckets, in several buckets each by further samples."""
+    again = rows.join(full, "band", "left_semi").join(firsts.select("node", "print"), "node")
+    return stash(_mixed(_banded(again, 1_000_000 * depth, SPLITS, SPLIT_SAMPLES, within=True)), "edit-open")
+
+
+def _class_ids(prints: DataFrame, parts: DataFrame) -> DataFrame:
     smallest = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     named = smallest.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
