@@ -95,7 +95,8 @@ def _universes(inside: History) -> DataFrame:
     paths = pulls.join(inside.file_paths, F.col("id") == F.col("pr_id"))
     out = _counted(pulls).withColumnRenamed("ns", "n_pull_requests")
     for rows, key, name in ((seen, "reviewer_id", "n_reviewers"), (pulls, "owner_id", "owner_universe"), (paths, "location", "path_universe"), (pulls, "sub_project", "sub_project_universe")):
-        most = rows.where(F.col(key).isNotNull()).groupBy("project", key).agg(F.max("n_models").alias("n_models"))
+        # Null is a value like others, so no reviewer can have seen all that there are.
+        most = rows.groupBy("project", key).agg(F.max("n_models").alias("n_models"))
         out = out.join(_counted(most).withColumnRenamed("ns", name), "project", "left")
     unknown = lambda name: (F.coalesce(F.get(name, F.col("fold")), F.lit(0)) + 1).alias(name)
     folds = out.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).where("n_reviewers[fold] > 0")

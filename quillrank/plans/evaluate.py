@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.operators.postprocess import demote_inactive
+from quillrank.operators.path_blocks import rank_paths_in_blocks
 from quillrank.operators.rank_nb import fit_nb, fold_cutoffs, fold_targets, rank_nb
-from quillrank.operators.rank_paths import rank_paths
 from quillrank.operators.relational import newest_first, sized
 from quillrank.schema import History
 
@@ -37,14 +36,12 @@ def metrics(hits: DataFrame, tops: tuple[int, ...] = TOPS) -> DataFrame:
 
 def evaluate(history: History, variant: str, months: int = 12) -> DataFrame:
     ranker, use_sub_project, demote = VARIANTS[variant]
+    # Of each target, only the places of those who did review count.
+    asked, window = history.reviews.select(F.col("pr_id").alias("target_id"), "reviewer_id"), months if demote else None
     if ranker == "paths":
         targets = path_targets(history)
-        ranking = rank_paths(targets, history, use_sub_project)
-        if demote:
-            ranking = demote_inactive(ranking, history, months)
+        ranking = rank_paths_in_blocks(targets, history, use_sub_project, window, asked=asked)
     else:
         targets = fold_targets(history)
-        # Of each target, only the places of those who did review count.
-        asked = history.reviews.select(F.col("pr_id").alias("target_id"), "reviewer_id")
-        ranking = rank_nb(fit_nb(history, fold_cutoffs(history), use_sub_project), targets, history, months if demote else None, asked=asked)
+        ranking = rank_nb(fit_nb(history, fold_cutoffs(history), use_sub_project), targets, history, window, asked=asked)
     return metrics(first_hits(ranking, targets, history))

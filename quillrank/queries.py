@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.functions import paths as P
-from quillrank.operators import cleaning, rank_lines, rank_nb, rank_paths, relational
+from quillrank.operators import cleaning, rank_nb, rank_paths, relational
 from quillrank.operators.borda import points
 from quillrank.operators.postprocess import demote_inactive, top, with_activity
 from quillrank.plans import evaluate as E
 from quillrank.schema import History
-from quillrank.sources import exports, gerrit, git, github, star
+from quillrank.sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
 MONTHS, TOP = 12, 5
@@ -149,10 +149,10 @@ def _known_paths(h: History) -> DataFrame:
 
 
 def _alike(technique: str, h: History) -> DataFrame:
-    """Pairs of all paths that end in the same folder's file name or begin in the same folder: they share their last or first component."""
+    """For each path, how many others have something in common with it by a technique, and how much in all; they share a component."""
     known = _known_paths(h)
     pairs = rank_paths.path_pairs(known, known)
-    return pairs.select("f", "g", technique).where(f"{technique} > 0").select("f", F.round(F.lit(1) * F.col(technique), 9).alias(technique)).groupBy("f").agg(F.count("*").alias("n_alike"), F.round(F.sum(technique), 6).alias("total"))
+    return pairs.select("f", "g", technique).where(f"{technique} > 0").select("f", F.round(technique, 9).alias(technique)).groupBy("f").agg(F.count("*").alias("n_alike"), F.round(F.sum(technique), 6).alias("total"))
 
 
 _PAIRS = "known AS (SELECT DISTINCT location AS f, string_split(location, '/') AS a FROM path), "

@@ -9,8 +9,11 @@ from dataclasses import replace
 import pytest
 from small_data import DATA
 
+from quillrank.operators import path_blocks
+from quillrank.operators import rank_nb as rank_nb_module
+from quillrank.operators.path_blocks import rank_paths_in_blocks
 from quillrank.operators.postprocess import demote_inactive, with_activity
-from quillrank.operators.rank_nb import fit_nb, fold_cutoffs, fold_targets, rank_nb
+from quillrank.operators.rank_nb import beliefs, fit_nb, fold_cutoffs, fold_targets, rank_nb
 from quillrank.operators.rank_paths import rank_paths
 from quillrank.operators.relational import reviewed_between
 from quillrank.plans.evaluate import VARIANTS, evaluate, path_targets
@@ -89,6 +92,46 @@ def test_paths_as_a_plain_ranking(use_sub_project, spark):
         assert dict(found) == plain_ranking(history, use_sub_project)
 
 
+@pytest.mark.parametrize(("use_sub_project", "block"), [(False, 7), (True, 5), (True, 256)])
+def test_paths_in_blocks_as_a_plain_ranking(use_sub_project, block, spark, monkeypatch):
+    """Sums before a block and what happens inside it, where equal times and pull requests without paths or reviewers lie at its borders."""
+    monkeypatch.setattr(path_blocks, "BLOCK", block)
+    for seed in (1, 2):
+        history = made(spark, seed, 40)
+        targets = history.pull_requests.selectExpr("id as target_id")
+        ranked = lambda rows: {(r.target_id, r.reviewer_id): (r.score, r.rank) for r in rows.collect()}
+        expected = {(t, r): (points, k) for t, found in plain_ranking(history, use_sub_project).items() for k, (r, points) in enumerate(found, 1)}
+        assert ranked(rank_paths_in_blocks(targets, history, use_sub_project)) == expected
+        demoted = ranked(demote_inactive(spark.createDataFrame([(*key, float(s), k) for key, (s, k) in expected.items()], path_blocks.RANKING), history))
+        assert ranked(rank_paths_in_blocks(targets, history, use_sub_project, 12)) == demoted
+        assert ranked(rank_paths_in_blocks(targets, history, use_sub_project, 12, best=2)) == {key: v for key, v in demoted.items() if v[1] <= 2}
+        asked = spark.createDataFrame([(t, 3) for t in range(40)], "target_id long, reviewer_id long")
+        assert ranked(rank_paths_in_blocks(targets, history, use_sub_project, 12, asked=asked)) == {key: v for key, v in demoted.items() if key[1] == 3}
+
+
+@pytest.mark.parametrize("use_sub_project", [False, True])
+def test_bayes_in_blocks(use_sub_project, spark, monkeypatch):
+    """Ranks by beliefs of single rows, and demotion, the best and those asked for as from the whole ranking."""
+    monkeypatch.setattr(rank_nb_module, "BLOCK", 3)
+    history = made(spark, 4, 90)
+    model, targets = fit_nb(history, fold_cutoffs(history), use_sub_project), fold_targets(history)
+    ballots = defaultdict(list)
+    for r in beliefs(model, targets, history).collect():
+        ballots[r.target_id, r.location, r.n_copies].append((-r.belief, r.reviewer_id))
+    points = defaultdict(lambda: defaultdict(int))
+    for (target, _, copies), ballot in ballots.items():
+        for place, (_, who) in enumerate(sorted(ballot)):
+            points[target][who] += (len(ballot) - place) * copies
+    ranked = lambda rows: {(r.target_id, r.reviewer_id): (r.score, r.rank) for r in rows.collect()}
+    expected = {(t, r): (s, k) for t, found in points.items() for k, (r, s) in enumerate(sorted(found.items(), key=lambda x: (-x[1], x[0])), 1)}
+    assert expected and ranked(rank_nb(model, targets, history)) == expected
+    demoted = ranked(demote_inactive(spark.createDataFrame([(*key, float(s), k) for key, (s, k) in expected.items()], path_blocks.RANKING), history))
+    assert ranked(rank_nb(model, targets, history, 12)) == demoted
+    assert ranked(rank_nb(model, targets, history, 12, best=2)) == {key: v for key, v in demoted.items() if v[1] <= 2}
+    asked = spark.createDataFrame([(t, r) for t in range(90) for r in (1, 99)], "target_id long, reviewer_id long")
+    assert ranked(rank_nb(model, targets, history, 12, asked=asked)) == {key: v for key, v in demoted.items() if key[1] == 1}
+
+
 def test_activity_is_open_at_both_ends(spark):
     history = made(spark, 3, 60)
     pulls = {p.id: p for p in history.pull_requests.collect()}
