@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,9 +45,43 @@ def written(df: DataFrame, label: str) -> DataFrame:
     files.deleteOnExit(place)
     back = spark.read.schema(df.schema).parquet(path)
     back._quillrank_path = path
+    if _scopes:
+        _scopes[-1].append(back)
     return back
 
 
+class Kept:
+    """The tables of a scope that outlive it."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, table: DataFrame) -> DataFrame:
+        self.tables.append(table)
+        return table
+
+
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[Kept]:
+    """All tables that are written inside are deleted at the end, but for those that are kept; what is made of them must have been written by then."""
+    made, kept = [], Kept()
+    _scopes.append(made)
+    try:
+        yield kept
+    finally:
+        _scopes.remove(made)
+        paths = {t._quillrank_path for t in kept.tables if hasattr(t, "_quillrank_path")}
+        for table in made:
+            if table._quillrank_path in paths:
+                if _scopes:
+                    _scopes[-1].append(table)
+            else:
+                discard(table)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made and nothing will read any more."""
     for table in tables:
