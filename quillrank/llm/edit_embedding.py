@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillrank.llm import kernels as K
 from quillrank.llm.components import components
-from quillrank.llm.tables import discard, stash
+from quillrank.llm.tables import stash, temporary
 
 #: Kinds of characters the walk tells apart, steps after which it repeats, and its longest stay at a character.
 KINDS, PERIOD, LONGEST = 64, 1 << 16, 255
@@ -290,10 +290,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    prints = stash(docs.mapInArrow(_own_prints, PRINTS), "edit-prints")
-    named = prints.select("doc_id", "node").join(_class_names(prints, LIKENESS), "node").where("class_id is not null and not doc_id <=> class_id").distinct()
-    named = stash(named, "edit-classes")
-    discard(prints)
+    with temporary() as keep:
+        prints = stash(docs.mapInArrow(_own_prints, PRINTS), "edit-prints")
+        named = prints.select("doc_id", "node").join(_class_names(prints, LIKENESS), "node").where("class_id is not null and not doc_id <=> class_id").distinct()
+        named = keep(stash(named, "edit-classes"))
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     parts = PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     quantiles = F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts)

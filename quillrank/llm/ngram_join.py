@@ -22,14 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm import kernels as K
 from quillrank.llm.components import components
 from quillrank.llm.sketches import SCHEMA as SKETCH
 from quillrank.llm.sketches import merged, pieces
-from quillrank.llm.tables import free_name, quoted, stash
+from quillrank.llm.tables import free_name, quoted, stash, temporary
 
 #: Counters of the sketch that gives the global order.
 ORDER_WIDTH = 1 << 20
@@ -222,28 +222,28 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = _order(docs, n)
     order, pivots = context.broadcast(counts), _pivots(counts)
-    sets = stash(_classes(docs, order, n, percent), "join-sets")
-
-    classes = sets.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("prefix").alias("prefix"), F.first("central").alias("central"))
-    kinds = stash(sets.where("n_shingles > 0").groupBy("a", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("central").alias("central")), "join-classes")
-    postings = classes.select("a", F.posexplode("prefix").alias("place", "shingle"))
-    repeated = postings.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
-    met = stash(postings.join(repeated, "shingle").join(kinds.select("a", "n_shingles", "central"), "a"), "join-postings")
-
-    # Each list against its most central class.
-    hubs = met.groupBy("shingle").agg(F.max(F.struct("central", "a", "n_shingles", "place")).alias("hub")).select("shingle", "hub.*")
-    stars = stash(_pairs(met, hubs, F.col("x.a") != F.col("y.a"), percent), "join-stars")
-    links = stash(_verified(stars, docs, kinds, order, pivots, n, percent), "join-links")
-    parts = stash(components(links), "join-parts")
-
-    # What is left: pairs of different components that still meet in a list.
-    marked = met.join(parts.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    mixed = marked.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
-    open_lists = stash(marked.join(mixed, "shingle").select("shingle", "a", "n_shingles", "place", "label"), "join-open")
-    cross = _pairs(open_lists, open_lists, (F.col("x.a") < F.col("y.a")) & (F.col("x.label") != F.col("y.label")), percent)
-    cross = stash(cross.join(stars.select("l", "r"), ["l", "r"], "left_anti"), "join-cross")
-    more = stash(_verified(cross, docs, kinds, order, pivots, n, percent), "join-links")
-    parts = stash(components(links.union(more)), "join-parts")
+    with temporary() as keep:
+        sets = keep(stash(_classes(docs, order, n, percent), "join-sets"))
+        classes = sets.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("prefix").alias("prefix"), F.first("central").alias("central"))
+        kinds = keep(stash(sets.where("n_shingles > 0").groupBy("a", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("central").alias("central")), "join-classes"))
+        postings = classes.select("a", F.posexplode("prefix").alias("place", "shingle"))
+        repeated = postings.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+        met = stash(postings.join(repeated, "shingle").join(kinds.select("a", "n_shingles", "central"), "a"), "join-postings")
+
+        # Each list against its most central class.
+        hubs = met.groupBy("shingle").agg(F.max(F.struct("central", "a", "n_shingles", "place")).alias("hub")).select("shingle", "hub.*")
+        stars = stash(_pairs(met, hubs, F.col("x.a") != F.col("y.a"), percent), "join-stars")
+        links = stash(_verified(stars, docs, kinds, order, pivots, n, percent), "join-links")
+        parts = stash(components(links), "join-parts")
+
+        # What is left: pairs of different components that still meet in a list.
+        marked = met.join(parts.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+        mixed = marked.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+        open_lists = stash(marked.join(mixed, "shingle").select("shingle", "a", "n_shingles", "place", "label"), "join-open")
+        cross = _pairs(open_lists, open_lists, (F.col("x.a") < F.col("y.a")) & (F.col("x.label") != F.col("y.label")), percent)
+        cross = stash(cross.join(stars.select("l", "r"), ["l", "r"], "left_anti"), "join-cross")
+        more = stash(_verified(cross, docs, kinds, order, pivots, n, percent), "join-links")
+        parts = keep(stash(components(links.union(more)), "join-parts"))
 
     labelled = kinds.join(parts.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("label", "a").alias("label"), "first_id")
     names = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
@@ -267,8 +267,10 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     kept = docs.withColumn(mark, key).join(firsts.withColumnRenamed("doc_id", mark).hint("shuffle_hash"), mark, "left_semi")
     repeated = stash(docs.groupBy(key.alias(mark)).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > 1).where(F.col(mark).isNotNull()).select(mark), "join-repeated")
     if not repeated.isEmpty():
-        again = Window.partitionBy(mark).orderBy("text")
-        one = kept.join(repeated, mark, "left_semi").withColumn(rank, F.row_number().over(again)).where(F.col(rank) == 1).drop(rank)
+        # Tasks keep the first text of each id that they meet, so however many rows share one, few are shuffled.
+        first_text = F.struct(F.col("text").isNotNull().alias("there"), F.coalesce("text", F.lit("")).alias("text"))
+        again = kept.join(repeated, mark, "left_semi")
+        one = again.groupBy(mark).agg(F.min_by(F.struct(*quoted(*again.columns)), first_text).alias(rank)).select(f"`{rank}`.*")
         kept = kept.join(repeated, mark, "left_anti").unionByName(one)
     columns = quoted(*docs.columns)
     return kept.select(*columns).union(docs.where(key.isNull()).select(*columns))

@@ -94,19 +94,19 @@ def sentences(block: K.Block) -> Sentences:
     return Sentences(start, end, doc, np.searchsorted(doc, np.arange(n_docs + 1)), size, name)
 
 
-def runs(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(s: Sentences, run_words: int = RUN_WORDS, alone_words: int = ALONE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first sentence and number of sentences of every run that counts, in order of document and position."""
     n = len(s.doc)
     done = np.concatenate([[0], np.cumsum(s.words)])
     here = np.arange(n)
-    stop = np.maximum(np.searchsorted(done, done[:-1] + RUN_WORDS, "left"), here + 2)
-    start = np.minimum(np.searchsorted(done, done[1:] - RUN_WORDS, "right") - 1, here - 1)
+    stop = np.maximum(np.searchsorted(done, done[:-1] + run_words, "left"), here + 2)
+    start = np.minimum(np.searchsorted(done, done[1:] - run_words, "right") - 1, here - 1)
     on, up = stop <= s.of_doc[s.doc + 1], start >= s.of_doc[s.doc]
     # Up to a sentence only where no run from another one on ends.
     ended = np.zeros(n + 1, bool)
     ended[stop[on]] = True
     up &= ~ended[1:]
-    alone = np.flatnonzero(s.words >= ALONE_WORDS)
+    alone = np.flatnonzero(s.words >= alone_words)
     span = np.unique(np.concatenate([here[on] * (n + 1) + stop[on], start[up] * (n + 1) + here[up] + 1, alone * (n + 1) + alone + 1]))
     at, stop = span // (n + 1), span % (n + 1)
     # A polynomial of the sentences' names; its powers are taken back to those of the run's start.
@@ -128,7 +128,7 @@ def _later(doc: np.ndarray, name: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spans(docs: DataFrame) -> DataFrame:
+def _spans(docs: DataFrame, least: tuple[int, int]) -> DataFrame:
     """run, doc_id: every distinct run of each document."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def _spans(docs: DataFrame) -> DataFrame:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for block in K.blocks(batch.column("text")):
                 s = sentences(block)
-                name, at, _ = runs(s)
+                name, at, _ = runs(s, *least)
                 doc = s.doc[at]
                 first = ~_later(doc, name)
                 yield pa.RecordBatch.from_arrays([pa.array(name[first].view(np.int64)), pa.array(ids[block.first + doc[first]], pa.int64())], names=["run", "doc_id"])
@@ -144,14 +144,14 @@ def _spans(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(hashes, "run long, doc_id long")
 
 
-def _without(batches: Iterator[pa.RecordBatch], column: str, known: str, kept: list[str], counts: bool) -> Iterator[pa.RecordBatch]:
+def _without(batches: Iterator[pa.RecordBatch], column: str, known: str, kept: list[str], counts: bool, least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = batch.column(known).fill_null([])
         mark_ends, mark_names = marks.offsets.to_numpy(), marks.values.to_numpy(zero_copy_only=False).view(K.U)
         texts, n_sentences, n_removed = [], [], []
         for block in K.blocks(batch.column(column)):
             s = sentences(block)
-            name, at, size = runs(s)
+            name, at, size = runs(s, *least)
             doc = s.doc[at]
             n_docs = block.last - block.first
             own = slice(mark_ends[block.first], mark_ends[block.last])
@@ -184,14 +184,14 @@ def _without(batches: Iterator[pa.RecordBatch], column: str, known: str, kept: l
         yield pa.RecordBatch.from_arrays([*columns, *added], names=[*kept, *COUNTS[: len(added)]])
 
 
-def dedup_spans(docs: DataFrame, counts: bool = True) -> DataFrame:
+def dedup_spans(docs: DataFrame, counts: bool = True, run_words: int = RUN_WORDS, alone_words: int = ALONE_WORDS) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with repeated spans taken out of text; with ``counts``, n_sentences and n_removed (long) are added.
 
     Words are compared in lower case (A-Z), white space and breaks between them
     don't count. Texts are read whole, however long. A text that loses nothing
     stays as it is, byte for byte; one that loses every sentence becomes empty;
-    null stays null. Repeats of fewer than RUN_WORDS words, or of one sentence
-    under ALONE_WORDS, stay, and so does what of a repeated passage shares a
+    null stays null. Repeats of fewer than ``run_words`` words, or of one sentence
+    under ``alone_words``, stay, and so does what of a repeated passage shares a
     sentence with other text. Rows with a null doc_id come last in order. Rows
     that share a doc_id count as one document: what one of them has first, the
     others keep too, so exact repeated rows stay alike. An empty table gives no
@@ -202,11 +202,11 @@ def dedup_spans(docs: DataFrame, counts: bool = True) -> DataFrame:
     """
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).bitwiseOR(F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(NO_ID - 1))))
     place, marks = free_name("place", docs), free_name("repeats", docs)
-    spans = _spans(docs.select(order.alias("doc_id"), F.col("text").cast("string").alias("text")))
+    spans = _spans(docs.select(order.alias("doc_id"), F.col("text").cast("string").alias("text")), (run_words, alone_words))
     first = spans.groupBy("run").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("run", "first_id")
     repeats = spans.join(first, "run").where("doc_id > first_id").groupBy("doc_id").agg(F.collect_set("run").alias(marks)).withColumnRenamed("doc_id", place)
     kept = [c for c in docs.columns if not counts or c not in COUNTS]
     marked = docs.select(*quoted(*kept)).withColumn("text", F.col("text").cast("string")).withColumn(place, order).join(repeats, place, "left").select(*quoted(*kept), marks)
     types = {f.name: f.dataType.simpleString() for f in marked.schema}
     schema = ", ".join([f"{quoted(c)[0]} {types[c]}" for c in kept] + [f"{c} long" for c in COUNTS if counts])
-    return marked.mapInArrow(lambda batches: _without(batches, "text", marks, kept, counts), schema)
+    return marked.mapInArrow(lambda batches: _without(batches, "text", marks, kept, counts, (run_words, alone_words)), schema)

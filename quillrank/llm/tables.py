@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
-from quillrank.stored import discard, shared_folder, written
+from quillrank.stored import discard, shared_folder, temporary, written
 
-__all__ = ["bounded_batches", "discard", "free_name", "quoted", "read", "shared_folder", "stash"]
+__all__ = ["bounded_batches", "discard", "free_name", "opened", "quoted", "read", "shared_folder", "stash", "temporary"]
 
 #: Most bytes of an Arrow batch between Spark and Python, so that long texts don't add up in a worker.
 BATCH_BYTES = 4 << 20
@@ -39,3 +41,10 @@ def free_name(name: str, *tables: DataFrame) -> str:
 def quoted(*names: str) -> list[str]:
     """Column names, whatever characters they have."""
     return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
+def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path in the shared folder, and the path there, for files that tasks read or write themselves."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    return pa.fs.FileSystem.from_uri(uri)

@@ -18,7 +18,9 @@ are the evidence.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,12 +31,11 @@ from pyspark.sql import functions as F
 from quillrank.llm import kernels as K
 from quillrank.llm.sketches import SCHEMA as COUNTERS
 from quillrank.llm.sketches import merged, pieces
-from quillrank.llm.tables import stash
+from quillrank.llm.tables import opened, stash
+from quillrank.stored import fresh_folder
 
 #: Most labelled examples of each label, those of the lowest hashes of doc_id.
-MOST_TOXIC, MOST_CLEAN = 1000, 2000
-#: Longer texts (in bytes) are no examples, and those of one label have so many terms at most; both bound the index.
-LONGEST_EXAMPLE, MOST_TERMS = 1 << 16, 2_000_000
+MOST_TOXIC, MOST_CLEAN = 1000, 3000
 #: Bytes of the beginnings that count beside whole words.
 BEGINNING = 8
 NEIGHBOURS, BLOCK, EVIDENCE = 12, 64, 3
@@ -121,6 +122,16 @@ def arranged(doc: np.ndarray, name: np.ndarray, weight: np.ndarray, n: int) -> n
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """What may be an example: so many of label 0 and of label 1, those of the lowest hashes of doc_id; texts of so many bytes at most, and of one label so many terms in all. They bound the index."""
+
+    clean: int = MOST_CLEAN
+    toxic: int = MOST_TOXIC
+    longest: int = 1 << 16
+    terms: int = 2_000_000
+
+
 @dataclass
 class Index:
     """Distinct labelled vectors in blocks: by term its row or, with the largest weight there and the postings, its blocks."""
@@ -246,16 +257,16 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([ids, label, pa.array(np.bincount(doc, minlength=n)), K.lists(name.view(np.int64), doc, n), K.lists(times.astype(np.int32), doc, n)], names=["doc_id", "label", "n_terms", "terms", "times"])
 
 
-def _examples(docs: DataFrame, labels: DataFrame, most: tuple[int, int]) -> tuple[pa.Table, tuple[float, float]] | None:
+def _examples(docs: DataFrame, labels: DataFrame, bounds: Bounds) -> tuple[DataFrame, tuple[float, float]] | None:
     """doc_id, label, terms and times of the examples, and how many labelled documents one of each label stands for; None where a label is missing."""
     spark, known = docs.sparkSession, _known(labels)
     totals = dict(known.groupBy("label").count().collect())
     if len(totals) < 2:
         return None
-    lowest = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[k]).collect() for k in (0, 1)]
+    lowest = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect() for k, most in enumerate((bounds.clean, bounds.toxic))]
     sample = spark.createDataFrame([tuple(r) for part in lowest for r in part], "doc_id long, label int").distinct()
     # The sample is bounded by its two parameters, and so are its texts.
-    short = docs.join(F.broadcast(sample), "doc_id").where(F.octet_length("text") <= LONGEST_EXAMPLE)
+    short = docs.join(F.broadcast(sample), "doc_id").where(F.octet_length("text") <= bounds.longest)
     one = short.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     found = stash(one.mapInArrow(_example_terms, "doc_id long, label int, n_terms long, terms array<long>, times array<int>"), "toxicity-examples")
     sizes = {(r.doc_id, r.label): r.n_terms for r in found.where("n_terms > 0").select("doc_id", "label", "n_terms").collect()}
@@ -264,22 +275,53 @@ def _examples(docs: DataFrame, labels: DataFrame, most: tuple[int, int]) -> tupl
         total = 0
         for key in dict.fromkeys(map(tuple, part)):
             total += sizes.get(key, 0)
-            if key in sizes and total <= MOST_TERMS:
+            if key in sizes and total <= bounds.terms:
                 chosen.append(key)
     counts = [sum(label == k for _, label in chosen) for k in (0, 1)]
     if not all(counts):
         return None
-    rows = found.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, label int")), ["doc_id", "label"]).orderBy("doc_id", "label").select("doc_id", "label", "terms", "times").toArrow()
+    rows = found.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, label int")), ["doc_id", "label"]).select("doc_id", "label", "terms", "times")
     return rows, (totals[0] / counts[0], totals[1] / counts[1])
 
 
-def document_frequencies(docs: DataFrame, names: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term is, and the number of documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(names)
+def _in_one_task(rows: DataFrame, make: Callable[[pa.Table], object], folder: str) -> str:
+    """What ``make`` makes of all the rows, few by the bounds, in order of doc_id and label; a file in the shared folder, so it never passes the driver."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = make(pa.Table.from_batches(list(batches)))
+        system, root = opened(folder)
+        system.create_dir(root, recursive=True)
+        name = f"{uuid.uuid4().hex}.pickle"
+        with system.open_output_stream(f"{root}/{name}", compression=None) as out:
+            pickle.dump(made, out, protocol=5)
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["file"])
+
+    return rows.repartition(1).sortWithinPartitions("doc_id", "label").mapInArrow(work, "file string").first().file
+
+
+_last_read: dict[str, object] = {}
+
+
+def read_made(file: str):
+    """What a file holds; a worker keeps the one that it read last."""
+    if file not in _last_read:
+        system, path = opened(file)
+        _last_read.clear()
+        with system.open_input_stream(path, compression=None) as source:
+            _last_read[file] = pickle.loads(source.read())  # noqa: S301  written by the task above
+    return _last_read[file]
+
+
+def _column(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).combine_chunks().flatten().to_numpy()
+
+
+def document_frequencies(docs: DataFrame, names: str) -> np.ndarray:
+    """In how many of all documents each term of the file ``names`` is, and, last, the number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
-        total = np.zeros(len(shared.value) + 1, np.int32)
+        vocabulary = Vocabulary(read_made(names))
+        total = np.zeros(len(vocabulary.names) + 1, np.int32)
         for batch in batches:
             total[-1] += batch.num_rows
             for block in K.blocks(batch.column("text")):
@@ -287,28 +329,35 @@ def document_frequencies(docs: DataFrame, names: np.ndarray) -> tuple[np.ndarray
                 total[:-1] += np.bincount(term, minlength=len(total) - 1).astype(np.int32)
         yield pieces(total)
 
-    total = merged(docs.select("text").mapInArrow(count, COUNTERS), len(names) + 1, np.int32, np.int64, np.add)
-    return total[:-1], int(total[-1])
+    n = docs.sparkSession.createDataFrame([(names,)], "file string").mapInArrow(_length, "n long").first().n
+    return merged(docs.select("text").mapInArrow(count, COUNTERS), n + 1, np.int32, np.int64, np.add)
+
+
+def _length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([len(read_made(f)) for f in batch.column(0).to_pylist()], pa.int64())], names=["n"])
 
 
-def fit_examples(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (MOST_CLEAN, MOST_TOXIC)) -> tuple[np.ndarray, Index] | None:
-    """The vocabulary and the index; None where one of the labels is missing. ``most``: examples of label 0 and of label 1."""
+def fit_examples(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> str | None:
+    """The file that holds the vocabulary and the index, which a task makes; None where one of the labels is missing."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _examples(docs, labels, most)
+    found = _examples(docs, labels, bounds)
     if found is None:
         return None
     rows, stands = found
-    flat = lambda c: rows.column(c).combine_chunks().flatten().to_numpy()
-    label, doc_id = rows.column("label").to_numpy(), rows.column("doc_id").to_numpy()
-    doc = np.repeat(np.arange(len(rows)), np.diff(rows.column("terms").combine_chunks().offsets.to_numpy()))
-    names, term = np.unique(flat("terms").view(K.U), return_inverse=True)
-    times = flat("times").copy()
-    del rows, found
-    pa.default_memory_pool().release_unused()
-    with_term = [np.bincount(term, label[doc] == k, len(names)) * stands[k] for k in (0, 1)]
-    df, n_docs = document_frequencies(docs, names)
-    weight = np.log(1 + n_docs / np.maximum(df, 1)) * np.log2(2 + with_term[1] / np.maximum(1, with_term[0]))
-    return names, build_index(doc, term, times, doc_id, label, weight, stands, names)
+    folder = fresh_folder(docs.sparkSession, "toxicity-index")
+    df = document_frequencies(docs, _in_one_task(rows, lambda found: np.unique(_column(found, "terms").view(K.U)), folder))
+    shared = docs.sparkSession.sparkContext.broadcast(df.astype(np.int32))
+
+    def build(found: pa.Table) -> tuple[np.ndarray, Index]:
+        label, doc_id = found.column("label").to_numpy(), found.column("doc_id").to_numpy()
+        doc = np.repeat(np.arange(len(found)), np.diff(found.column("terms").combine_chunks().offsets.to_numpy()))
+        names, term = np.unique(_column(found, "terms").view(K.U), return_inverse=True)
+        with_term = [np.bincount(term, label[doc] == k, len(names)) * stands[k] for k in (0, 1)]
+        weight = np.log(1 + shared.value[-1] / np.maximum(shared.value[:-1], 1)) * np.log2(2 + with_term[1] / np.maximum(1, with_term[0]))
+        return names, build_index(doc, term, _column(found, "times"), doc_id, label, weight, stands, names)
+
+    return _in_one_task(rows, build, folder)
 
 
 def _judged(texts: pa.Array, vocabulary: Vocabulary, index: Index) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -328,13 +377,12 @@ def _judged(texts: pa.Array, vocabulary: Vocabulary, index: Index) -> Iterator[t
             first = last
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (MOST_CLEAN, MOST_TOXIC)) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text), as ``labels`` (doc_id, label: 1 is toxic) mark it.
 
     Returns doc_id, score (calibrated, 0 to 1) and evidence, the nearest
     examples (doc_id, toxic, cosine). Texts are read whole, however long; only
-    examples are bounded (``most`` of label 0 and of label 1, LONGEST_EXAMPLE
-    bytes, MOST_TERMS terms). Null and empty texts, and those that share no
+    examples are bounded (``Bounds``). Null and empty texts, and those that share no
     term with an example, score as the share of label 1 and have no evidence;
     rows with a null doc_id are scored; repeated rows score alike; of rows that
     share a labelled doc_id the text that comes first is the example; between
@@ -342,13 +390,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (
     both kinds every score is 0 and has no evidence; an empty table gives no
     rows; other columns are ignored.
     """
-    found = fit_examples(docs, labels, most)
+    found = fit_examples(docs, labels, bounds)
     if found is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(None).cast("array<struct<doc_id:bigint,toxic:int,cosine:double>>").alias("evidence"))
-    shared = docs.sparkSession.sparkContext.broadcast(found)
-
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, index = shared.value
+        names, index = read_made(found)
         vocabulary = Vocabulary(names)
         for batch in batches:
             at = 0
@@ -364,7 +410,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (
     return rows.mapInArrow(judge, "doc_id long, score double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5, bounds: Bounds = Bounds()) -> DataFrame:
     """The rows of ``docs`` that score under ``limit``, with all their columns, whatever their names.
 
     Texts are judged where they lie and not shuffled. Null and empty texts
@@ -372,13 +418,11 @@ def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> Dat
     repeated rows stay or go together; without labels of both kinds all rows
     stay; an empty table gives no rows.
     """
-    found = fit_examples(docs, labels)
+    found = fit_examples(docs, labels, bounds)
     if found is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(found)
-
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, index = shared.value
+        names, index = read_made(found)
         vocabulary = Vocabulary(names)
         for batch in batches:
             at = 0

@@ -22,11 +22,11 @@ from operator import itemgetter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-import pyarrow.fs
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.llm.tables import bounded_batches, discard, stash
+from quillrank.llm.tables import bounded_batches, discard, opened, stash
 from quillrank.stored import fresh_folder, remove
 
 #: An archive is closed when it has so many bytes.
@@ -48,13 +48,6 @@ NO_ID = -(1 << 63)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system of a path in the shared folder, and the path there."""
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri.removeprefix("file:")
-    return pa.fs.FileSystem.from_uri(uri)
-
-
 def url_key(url: str | None) -> str:
     """The host from its last label on, then path and query: all pages of a site stand together. Without a host, the URL as it is."""
     try:

@@ -142,7 +142,7 @@ def plain_pieces(w, t):
     return [tuple(x) for x in out]
 
 
-def plain_dedup(rows):
+def plain_dedup(rows, run_words=RUN_WORDS, alone_words=ALONE_WORDS):
     seen, out = set(), {}
     for doc_id, text in sorted(rows, key=lambda r: r[0]):
         if text is None:
@@ -152,11 +152,11 @@ def plain_dedup(rows):
         low = [tuple(lowered(" ".join(w))) for w, _ in parts]
         gone = set()
         n = len(low)
-        enough = lambda i, j: j - i >= 2 and sum(map(len, low[i:j])) >= RUN_WORDS
+        enough = lambda i, j: j - i >= 2 and sum(map(len, low[i:j])) >= run_words
         runs = {(i, j) for i in range(n) for j in [next((j for j in range(i + 2, n + 1) if enough(i, j)), None)] if j}
         ends = {j for _, j in runs}
         runs |= {(i, j) for j in range(1, n + 1) if j not in ends for i in [next((i for i in range(j - 2, -1, -1) if enough(i, j)), None)] if i is not None}
-        runs |= {(i, i + 1) for i in range(n) if len(low[i]) >= ALONE_WORDS}
+        runs |= {(i, i + 1) for i in range(n) if len(low[i]) >= alone_words}
         for i, j in sorted(runs):
             name = tuple(low[i:j])
             if name in seen:

@@ -72,6 +72,19 @@ def test_spans_go_as_in_the_plain_version(table):
         assert {r.doc_id: r.text for r in dedup_spans(table(rows)).collect()} == plain_dedup(rows)
 
 
+def test_spans_with_other_bounds(table):
+    rows = passages(4, 60)
+    assert {r.doc_id: r.text for r in dedup_spans(table(rows), run_words=8, alone_words=14).collect()} == plain_dedup(rows, 8, 14)
+
+
+def test_rows_of_one_id_are_one_document(table):
+    """A third of all rows have one id: the text that comes first stays, once; null comes before all."""
+    many = [(7, f"text number {i % 40} of very many {i % 40} under one and the same id {i % 40}") for i in range(60)]
+    rows = [*many, (8, "b and some more words"), (8, None), (8, "a and other words, too"), *[(100 + i, f"unlike {i} {i + 1} {i * 7} {i * 11}") for i in range(120)]]
+    kept = sorted(((r.doc_id, r.text) for r in one_of_each(table(rows)).collect()), key=str)
+    assert kept == sorted([(7, min(t for _, t in many)), (8, None), *rows[-120:]], key=str)
+
+
 def test_spans_on_documents(spark):
     """In many small batches, too."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")

@@ -8,6 +8,8 @@ import pytest
 from small_data import DATA
 
 import corpus_pipeline as C
+from quillrank import stored as stored_tables
+from quillrank.llm import queries as Q
 from quillrank.llm.packing import LENGTH, default_tokenizer
 from quillrank.llm.tables import read
 
@@ -103,3 +105,13 @@ def test_a_stage_takes_repeated_rows_and_ties(name, stage, table, spark, tmp_pat
     else:
         # Rows that are alike share a cut evenly, so two of them may leave a word.
         assert 0 <= round(1.5 * 42) - sum(len(t.split()) for _, t in found.elements()) <= 1
+
+
+@pytest.mark.parametrize(("name", "most"), [("op3_ngram_join", 3), ("op9_edit_fingerprints", 1), ("op11_importance_resampling", 2), ("op12_warc", 2), ("pipeline", 4)])
+def test_no_more_is_left_than_the_result_is_made_of(spark, tmp_path, monkeypatch, name, most):
+    """Of tables and files in the shared folder."""
+    monkeypatch.setattr(stored_tables, "shared_folder", lambda _: f"file://{tmp_path}")
+    query = C.run if name == "pipeline" else Q.queries()[name]
+    query(spark, DATA).write.format("noop").mode("overwrite").save()
+    left = [p for p in tmp_path.iterdir() if p.is_dir()]
+    assert 0 < len(left) <= most
