@@ -15,7 +15,7 @@ from quillrank.llm.ngram_join import one_of_each
 from quillrank.llm.packing import pack_documents
 from quillrank.llm.source_mix import mixed_documents
 from quillrank.llm.span_dedup import dedup_spans
-from quillrank.llm.tables import discard, read, stash
+from quillrank.llm.tables import discard, read, stash, temporary
 from quillrank.llm.toxicity_knn import without_toxic
 
 
@@ -59,11 +59,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's rows are written, and what it was made of goes."""
     docs, last = read(spark, sf_dir, "documents"), None
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stash(docs, f"pipeline-{name}")
-            if last is not None:
-                discard(last)
-            last = docs
-    return docs
+    for name, stage in STAGES[:-1]:
+        with temporary() as keep:
+            docs = keep(stash(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if last is not None:
+            discard(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
