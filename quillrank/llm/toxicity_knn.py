@@ -299,17 +299,11 @@ def _in_one_task(rows: DataFrame, make: Callable[[pa.Table], object], folder: st
     return rows.repartition(1).sortWithinPartitions("doc_id", "label").mapInArrow(work, "file string").first().file
 
 
-_last_read: dict[str, object] = {}
-
-
 def read_made(file: str):
-    """What a file holds; a worker keeps the one that it read last."""
-    if file not in _last_read:
-        system, path = opened(file)
-        _last_read.clear()
-        with system.open_input_stream(path, compression=None) as source:
-            _last_read[file] = pickle.loads(source.read())  # noqa: S301  written by the task above
-    return _last_read[file]
+    """What a file holds. Every task reads it for itself and lets go of it, so workers don't keep an index for the stages after."""
+    system, path = opened(file)
+    with system.open_input_stream(path, compression=None) as source:
+        return pickle.loads(source.read())  # noqa: S301  written by the task above
 
 
 def _column(rows: pa.Table, name: str) -> np.ndarray:
